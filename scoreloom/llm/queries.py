@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, fertility, language_id, line_dedup, minhash, mixing, warc
+from scoreloom.llm import bpe, compaction, fertility, language_id, line_dedup, minhash, mixing, simhash, suffix_dedup, warc
 from scoreloom.llm._common import shared_dir, table
 
 
@@ -15,11 +15,27 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*first, *[c for c in found.columns if c not in first])
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edit_test(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in eight parts, are compacted after each, and are read back from the newest manifest."""
+    store = compaction.ShardTable(spark, shared_dir(spark, "shards"))
+    store.append_each(table(spark, sf_dir, "documents").withColumn("arrival", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(8))), "arrival")
+    sha = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), sha)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -47,11 +63,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op4_minhash, op6_warc, op7_bpe, op8_line_dedup, op9_mixing, op10_language_id)}
-
-W = r"[^\x20\x09-\x0D]+"
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_simhash, op3_suffix_dedup, op4_minhash, op5_sharding, op6_warc, op7_bpe, op8_line_dedup, op9_mixing, op10_language_id)}
 
 SQL = {
+    "op3_suffix_dedup": """
+        WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+        w AS (SELECT doc_id, unnest(range(octet_length(t) - 99)) AS s, t FROM b WHERE octet_length(t) >= 100),
+        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(hex(t[s + 1:s + 100])) ORDER BY doc_id, s) AS nth FROM w),
+        g AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM r WHERE nth > 1),
+        i AS (SELECT doc_id, s, sum(CASE WHEN s - prev <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+        x AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM i GROUP BY doc_id, run),
+        h AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS runs, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops FROM x GROUP BY doc_id)
+        SELECT b.doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+               sha256(CASE WHEN runs IS NULL THEN t ELSE unhex(array_to_string(list_transform(range(1, runs + 2),
+                 lambda k: hex(t[coalesce(stops[k - 1], 0) + 1:coalesce(starts[k], octet_length(t))])), '')) END) AS kept_sha256
+        FROM b LEFT JOIN h ON b.doc_id = h.doc_id""",
+    "op5_sharding": """
+        SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents""",
     "op6_warc": """
         WITH p AS (
           SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages
