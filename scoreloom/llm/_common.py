@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -55,6 +55,25 @@ def with_fields(schema: StructType, fields: str) -> StructType:
     return StructType([*schema, *StructType.fromDDL(fields)])
 
 
+#: Stands for a null doc_id where rows are matched by it: the smallest.
+NULL_ID = -(1 << 63)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(key, text, nth, before): doc_id (null: NULL_ID), text (null: empty) and a row's number among those of its doc_id, by text.
+
+    before is null for the first of a doc_id. The texts are dealt by key alone and with these columns only, so all that use these
+    rows in one query share one exchange of the texts.
+    """
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    own = Window.partitionBy("key").orderBy("text")
+    return texts.withColumn("nth", F.row_number().over(own)).withColumn("before", F.lag(F.lit(1)).over(own))
+
+
+def id_of(key: Column) -> Column:
+    return F.nullif(key, F.lit(NULL_ID))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,13 +8,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import SPACE, kept, shuffle_partitions
+from scoreloom.llm._common import NULL_ID, SPACE, id_of, kept, numbered, shuffle_partitions
 
 BITS = 64
 LOW = (1 << 32) - 1
 LANES = (1 << 32) | 1
-#: Stands for a null doc_id where rows are matched by it: the smallest.
-NULL_ID = -(1 << 63)
 
 
 def _terms(text: Column) -> Column:
@@ -74,10 +72,9 @@ def within_radius(found: DataFrame, queries: DataFrame, radius: int = 3, blocks:
     neither found nor looked for.
     """
     masks = block_masks(radius, blocks)
-    tables = lambda df, name: df.where("fingerprint is not null").select(F.col("fingerprint").alias(name)).distinct().select(
-        name, F.posexplode(F.array(*[F.col(name).bitwiseAND(F.lit(m)) for m in masks])).alias(f"{name}_table", f"{name}_key")
-    )
-    a, b = tables(queries, "query"), tables(found, "fingerprint")
+    named = lambda df, name: df.where("fingerprint is not null").select(F.col("fingerprint").alias(name))
+    tables = lambda df, name: df.select(name, F.posexplode(F.array(*[F.col(name).bitwiseAND(F.lit(m)) for m in masks])).alias(f"{name}_table", f"{name}_key"))
+    a, b = tables(named(queries, "query"), "query").distinct(), tables(named(found, "fingerprint").distinct(), "fingerprint")
     differ = F.col("query").bitwiseXOR(F.col("fingerprint"))
     agreed = reduce(lambda rest, k: F.when(differ.bitwiseAND(F.lit(masks[k])) == 0, k).otherwise(rest), reversed(range(len(masks))), F.lit(-1))
     same = (a["query_table"] == b["fingerprint_table"]) & (a["query_key"] == b["fingerprint_key"])
@@ -100,19 +97,17 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """(key, nth, doc_id, n_chars, text, edited) for each row of docs (doc_id, text): the last floor(n_chars / 3) code points replaced
+    """(key, nth, n_chars, text, edited) for each row of docs (doc_id, text): the last floor(n_chars / 3) code points replaced
     by the first as many (or all) of the next document in descending doc_id; after the last comes the first.
 
     A null doc_id counts as the smallest. Rows of one doc_id, numbered nth by text, have the same next document: the next smaller
     doc_id's first row. One exchange of the texts by doc_id serves both sides; of the next document only the part in need is dealt.
     """
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = Window.partitionBy("key").orderBy("text")
-    rows = texts.withColumn("nth", F.row_number().over(own)).withColumn("before", F.lag(F.lit(1)).over(own))
-    after = next_ids(texts.select("key", F.char_length("text").alias("n"))).select(F.col("key").alias("of"), "next_key", F.floor(F.col("n") / 3).cast("int").alias("m"))
+    rows = numbered(docs)
+    after = next_ids(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))).select(F.col("key").alias("of"), "next_key", F.floor(F.col("n") / 3).cast("int").alias("m"))
     starts = rows.where("before is null").join(after, F.col("key") == F.col("next_key")).select("of", F.expr("substring(text, 1, m)").alias("start"))
     whole = rows.join(starts, F.col("key") == F.col("of")).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("m", F.floor(F.col("n_chars") / 3).cast("int"))
-    return whole.select("key", "nth", "doc_id", "n_chars", "text", F.expr("concat(substring(text, 1, cast(n_chars as int) - m), substring(start, 1, m))").alias("edited"))
+    return whole.select("key", "nth", "n_chars", "text", F.expr("concat(substring(text, 1, cast(n_chars as int) - m), substring(start, 1, m))").alias("edited"))
 
 
 def edit_test(docs: DataFrame, radius: int = 3, blocks: int = 6, every: int = 50) -> DataFrame:
@@ -122,12 +117,12 @@ def edit_test(docs: DataFrame, radius: int = 3, blocks: int = 6, every: int = 50
     null for others. Null and empty texts have 0 characters and fingerprint 0. A single row is its own next document.
     """
     rows = edited_texts(docs)
-    keys = ["key", "nth", "doc_id", "n_chars", "edited_sha256", "is_edited"]
+    keys = ["key", "nth", "n_chars", "edited_sha256", "is_edited"]
     both = F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text"))))
-    stacked = rows.select("key", "nth", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), both.alias("x")).select(*keys[:-1], "x.is_edited", "x.text")
+    stacked = rows.select("key", "nth", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), both.alias("x")).select(*keys[:-1], "x.is_edited", "x.text")
     voted = fingerprints(stacked, keys)
     of = lambda edited: F.max(F.when(F.col("is_edited") == edited, F.col("fingerprint")))
-    found = kept(voted.groupBy(*keys[:-1]).agg(of(False).alias("fingerprint"), of(True).alias("edited")))
+    found = kept(voted.groupBy(*keys[:-1]).agg(of(False).alias("fingerprint"), of(True).alias("edited")).withColumn("doc_id", id_of(F.col("key"))))
     after = next_ids(found.select("key", F.col("n_chars").alias("n"))).select("key", "next_key")
     next_rows = found.where("nth = 1").select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next"))
     beside = found.join(after.join(next_rows, "next_key"), "key")
