@@ -69,7 +69,7 @@ SQL = {
     "op3_suffix_dedup": """
         WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
         w AS (SELECT doc_id, unnest(range(octet_length(t) - 99)) AS s, t FROM b WHERE octet_length(t) >= 100),
-        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(hex(t[s + 1:s + 100])) ORDER BY doc_id, s) AS nth FROM w),
+        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY t[s + 1:s + 100] ORDER BY doc_id, s) AS nth FROM w),
         g AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM r WHERE nth > 1),
         i AS (SELECT doc_id, s, sum(CASE WHEN s - prev <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
         x AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM i GROUP BY doc_id, run),

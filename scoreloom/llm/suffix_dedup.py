@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import slices, text_bytes
+from scoreloom.llm._common import NULL_ID, id_of, numbered, shuffle_partitions, slices, text_bytes
 
 #: Bytes that an anchor hashes. Every string of `length` bytes holds the same anchor at the same place wherever it stands.
 GRAM = 32
@@ -19,7 +19,8 @@ PLACE = np.uint64((1 << PLACE_BITS) - 1)
 #: Groups that agree on this many bytes more than they are known to go from multikey sorting to blind tries.
 SHALLOW = 24
 BLOCK = 20_000
-ANCHOR = "h long, doc_id long, version long, a int, back int, near int"
+ANCHOR = "h long, key long, nth int, a int"
+CONTEXT = f"{ANCHOR}, back int, near int, context binary"
 
 
 def _gram_hashes(flat: np.ndarray) -> np.ndarray:
@@ -64,12 +65,10 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            h, of, a, first, last = anchors(*text_bytes(batch.column("text")), length)
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), batch.column("doc_id").take(take), batch.column("version").take(take), *(pa.array(x.astype(np.int32)) for x in (a, a - first, a - last))],
-                names=[x.split()[0] for x in ANCHOR.split(", ")],
-            )
+            h, of, a, _, _ = anchors(*text_bytes(batch.column("text")), length)
+            named = np.asarray(batch.column("key"))[of] != NULL_ID
+            take = pa.array(of[named])
+            yield pa.RecordBatch.from_arrays([pa.array(h[named]), batch.column("key").take(take), batch.column("nth").take(take), pa.array(a[named].astype(np.int32))], names=["h", "key", "nth", "a"])
 
     return run
 
@@ -92,28 +91,35 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+def _of_row(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.StructArray]:
+    """The structs that each row's list has for that row's nth, and the numbers of their rows."""
+    lists = batch.column(column)
+    of = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
+    found = lists.flatten()
+    own = np.flatnonzero(np.asarray(found.field("nth")) == np.asarray(batch.column("nth"))[of])
+    return of[own], found.take(pa.array(own))
+
+
 def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             flat, offsets = text_bytes(batch.column("text"))
-            lists = batch.column("anchors")
-            of = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(lists)))
-            found = lists.flatten()
-            h, a, back, near = (np.asarray(found.field(n)) for n in ("h", "a", "back", "near"))
-            sizes = (back + length - near).astype(np.int64)
+            h, of, a, first, last = anchors(flat, offsets, length)
+            rows, wanted = _of_row(batch, "anchors")
+            here = np.isin((of << PLACE_BITS) | a, (rows << PLACE_BITS) | np.asarray(wanted.field("a")))
+            h, of, a, back, near = h[here], of[here], a[here], (a - first)[here], (a - last)[here]
+            sizes = back + length - near
             ends = np.cumsum(sizes)
             for lo in range(0, len(h), 50_000):
                 part = slice(lo, lo + 50_000)
-                base = ends[part][0] - sizes[part][0] if len(ends[part]) else 0
-                first = offsets[:-1][of[part]] + a[part] - back[part]
-                bytes_at = np.repeat(first - (ends[part] - base - sizes[part]), sizes[part]) + np.arange(sizes[part].sum())
-                data = pa.py_buffer(flat[bytes_at].tobytes())
-                bounds = np.concatenate([[0], ends[part] - base]).astype(np.int32)
-                context = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), data])
+                begin = ends[part] - sizes[part] - (ends[lo] - sizes[lo])
+                bytes_at = np.repeat(offsets[:-1][of[part]] + a[part] - back[part] - begin, sizes[part]) + np.arange(sizes[part].sum())
+                bounds = np.append(begin, sizes[part].sum()).astype(np.int32)
+                context = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat[bytes_at].tobytes())])
                 take = pa.array(of[part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[part]), batch.column("doc_id").take(take), batch.column("version").take(take), *(pa.array(x[part].astype(np.int32)) for x in (a, back, near)), context],
-                    names=["h", "doc_id", "version", "a", "back", "near", "context"],
+                    [pa.array(h[part]), batch.column("key").take(take), batch.column("nth").take(take), *(pa.array(x[part].astype(np.int32)) for x in (a, back, near)), context],
+                    names=["h", "key", "nth", "a", "back", "near", "context"],
                 )
 
     return run
@@ -211,11 +217,11 @@ def _classes(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(group: np.ndarray, doc: np.ndarray, a: np.ndarray, back: np.ndarray, near: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
+def repeated_windows(group: np.ndarray, rank: np.ndarray, back: np.ndarray, near: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
     """[k, r]: whether the window that starts r bytes before anchor k also starts earlier at another anchor of its group.
 
     Suffixes from the anchor on and reversed prefixes before it are sorted; two windows are equal if their suffixes agree on
-    length - r bytes and their prefixes on r, that is, if they are in one class of both orders. Earlier: by (doc, a).
+    length - r bytes and their prefixes on r, that is, if they are in one class of both orders. Earlier: of a smaller rank.
     """
     n, reach = len(group), length - GRAM
     right, left = np.zeros((n, length), np.uint8), np.zeros((n, max(reach, 1)), np.uint8)
@@ -227,8 +233,6 @@ def repeated_windows(group: np.ndarray, doc: np.ndarray, a: np.ndarray, back: np
     right[row[after], place[after]] = flat[after]
     left[row[~after], -1 - place[~after]] = flat[~after]
     to_right, to_left = deep_shallow(right, group, 0), deep_shallow(left, group)
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((a, doc))] = np.arange(n)
     out = np.zeros((n, reach + 1), bool)
     for r in range(reach + 1):
         rows = np.flatnonzero((near <= r) & (r <= back))
@@ -242,24 +246,26 @@ def repeated_windows(group: np.ndarray, doc: np.ndarray, a: np.ndarray, back: np
 
 
 def _spans(length: int):
-    names = ["doc_id", "version", "start", "stop"]
+    names = ["key", "nth", "start", "stop"]
 
     def out(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:2]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], names=names)
 
     def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        h, doc, version, a, back, near = (np.asarray(rows.column(n)) for n in ("h", "doc_id", "version", "a", "back", "near"))
+        h, doc, nth, a, back, near = (np.asarray(rows.column(n)) for n in ("h", "key", "nth", "a", "back", "near"))
         group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]]))
         lone = np.bincount(group)[group] < 2
         k = np.flatnonzero(~lone)
         if not len(k):
-            return out(doc[k], version[k], k, k)
-        again = repeated_windows(group[k], doc[k], a[k], back[k], near[k], rows.column("context").take(pa.array(k)).to_pylist(), length)
+            return out(doc[k], nth[k], k, k)
+        rank = np.empty(len(k), np.int64)
+        rank[np.lexsort((a[k], nth[k], doc[k]))] = np.arange(len(k))
+        again = repeated_windows(group[k], rank, back[k], near[k], rows.column("context").take(pa.array(k)).to_pylist(), length)
         edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         (of, r1), (_, r2) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         of = k[of]
-        return out(doc[of], version[of], a[of] - (r2 - 1), a[of] - r1 + length)
+        return out(doc[of], nth[of], a[of] - (r2 - 1), a[of] - r1 + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, count = None, [], 0
@@ -277,8 +283,8 @@ def _spans(length: int):
                 whole, copy = whole.slice(1), copy[1:]
             copies = whole.filter(pa.array(copy))
             if copies.num_rows:
-                doc, version, a, back, near = (np.asarray(copies.column(x)) for x in ("doc_id", "version", "a", "back", "near"))
-                yield out(doc, version, a - back, a - near + length)
+                doc, nth, a, back, near = (np.asarray(copies.column(x)) for x in ("key", "nth", "a", "back", "near"))
+                yield out(doc, nth, a - back, a - near + length)
             first = whole.filter(pa.array(~copy))
             last = batch.slice(batch.num_rows - 1)
             h = np.asarray(first.column("h"))
@@ -300,37 +306,36 @@ def _spans(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, version, spans) of each document with bytes to remove: spans is an array of (start, stop), which may overlap.
+def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
+    """(key, nth, text, spans) of each row of docs (doc_id, text): spans is an array of (nth, start, stop) of bytes to remove from the
+    rows of its doc_id, which may overlap; a row's own are those of its nth. Null if there are none.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document with a smaller doc_id, or before in
-    the same one. Texts are taken as UTF-8; strings stay within a document. version is xxhash64(text).
+    the same one. Texts are taken as UTF-8; strings stay within a document.
 
     1. Every text's anchors, a thirtieth of its bytes, are dealt by hash; those that stand alone go, as none of their strings repeats.
     2. The others meet their texts and are dealt again with the bytes around them, sorted so that equal ones follow each other:
        all of those but the first are copies. Only different ones are held, one anchor's group at a time, for deep-shallow sorting.
 
-    Repeated rows of a doc_id count as one text if equal, else as texts of one document at the same places. Rows whose doc_id is
-    null take no part. Null and empty texts, and those under `length` bytes, have no string.
+    Rows that repeat a doc_id are texts of that document one after another, in the order of their texts. Rows whose doc_id is null take
+    no part. Null and empty texts, and those under `length` bytes, have no string. Texts have up to 2**28 bytes.
     """
-    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    parts = texts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = texts.mapInArrow(_anchor_rows(length), ANCHOR)
-    again = rows.repartition(int(parts), "h").sortWithinPartitions("h").mapInArrow(_repeated, ANCHOR)
-    by_doc = again.groupBy("doc_id", "version").agg(F.collect_set(F.struct("h", "a", "back", "near")).alias("anchors"))
-    around = texts.join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors").mapInArrow(_contexts(length), f"{ANCHOR}, context binary")
-    dealt = around.repartition(int(parts), "h").sortWithinPartitions("h", "back", "near", "context", "doc_id", "a")
-    spans = dealt.mapInArrow(_spans(length), "doc_id long, version long, start int, stop int")
-    return spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = numbered(docs).drop("before")
+    parts = shuffle_partitions(docs.sparkSession)
+    found = rows.mapInArrow(_anchor_rows(length), ANCHOR)
+    again = found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, ANCHOR)
+    by_key = again.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "a")).alias("anchors"))
+    around = rows.join(by_key, F.col("key") == F.col("_key")).select("key", "nth", "text", "anchors").mapInArrow(_contexts(length), CONTEXT)
+    dealt = around.repartition(parts, "h").sortWithinPartitions("h", "back", "near", "context", "key", "nth", "a")
+    spans = dealt.mapInArrow(_spans(length), "key long, nth int, start int, stop int")
+    spans = spans.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "start", "stop")).alias("spans"))
+    return rows.join(spans, F.col("key") == F.col("_key"), "left").select("key", "nth", "text", "spans")
 
 
 def _cut(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts' bytes, where each starts, and which bytes stay."""
     flat, offsets = text_bytes(batch.column("text"))
-    lists = batch.column("spans")
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
-    of = np.repeat(np.arange(batch.num_rows), sizes)
-    found = lists.flatten()
+    of, found = _of_row(batch, "spans")
     change = np.zeros(len(flat) + 1, np.int32)
     for name, by in (("start", 1), ("stop", -1)):
         np.add.at(change, offsets[:-1][of] + np.asarray(found.field(name)), by)
@@ -349,36 +354,28 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[offsets])
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(kept)), pa.array(spans.astype(np.int64)),
+                batch.column("key"), pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(kept)), pa.array(spans.astype(np.int64)),
                 pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(kept[:-1], kept[1:])], pa.string()),
             ],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = repeated_spans(docs, length).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    texts = docs.withColumn("version", F.xxhash64("text"))
-    return texts.join(spans, (texts["doc_id"] == spans["_id"]) & (texts["version"] == spans["_version"]), "left").drop("_id", "_version", "version")
-
-
 def span_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document: its bytes, those removed, their maximal runs, the rest's digest."""
-    found = _with_spans(docs.select("doc_id", "text"), length)
-    return found.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = with_spans(docs, length).mapInArrow(_digests, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select(id_of(F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """docs without repeated bytes; what is left of a character that is cut in two goes as well. Null texts stay null."""
-    names = docs.columns
-    found = _with_spans(docs, length)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        flat, offsets, stays = _cut(batch)
+        kept = np.concatenate([[0], np.cumsum(stays)])[offsets]
+        data = flat[stays].tobytes()
+        texts = [data[a:b].decode("utf-8", "ignore") for a, b in zip(kept[:-1], kept[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            flat, offsets, stays = _cut(batch)
-            kept = np.concatenate([[0], np.cumsum(stays)])[offsets]
-            data, was = flat[stays].tobytes(), batch.column("text")
-            texts = [None if not was[k].is_valid else data[a:b].decode("utf-8", "ignore") for k, (a, b) in enumerate(zip(kept[:-1], kept[1:]))]
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    return found.mapInArrow(run, found.schema).select(*names)
+def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """(doc_id, text) of each row of docs with repeated bytes cut out; the rest of a character that is cut in two goes as well."""
+    return with_spans(docs, length).mapInArrow(_texts, "key long, text string").select(id_of(F.col("key")).alias("doc_id"), "text")
