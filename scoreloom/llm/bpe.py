@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from scoreloom.llm._common import slices, with_fields
 
 #: The pattern that cuts text into words before merging, and Unicode's white space spelled out.
-SPACES = r"\t-\r \x85\xa0  -     　"
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )

@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ def bands_for(threshold: float) -> int:
 
 
 def sketch_floor(threshold: float) -> int:
-    """Equal sketch bits that a pair at the threshold falls below only six deviations from its mean."""
+    """Equal sketch bits that a pair at the threshold falls below with a chance of MISS at most: 4.3 deviations under its mean."""
     share = 0.5 + threshold / 2
-    return int(SKETCH * share - 6 * math.sqrt(SKETCH * share * (1 - share)))
+    return int(SKETCH * share - 4.3 * math.sqrt(SKETCH * share * (1 - share)))
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -165,6 +166,30 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(F.lit(100) * shared >= F.lit(percent) * union).select("a", "b")
 
 
+def _centres(rows: DataFrame) -> DataFrame:
+    """(band, key, centre) of each bucket: the member whose sketch is nearest to what most of the bucket's sketches say, bit by bit.
+
+    Among near copies of one text that is the text itself, or what comes closest to it. Counts of two bits share a long.
+    """
+    lanes = F.lit((1 << 32) | 1)
+    ones = [F.sum(F.shiftrightunsigned(F.col(c), k).bitwiseAND(lanes)).alias(f"{c}_{k}") for c in ("s1", "s2") for k in range(32)]
+    bit = lambda n, k: F.when(n * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+    low = F.lit((1 << 32) - 1)
+    most = lambda c: reduce(
+        lambda x, y: x.bitwiseOR(y), [part for k in range(32) for part in (bit(F.col(f"{c}_{k}").bitwiseAND(low), k), bit(F.shiftrightunsigned(F.col(f"{c}_{k}"), 32), k + 32))]
+    )
+    said = rows.groupBy("band", "key").agg(F.count("*").alias("n"), *ones).select("band", "key", most("s1").alias("m1"), most("s2").alias("m2"))
+    far = F.bit_count(F.col("s1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("m2")))
+    return rows.join(said, ["band", "key"]).groupBy("band", "key").agg(F.min(F.struct(far.alias("far"), F.col("doc_id"))).alias("x")).select("band", "key", F.col("x.doc_id").alias("centre"))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, each with its component."""
+    labelled = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = labelled.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band", "key")
+    return kept(labelled.join(split, ["band", "key"]).select("band", "key", "doc_id", "n_shingles", "s1", "s2", "component"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the smallest doc_id that links lead to, itself included.
 
@@ -172,8 +197,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets. Candidates share one of the bands of their signatures; a pair at the threshold is missed with a chance of MISS at most.
 
     Equal sets are one set from the start, so copies are never paired. In each bucket of a band the members are first held against
-    its smallest one; what that does not connect is then paired within its bucket across components only, if the 128-bit sketches
-    leave it possible. No bucket is cut off, and a bucket of copies and near copies costs as many pairs as members.
+    its centre, then those that this doesn't connect against the centre of the rest; what is still apart is paired within its
+    bucket across components, if the 128-bit sketches leave it possible. No bucket is cut off, and a bucket of copies and near
+    copies costs about as many pairs as members.
 
     Null and empty texts have no shingle and link to nothing; neither do rows whose doc_id is null, whose component_id is null.
     Repeated rows of one doc_id are linked as if they were documents, and share their component. An empty table gives none.
@@ -184,27 +210,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     classes = kept(rows.join(firsts, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("digest", "doc_id", "n_shingles", "bands", "s1", "s2"))
     banded = classes.select("doc_id", "n_shingles", "s1", "s2", F.posexplode("bands").alias("band", "key"))
-    smallest = banded.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last")
-    members = kept(banded.join(smallest.select("band", "key", "a"), ["band", "key"]))
-    stars = kept(members.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct())
-    shared = members.select("doc_id").distinct()
-    full = written(docs.select("doc_id", "text").join(shared, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    links = kept(_linked(stars, full, percent))
-    labels = components(links)
-    labelled = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band", "key")
-    open_rows = kept(labelled.join(split, ["band", "key"]).select("band", "key", "doc_id", "n_shingles", "s1", "s2", "component"))
-    side = lambda x: open_rows.select("band", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n_shingles", "s1", "s2", "component")])
-    equal = F.lit(SKETCH) - F.bit_count(F.col("x_s1").bitwiseXOR(F.col("y_s1"))) - F.bit_count(F.col("x_s2").bitwiseXOR(F.col("y_s2")))
-    possible = (
-        (F.col("x_component") != F.col("y_component"))
-        & (F.col("x_doc_id") < F.col("y_doc_id"))
-        & (F.lit(100) * F.least("x_n_shingles", "y_n_shingles") >= F.lit(percent) * F.greatest("x_n_shingles", "y_n_shingles"))
-        & (equal >= sketch_floor(percent / 100))
-    )
+    several = banded.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("band", "key")
+    members = kept(banded.join(several, ["band", "key"]))
+    full = written(docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    equal = lambda x, y: F.lit(SKETCH) - F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) - F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
+    possible = lambda x, y: (F.lit(100) * F.least(f"{x}n_shingles", f"{y}n_shingles") >= F.lit(percent) * F.greatest(f"{x}n_shingles", f"{y}n_shingles")) & (equal(x, y) >= sketch_floor(percent / 100))
+
+    tried, links, labels = None, None, None
+    apart = members.withColumn("component", F.col("doc_id"))
+    for step in range(2):
+        if step:
+            heads = apart.join(centres.withColumnRenamed("centre", "doc_id"), ["band", "key", "doc_id"]).select("band", "key", F.col("component").alias("first"))  # noqa: F821
+            rest = apart.join(heads, ["band", "key"], "left").where("first is null or component <> first")
+            centres = kept(_centres(rest))
+        else:
+            centres = kept(_centres(apart))
+        own = apart.join(centres.withColumnRenamed("centre", "doc_id"), ["band", "key", "doc_id"]).select("band", "key", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n_shingles", "s1", "s2", "component")])
+        beside = apart.join(own, ["band", "key"]).where((F.col("component") != F.col("c_component")) & possible("", "c_"))
+        pairs = beside.select(F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")).distinct()
+        pairs = kept(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        new = kept(_linked(pairs, full, percent))
+        tried, links = (pairs, new) if tried is None else (tried.union(pairs), links.union(new))
+        labels = components(links)
+        apart = _open(members, labels)
+    side = lambda x: apart.select("band", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n_shingles", "s1", "s2", "component")])
     x, y = side("x"), side("y")
-    across = x.join(y, (x["band"] == y["band"]) & (x["key"] == y["key"]) & possible).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
-    more = kept(_linked(across.join(stars, ["a", "b"], "left_anti"), full, percent))
+    across = (F.col("x_component") != F.col("y_component")) & (F.col("x_doc_id") < F.col("y_doc_id")) & possible("x_", "y_")
+    left = x.join(y, (x["band"] == y["band"]) & (x["key"] == y["key"]) & across).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+    more = kept(_linked(left.join(tried, ["a", "b"], "left_anti"), full, percent))
     labels = components(links.union(more)) if more.take(1) else labels
     of_class = classes.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("of_set"))
     placed = rows.select("doc_id", "digest").join(of_class, "digest").groupBy("doc_id").agg(F.min("of_set").alias("component"))

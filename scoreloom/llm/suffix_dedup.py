@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import NULL_ID, id_of, numbered, shuffle_partitions, slices, text_bytes
+from scoreloom.llm._common import NULL_ID, id_of, kept, numbered, shuffle_partitions, slices, text_bytes
 
 #: Bytes that an anchor hashes. Every string of `length` bytes holds the same anchor at the same place wherever it stands.
 GRAM = 32
@@ -62,11 +62,19 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return h[at[new]].view(np.int64), of[new], at[new] - start, windows[new] - start, windows[last] - start
 
 
+def _is_copy(batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows are copies: their nth is in the list that their doc_id has."""
+    lists = batch.column("copies")
+    if lists.null_count == len(lists):
+        return np.zeros(batch.num_rows, bool)
+    return np.array([x is not None and n in x for x, n in zip(lists.to_pylist(), batch.column("nth").to_pylist())], bool)
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             h, of, a, _, _ = anchors(*text_bytes(batch.column("text")), length)
-            named = np.asarray(batch.column("key"))[of] != NULL_ID
+            named = (np.asarray(batch.column("key"))[of] != NULL_ID) & ~_is_copy(batch)[of]
             take = pa.array(of[named])
             yield pa.RecordBatch.from_arrays([pa.array(h[named]), batch.column("key").take(take), batch.column("nth").take(take), pa.array(a[named].astype(np.int32))], names=["h", "key", "nth", "a"])
 
@@ -307,12 +315,14 @@ def _spans(length: int):
 
 
 def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(key, nth, text, spans) of each row of docs (doc_id, text): spans is an array of (nth, start, stop) of bytes to remove from the
+    """(key, nth, text, spans) of each row of docs (doc_id, text): spans is an array of (nth, start, stop; -1: the end) of bytes to remove from the
     rows of its doc_id, which may overlap; a row's own are those of its nth. Null if there are none.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document with a smaller doc_id, or before in
     the same one. Texts are taken as UTF-8; strings stay within a document.
 
+    Whole copies of an earlier text go by their digest alone. For the others:
+
     1. Every text's anchors, a thirtieth of its bytes, are dealt by hash; those that stand alone go, as none of their strings repeats.
     2. The others meet their texts and are dealt again with the bytes around them, sorted so that equal ones follow each other:
        all of those but the first are copies. Only different ones are held, one anchor's group at a time, for deep-shallow sorting.
@@ -322,13 +332,18 @@ def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     rows = numbered(docs).drop("before")
     parts = shuffle_partitions(docs.sparkSession)
-    found = rows.mapInArrow(_anchor_rows(length), ANCHOR)
+    digests = rows.where((F.col("key") != NULL_ID) & (F.octet_length("text") >= length)).select("key", "nth", F.sha2("text", 256).alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min(F.struct("key", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    copies = kept(digests.join(firsts, "digest").where(F.struct("key", "nth") != F.col("first")).select("key", "nth"))
+    of_key = copies.groupBy(F.col("key").alias("_copy_key")).agg(F.collect_list("nth").alias("copies"))
+    found = rows.join(of_key, F.col("key") == F.col("_copy_key"), "left").select("key", "nth", "text", "copies").mapInArrow(_anchor_rows(length), ANCHOR)
     again = found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, ANCHOR)
     by_key = again.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "a")).alias("anchors"))
     around = rows.join(by_key, F.col("key") == F.col("_key")).select("key", "nth", "text", "anchors").mapInArrow(_contexts(length), CONTEXT)
     dealt = around.repartition(parts, "h").sortWithinPartitions("h", "back", "near", "context", "key", "nth", "a")
     spans = dealt.mapInArrow(_spans(length), "key long, nth int, start int, stop int")
-    spans = spans.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "start", "stop")).alias("spans"))
+    whole = copies.select("key", "nth", F.lit(0).alias("start"), F.lit(-1).alias("stop"))
+    spans = spans.union(whole).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "start", "stop")).alias("spans"))
     return rows.join(spans, F.col("key") == F.col("_key"), "left").select("key", "nth", "text", "spans")
 
 
@@ -337,8 +352,9 @@ def _cut(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat, offsets = text_bytes(batch.column("text"))
     of, found = _of_row(batch, "spans")
     change = np.zeros(len(flat) + 1, np.int32)
-    for name, by in (("start", 1), ("stop", -1)):
-        np.add.at(change, offsets[:-1][of] + np.asarray(found.field(name)), by)
+    start, stop = offsets[:-1][of] + np.asarray(found.field("start")), np.asarray(found.field("stop"))
+    np.add.at(change, start, 1)
+    np.add.at(change, np.where(stop < 0, offsets[1:][of], offsets[:-1][of] + stop), -1)
     return flat, offsets, np.cumsum(change[:-1]) <= 0
 
 
