@@ -197,9 +197,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets. Candidates share one of the bands of their signatures; a pair at the threshold is missed with a chance of MISS at most.
 
     Equal sets are one set from the start, so copies are never paired. In each bucket of a band the members are first held against
-    its centre, then those that this doesn't connect against the centre of the rest; what is still apart is paired within its
-    bucket across components, if the 128-bit sketches leave it possible. No bucket is cut off, and a bucket of copies and near
-    copies costs about as many pairs as members.
+    its centre, then those that this doesn't connect against the centre of the rest; what is still apart is compared within its
+    bucket across components, by sketch and by the sets' hashes cut to 31 bits, inside the join: only pairs that reach the threshold
+    leave it. No bucket is cut off. A bucket of copies and near copies of one text costs about as many pairs as members; one whose
+    members are all just below the threshold is compared pair by pair.
 
     Null and empty texts have no shingle and link to nothing; neither do rows whose doc_id is null, whose component_id is null.
     Repeated rows of one doc_id are linked as if they were documents, and share their component. An empty table gives none.
@@ -233,9 +234,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         tried, links = (pairs, new) if tried is None else (tried.union(pairs), links.union(new))
         labels = components(links)
         apart = _open(members, labels)
-    side = lambda x: apart.select("band", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n_shingles", "s1", "s2", "component")])
+    short = full.select("doc_id", F.transform("shingles", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("some"))
+    held = apart.join(short, "doc_id")
+    side = lambda x: held.select("band", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n_shingles", "s1", "s2", "component", "some")])
     x, y = side("x"), side("y")
-    across = (F.col("x_component") != F.col("y_component")) & (F.col("x_doc_id") < F.col("y_doc_id")) & possible("x_", "y_")
+    shared = F.size(F.array_intersect("x_some", "y_some")).cast("long") + 2  # two more than counted, as 31 bits may be alike
+    enough = F.lit(100) * shared >= F.lit(percent) * (F.col("x_n_shingles") + F.col("y_n_shingles") - shared)
+    across = (F.col("x_component") != F.col("y_component")) & (F.col("x_doc_id") < F.col("y_doc_id")) & possible("x_", "y_") & enough
     left = x.join(y, (x["band"] == y["band"]) & (x["key"] == y["key"]) & across).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
     more = kept(_linked(left.join(tried, ["a", "b"], "left_anti"), full, percent))
     labels = components(links.union(more)) if more.take(1) else labels

@@ -66,18 +66,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_fertility, op2_simhash, op3_suffix_dedup, op4_minhash, op5_sharding, op6_warc, op7_bpe, op8_line_dedup, op9_mixing, op10_language_id)}
 
 SQL = {
-    "op3_suffix_dedup": """
-        WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
-        w AS (SELECT doc_id, unnest(range(octet_length(t) - 99)) AS s, t FROM b WHERE octet_length(t) >= 100),
-        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY t[s + 1:s + 100] ORDER BY doc_id, s) AS nth FROM w),
-        g AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM r WHERE nth > 1),
-        i AS (SELECT doc_id, s, sum(CASE WHEN s - prev <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
-        x AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM i GROUP BY doc_id, run),
-        h AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS runs, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops FROM x GROUP BY doc_id)
-        SELECT b.doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
-               sha256(CASE WHEN runs IS NULL THEN t ELSE unhex(array_to_string(list_transform(range(1, runs + 2),
-                 lambda k: hex(t[coalesce(stops[k - 1], 0) + 1:coalesce(starts[k], octet_length(t))])), '')) END) AS kept_sha256
-        FROM b LEFT JOIN h ON b.doc_id = h.doc_id""",
     "op5_sharding": """
         SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents""",
     "op6_warc": """
