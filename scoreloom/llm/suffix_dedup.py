@@ -253,12 +253,44 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, back: np.ndarray, near
     return out
 
 
+def _told_apart(before: pa.RecordBatch | None, batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Of rows sorted by anchor and context: those that differ from the row before, and those that are copies of it. before: the row before all."""
+    rows = pa.Table.from_batches([before, batch] if before is not None else [batch]).combine_chunks()
+    n = rows.num_rows
+    same = np.ones(n - 1, bool)
+    for f in ("h", "back", "near", "context"):
+        same &= np.asarray(pa.compute.equal(rows.column(f).slice(1), rows.column(f).slice(0, n - 1)))
+    copy = same if before is not None else np.concatenate([[False], same])
+    return batch.filter(pa.array(~copy)), batch.filter(pa.array(copy))
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, context and place; those that are copies of a task's earlier row leave without their context.
+
+    As all their bytes go, wherever the first one stands, they needn't meet their anchor's rows: they are dealt by key, not by h.
+    """
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first, copies = _told_apart(last, batch)
+        last = batch.slice(batch.num_rows - 1)
+        yield first
+        if copies.num_rows:
+            bare = copies.set_column(0, "h", copies.column("key"))
+            yield bare.set_column(bare.num_columns - 1, "context", pa.nulls(bare.num_rows, pa.binary()))
+
+
 def _spans(length: int):
     names = ["key", "nth", "start", "stop"]
 
     def out(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:2]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], names=names)
 
+    def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
+        key, nth, a, back, near = (np.asarray(rows.column(n)) for n in ("key", "nth", "a", "back", "near"))
+        return out(key, nth, a - back, a - near + length)
+
     def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
         h, doc, nth, a, back, near = (np.asarray(rows.column(n)) for n in ("h", "key", "nth", "a", "back", "near"))
@@ -277,24 +309,15 @@ def _spans(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, count = None, [], 0
-        fields = ("h", "back", "near", "context")
         for batch in batches:
+            bare = batch.column("context").is_null()
+            yield whole(batch.filter(bare))
+            batch = batch.filter(pa.compute.invert(bare))
             if not batch.num_rows:
                 continue
-            whole = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0] if last is not None else batch
-            n = whole.num_rows
-            same = np.ones(max(n - 1, 0), bool)
-            for f in fields:
-                same &= np.asarray(pa.compute.equal(whole.column(f).slice(1), whole.column(f).slice(0, n - 1)))
-            copy = np.concatenate([np.zeros(n - len(same) if last is None else 1, bool), same])
-            if last is not None:
-                whole, copy = whole.slice(1), copy[1:]
-            copies = whole.filter(pa.array(copy))
-            if copies.num_rows:
-                doc, nth, a, back, near = (np.asarray(copies.column(x)) for x in ("key", "nth", "a", "back", "near"))
-                yield out(doc, nth, a - back, a - near + length)
-            first = whole.filter(pa.array(~copy))
+            first, copies = _told_apart(last, batch)
             last = batch.slice(batch.num_rows - 1)
+            yield whole(copies)
             h = np.asarray(first.column("h"))
             cut = np.flatnonzero(h[1:] != h[:-1]) + 1
             if held and len(h) and h[0] != held[-1].column("h")[held[-1].num_rows - 1].as_py():
@@ -324,8 +347,11 @@ def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     Whole copies of an earlier text go by their digest alone. For the others:
 
     1. Every text's anchors, a thirtieth of its bytes, are dealt by hash; those that stand alone go, as none of their strings repeats.
-    2. The others meet their texts and are dealt again with the bytes around them, sorted so that equal ones follow each other:
-       all of those but the first are copies. Only different ones are held, one anchor's group at a time, for deep-shallow sorting.
+    2. The others meet their texts and get the bytes around them. Each task sorts its own so that equal ones follow each other: all of
+       those but the first are copies, and only the first is dealt on to its anchor's rows, so that a passage which a third of all
+       documents hold reaches its anchors' tasks about once per task, not once per document.
+    3. There they are sorted again and copies told apart in the same way; different ones are held, one anchor's group at a time, for
+       deep-shallow sorting.
 
     Rows that repeat a doc_id are texts of that document one after another, in the order of their texts. Rows whose doc_id is null take
     no part. Null and empty texts, and those under `length` bytes, have no string. Texts have up to 2**28 bytes.
@@ -340,7 +366,9 @@ def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     again = found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, ANCHOR)
     by_key = again.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "a")).alias("anchors"))
     around = rows.join(by_key, F.col("key") == F.col("_key")).select("key", "nth", "text", "anchors").mapInArrow(_contexts(length), CONTEXT)
-    dealt = around.repartition(parts, "h").sortWithinPartitions("h", "back", "near", "context", "key", "nth", "a")
+    order = ("h", "back", "near", "context", "key", "nth", "a")
+    fewer = around.sortWithinPartitions(*order).mapInArrow(_combined, CONTEXT)
+    dealt = fewer.repartition(parts, "h").sortWithinPartitions(*order)
     spans = dealt.mapInArrow(_spans(length), "key long, nth int, start int, stop int")
     whole = copies.select("key", "nth", F.lit(0).alias("start"), F.lit(-1).alias("stop"))
     spans = spans.union(whole).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "start", "stop")).alias("spans"))

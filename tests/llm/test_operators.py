@@ -121,6 +121,15 @@ def test_suffix_dedup(spark):
     assert got == repeats(odd)
 
 
+def test_suffix_dedup_of_a_passage_that_most_documents_hold(spark):
+    passage, rng = words(200, 70), random.Random(8)
+    cut = lambda: passage[rng.randint(0, 200) : rng.randint(500, 900)] if rng.random() < 0.3 else passage
+    rows = [(k, words(12, 100 + k) + " " + cut() + " " + words(rng.randint(0, 30), 300 + k) + (" " + passage if k % 7 == 0 else "")) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.span_digests(df).collect()}
+    assert got == repeats(rows)
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 2, (300, 60), dtype=np.uint8)
