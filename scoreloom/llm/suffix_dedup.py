@@ -20,7 +20,11 @@ PLACE = np.uint64((1 << PLACE_BITS) - 1)
 SHALLOW = 24
 BLOCK = 20_000
 ANCHOR = "h long, key long, nth int, a int"
+#: kind 0: may stand alone; 1: the first of several in its task; 2: another of those, dealt by key in place of h.
+DEALT = f"{ANCHOR}, kind byte"
 CONTEXT = f"{ANCHOR}, back int, near int, context binary"
+#: So many repeated anchors a task remembers; beyond that it forgets the older ones, and deals one row of them again.
+TOLD = 1 << 16
 
 
 def _gram_hashes(flat: np.ndarray) -> np.ndarray:
@@ -70,31 +74,50 @@ def _is_copy(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([x is not None and n in x for x, n in zip(lists.to_pylist(), batch.column("nth").to_pylist())], bool)
 
 
+def anchor_kinds(h: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each anchor's kind (see DEALT), and told, the anchors that the task has dealt as repeated, with those of kind 1."""
+    each, first, inverse, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    new = (counts > 1) & ~np.isin(each, told)
+    kind = np.where(np.isin(each, told) | new, 2, 0).astype(np.int8)[inverse]
+    kind[first[new]] = 1
+    return kind, np.concatenate([told, each[new]]) if len(told) + new.sum() <= TOLD else each[new]
+
+
 def _anchor_rows(length: int):
+    """Texts come sorted by key, so a task that runs again deals its anchors alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros(0, np.int64)
         for batch in slices(batches):
             h, of, a, _, _ = anchors(*text_bytes(batch.column("text")), length)
-            named = (np.asarray(batch.column("key"))[of] != NULL_ID) & ~_is_copy(batch)[of]
-            take = pa.array(of[named])
-            yield pa.RecordBatch.from_arrays([pa.array(h[named]), batch.column("key").take(take), batch.column("nth").take(take), pa.array(a[named].astype(np.int32))], names=["h", "key", "nth", "a"])
+            keys = np.asarray(batch.column("key"))
+            named = (keys[of] != NULL_ID) & ~_is_copy(batch)[of]
+            h, of, a = h[named], of[named], a[named]
+            kind, told = anchor_kinds(h, told)
+            columns = [pa.array(np.where(kind == 2, keys[of], h)), pa.array(keys[of]), batch.column("nth").take(pa.array(of)), pa.array(a.astype(np.int32)), pa.array(kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "nth", "a", "kind"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h, those whose h another row has. One row is held back, not a group."""
-    held, alike = None, False
+    """Of rows sorted by h, the places of those whose h another row has or is known to have. One row is held back, not a group."""
+    held, last, alike = None, None, False
     for batch in batches:
-        if not batch.num_rows:
+        kind, batch_h = np.asarray(batch.column("kind")), np.asarray(batch.column("h"))
+        places = batch.select(["key", "nth", "a"])
+        yield places.filter(pa.array(kind == 2))
+        asked = kind < 2
+        h, several, places = batch_h[asked], kind[asked] == 1, places.filter(pa.array(asked))
+        n = len(h)
+        if not n:
             continue
-        h = np.asarray(batch.column("h"))
         same = h[1:] == h[:-1]
-        before = np.concatenate([[held is not None and h[0] == held.column("h")[0].as_py()], same])
+        before = np.concatenate([[held is not None and h[0] == last], same])
         if held is not None and (alike or before[0]):
             yield held
-        keep = before[:-1] | same
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep))
-        held, alike = batch.slice(batch.num_rows - 1), bool(before[-1])
+        yield places.slice(0, n - 1).filter(pa.array(before[:-1] | same | several[:-1]))
+        held, last, alike = places.slice(n - 1), h[-1], bool(before[-1] | several[-1])
     if held is not None and alike:
         yield held
 
@@ -347,6 +370,7 @@ def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     Whole copies of an earlier text go by their digest alone. For the others:
 
     1. Every text's anchors, a thirtieth of its bytes, are dealt by hash; those that stand alone go, as none of their strings repeats.
+       Of those that a task has seen to repeat, one is dealt by hash for the other tasks to see, and the rest by key.
     2. The others meet their texts and get the bytes around them. Each task sorts its own so that equal ones follow each other: all of
        those but the first are copies, and only the first is dealt on to its anchor's rows, so that a passage which a third of all
        documents hold reaches its anchors' tasks about once per task, not once per document.
@@ -362,8 +386,8 @@ def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     firsts = digests.groupBy("digest").agg(F.min(F.struct("key", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     copies = kept(digests.join(firsts, "digest").where(F.struct("key", "nth") != F.col("first")).select("key", "nth"))
     of_key = copies.groupBy(F.col("key").alias("_copy_key")).agg(F.collect_list("nth").alias("copies"))
-    found = rows.join(of_key, F.col("key") == F.col("_copy_key"), "left").select("key", "nth", "text", "copies").mapInArrow(_anchor_rows(length), ANCHOR)
-    again = found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, ANCHOR)
+    found = rows.join(of_key, F.col("key") == F.col("_copy_key"), "left").select("key", "nth", "text", "copies").mapInArrow(_anchor_rows(length), DEALT)
+    again = found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, "key long, nth int, a int")
     by_key = again.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "a")).alias("anchors"))
     around = rows.join(by_key, F.col("key") == F.col("_key")).select("key", "nth", "text", "anchors").mapInArrow(_contexts(length), CONTEXT)
     order = ("h", "back", "near", "context", "key", "nth", "a")
