@@ -12,8 +12,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from scoreloom.llm._common import WORD, slices
+from scoreloom.llm._common import WORD, slices, written
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -40,14 +41,21 @@ class Band(NamedTuple):
     min_tokens: int = 50
 
 
-#: Prose in the vocabulary's own scripts takes 2 to 6 characters a token; other scripts near one, or fall back to bytes (3 a character).
+#: For texts with fewer than LEAST others to compare with. Prose in the vocabulary's own scripts takes 2 to 6 characters a token; in
+#: scripts whose letters it has, near one and few bytes; of those under `*` it lacks some wholly: bytes only, 3 a character.
 BANDS = {
-    "latin": Band(1.25, 12.0, 0.25, 2.0),
-    "cyrillic": Band(0.9, 12.0, 0.35, 2.0),
-    "greek": Band(0.6, 12.0, 0.6, 2.0),
-    "*": Band(0.25, 12.0, 1.0, 1.5),
+    "latin": Band(1.0, 12.0, 0.25, 3.0),
+    "cyrillic": Band(0.9, 12.0, 0.35, 3.0),
+    "greek": Band(0.6, 12.0, 0.4, 3.0),
+    **dict.fromkeys(("arabic", "hebrew", "han", "kana", "hangul", "thai"), Band(0.5, 6.0, 0.4, 3.0)),
+    "*": Band(0.3, 6.0, 1.0, 2.5),
 }
 
+#: Bands from the documents need so many different ones of a language (or script) and size.
+LEAST = 50
+#: How many quartile distances from the median a text may be, and (by 1 / sqrt(tokens), times the median) the least such distance.
+FAR_CHARS, FAR_ENTROPY, FAR_BYTES, LEAST_SPREAD = 4, 3, 4, 0.3
+
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, "
     "chars_per_token double, tokens_per_word double, byte_share double, token_entropy double"
@@ -201,17 +209,49 @@ def verdict(script: str, lang: str | None, n_tokens: int, chars_per_token: float
     )
 
 
+def derived_bands(found: DataFrame, *names: str) -> DataFrame:
+    """(names, size, low_chars, high_chars, low_entropy, high_bytes): bands from the quartiles of measured rows, by names and size.
+
+    size: the power of two under a text's tokens, as measures of short texts differ more. Rows that agree in their measures count once,
+    so copies of a text have no weight. Rows that failed don't count.
+    """
+    measures = [F.round(c, 3).alias(c) for c in ("chars_per_token", "token_entropy", "byte_share")]
+    each = found.where(~F.col("base_failed") & (F.col("n_tokens") > 0)).where(" and ".join(f"{n} is not null" for n in names)).select(*names, "size", "n_tokens", "word_chars", *measures).distinct()
+    quartile = {c: F.percentile(c, [0.25, 0.5, 0.75]) for c in ("chars_per_token", "token_entropy", "byte_share")}
+    by = each.groupBy(*names, "size").agg(F.count("*").alias("n"), *(q.alias(c) for c, q in quartile.items())).where(F.col("n") >= LEAST)
+    c, e, b = (F.col(x) for x in quartile)
+    spread = F.greatest(c[2] - c[0], LEAST_SPREAD * c[1] / F.sqrt(F.pow(F.lit(2.0), "size")))
+    return by.select(
+        *names, "size", (c[1] - FAR_CHARS * spread).alias("low_chars"), (c[1] + FAR_CHARS * spread).alias("high_chars"),
+        (e[1] - FAR_ENTROPY * F.greatest(e[2] - e[0], F.lit(0.1))).alias("low_entropy"), (b[2] + FAR_BYTES * F.greatest(b[2] - b[0], F.lit(0.02))).alias("high_bytes"),
+    )
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Measured rows with kept by the bands of their language and script, else of their script; where neither has one, as it was."""
+    sized = found.withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
+    of_lang = derived_bands(sized, "lang", "script").select("lang", "script", "size", F.struct("low_chars", "high_chars", "low_entropy", "high_bytes").alias("of_lang"))
+    of_script = derived_bands(sized, "script").select("script", "size", F.struct("low_chars", "high_chars", "low_entropy", "high_bytes").alias("of_script"))
+    rows = sized.join(F.broadcast(of_lang), ["lang", "script", "size"], "left").join(F.broadcast(of_script), ["script", "size"], "left")
+    band = F.coalesce("of_lang", "of_script")
+    fits = F.col("chars_per_token").between(band["low_chars"], band["high_chars"]) & (F.col("token_entropy") >= band["low_entropy"]) & (F.col("byte_share") <= band["high_bytes"])
+    return rows.withColumn("kept", F.when(band.isNull() | F.col("base_failed"), F.col("kept")).otherwise(fits)).select(*(c for c in found.columns if c != "lang"))
+
+
 def measure(docs: DataFrame, path: str | None = None, bands: dict[str, Band] | None = None, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """The measures of each row of docs (doc_id, text, lang): doc_id, base_failed, kept, then MEASURES.
 
     Each word (between white space of ASCII) is cut into pieces of the vocabulary at `path` on its own, so equal words are cut once.
     chars_per_token: characters of words per piece; byte_share: pieces that stand for a single byte, as the vocabulary lacks the
-    character; token_entropy: bits of the text's own distribution of pieces. bands go by script ("latin") or language ("lang:de").
+    character; token_entropy: bits of the text's own distribution of pieces.
+
+    Bands that are given go by script ("latin") or language ("lang:de"). Without them they come from the documents themselves: see
+    derived_bands; BANDS are for languages and scripts with too few. The measures are written to the shared folder for that.
 
     base_failed: fewer than min_words words, or over max_repeat_percent percent of them in 8-word windows that occur again. kept:
-    not base_failed, and within the band. Null and empty texts have no words and fail. Every row is judged alone, in its own task.
+    not base_failed, and within the band. Null and empty texts have no words and fail. Every row is measured alone, in its own task.
     """
-    path, bands = path or default_vocabulary(), bands or BANDS
+    path, derive, bands = path or default_vocabulary(), bands is None, bands or BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
@@ -221,6 +261,7 @@ def measure(docs: DataFrame, path: str | None = None, bands: dict[str, Band] | N
             n_words, repeats = np.asarray(columns[0]), np.asarray(columns[4])
             failed = (n_words < min_words) | (100 * repeats > max_repeat_percent * n_words)
             fits = [verdict(*x, bands) for x in zip(columns[5].to_pylist(), batch.column("lang").to_pylist(), columns[6].to_pylist(), columns[7].to_pylist(), columns[9].to_pylist(), columns[10].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(failed), pa.array(~failed & np.array(fits, bool)), *columns], names=["doc_id", "base_failed", "kept", *(x.split()[0] for x in MEASURES.split(", "))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(failed), pa.array(~failed & np.array(fits, bool)), *columns, batch.column("lang")], names=["doc_id", "base_failed", "kept", *(x.split()[0] for x in MEASURES.split(", ")), "lang"])
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, base_failed boolean, kept boolean, {MEASURES}")
+    found = docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, base_failed boolean, kept boolean, {MEASURES}, lang string")
+    return judged(written(found, "fertility")) if derive else found.drop("lang")

@@ -69,6 +69,50 @@ def test_fertility_base(spark, docs):
         assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and (not r.kept or not r.base_failed)
 
 
+def test_fertility_bands_from_the_documents(spark):
+    common = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what up its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state those people too mr how little good world make very year still see work life men without place great again home under old day same".split()
+    rng = random.Random(4)
+    prose = [(k, " ".join(rng.choices(common, k=rng.randint(100, 150))), "en") for k in range(200)]
+    letters = [(1000 + k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(30 + k)), "en") for k in range(3)]
+    cluttered = [(2000 + k, " | ".join("".join(rng.choices("QXZJKVWY", k=3)) for _ in range(40)), "en") for k in range(3)]
+    few_words = [(3000, " ".join(w for x in rng.sample(common, 8) for w in [x] * 15), "en")]
+    unlabelled = [(4000 + k, t, None) for k, (_, t, _) in enumerate([*prose[:2], *letters[:2]])]
+    df = spark.createDataFrame([*prose, *letters, *cluttered, *few_words, *unlabelled], "doc_id long, text string, lang string").repartition(3)
+    rows = {r.doc_id: r for r in fertility.measure(df).collect()}
+    kept = {d for d, r in rows.items() if r.kept}
+    assert kept == {*range(200), 4000, 4001}
+    assert all(not rows[d].base_failed for d in (1000, 1001, 1002, 4002, 4003))
+    assert {r.doc_id for r in fertility.measure(df, bands=fertility.BANDS).where("kept").collect()} >= kept | {1000}
+
+
+PROSE = {
+    "latin": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood",
+    "cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση",
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם כולם חוננו בתבונה ובמצפון לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה",
+    "han": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利和自由",
+    "kana": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다 인간은 천부적으로 이성과 양심을 부여받았으며",
+    "thai": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ",
+    "indic": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है",
+    "armenian": "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով նրանք ունեն բանականություն ու խիղճ",
+    "other": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით მათ მინიჭებული აქვთ გონება და სინდისი",
+}
+
+
+@pytest.mark.parametrize("script", sorted(PROSE))
+def test_fertility_fixed_bands_keep_prose_and_reject_junk(script):
+    def fits(text):
+        m = [c[0].as_py() for c in fertility._measured([text], fertility._pieces(fertility.default_vocabulary()))]
+        assert m[5] == script
+        return fertility.verdict(script, None, m[6], m[7], m[9], m[10], fertility.BANDS)
+
+    assert fits(PROSE[script])
+    letter = next(c for c in PROSE[script] if ord(c) > 0x40 and c.isalpha())
+    assert not fits(" ".join([letter * 3 + PROSE[script].split()[0][:1]] * 60))
+
+
 def test_repeat_words_counts_windows():
     numbers = np.array([*range(8), *range(8), 99, *range(4)])
     assert fertility.repeat_words(numbers, np.array([0, len(numbers)])).tolist() == [16]
