@@ -22,6 +22,11 @@ BLOCK = 20_000
 ANCHOR = "h long, key long, nth int, a int"
 #: kind 0: may stand alone; 1: the first of several in its task; 2: another of those, dealt by key in place of h.
 DEALT = f"{ANCHOR}, kind byte"
+SPANS = "key long, nth int, start int, stop int"
+#: Of an anchor with too many contexts to hold, these go on with them in place of spans.
+SPREAD = f"{SPANS}, a int, back int, near int, context binary"
+#: A window's digest in two halves; spans have their key in place of the first, and no second.
+WINDOWS = f"deal long, more long, {SPANS}"
 CONTEXT = f"{ANCHOR}, back int, near int, context binary"
 #: So many repeated anchors a task remembers; beyond that it forgets the older ones, and deals one row of them again.
 TOLD = 1 << 16
@@ -304,11 +309,17 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield bare.set_column(bare.num_columns - 1, "context", pa.nulls(bare.num_rows, pa.binary()))
 
 
-def _spans(length: int):
-    names = ["key", "nth", "start", "stop"]
+def _spans(length: int, block: int = BLOCK):
+    """Spans of rows sorted by anchor and context. Of an anchor with more than `block` different contexts, those go on as they are."""
+    names = ["key", "nth", "start", "stop", "a", "back", "near", "context"]
 
     def out(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:2]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], names=names)
+        none = [*(pa.nulls(len(columns[0]), pa.int32()) for _ in range(3)), pa.nulls(len(columns[0]), pa.binary())]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:2]), *(pa.array(c.astype(np.int32)) for c in columns[2:]), *none], names=names)
+
+    def spread(rows: pa.RecordBatch) -> pa.RecordBatch:
+        none = pa.nulls(rows.num_rows, pa.int32())
+        return pa.RecordBatch.from_arrays([rows.column("key"), rows.column("nth"), none, none, *(rows.column(n) for n in names[4:])], names=names)
 
     def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
         key, nth, a, back, near = (np.asarray(rows.column(n)) for n in ("key", "nth", "a", "back", "near"))
@@ -325,13 +336,11 @@ def _spans(length: int):
         rank = np.empty(len(k), np.int64)
         rank[np.lexsort((a[k], nth[k], doc[k]))] = np.arange(len(k))
         again = repeated_windows(group[k], rank, back[k], near[k], rows.column("context").take(pa.array(k)).to_pylist(), length)
-        edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        (of, r1), (_, r2) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-        of = k[of]
-        return out(doc[of], nth[of], a[of] - (r2 - 1), a[of] - r1 + length)
+        of, start, stop = _merged(again, a[k], length)
+        return out(doc[k[of]], nth[k[of]], start, stop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, count = None, [], 0
+        last, held, count, hot = None, [], 0, None
         for batch in batches:
             bare = batch.column("context").is_null()
             yield whole(batch.filter(bare))
@@ -342,25 +351,118 @@ def _spans(length: int):
             last = batch.slice(batch.num_rows - 1)
             yield whole(copies)
             h = np.asarray(first.column("h"))
+            if hot is not None and len(h):
+                n = int(np.argmax(np.append(h != hot, True)))
+                yield spread(first.slice(0, n))
+                first, h = first.slice(n), h[n:]
+                hot = None if len(h) else hot
             cut = np.flatnonzero(h[1:] != h[:-1]) + 1
             if held and len(h) and h[0] != held[-1].column("h")[held[-1].num_rows - 1].as_py():
                 cut = np.concatenate([[0], cut])
             done = 0
             for c in cut.tolist():
-                if count + c - done >= BLOCK:
+                if count + c - done >= block:
                     yield solved([*held, first.slice(done, c - done)])
                     held, count, done = [], 0, c
             rest = first.slice(done)
             if rest.num_rows:
                 held.append(rest)
                 count += rest.num_rows
+            if count > block and held:
+                all_h = np.concatenate([np.asarray(x.column("h")) for x in held])
+                n = count - int((all_h == all_h[-1]).sum())
+                if count - n > block:
+                    rows = pa.Table.from_batches(held)
+                    if n:
+                        yield solved(rows.slice(0, n).to_batches())
+                    yield from map(spread, rows.slice(n).to_batches())
+                    held, count, hot = [], 0, all_h[-1]
         if held:
             yield solved(held)
 
     return run
 
 
-def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
+def _merged(again: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the runs of windows r = 0, 1, .. that again[row] marks."""
+    edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (of, r1), (_, r2) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return of, a[of] - (r2 - 1), a[of] - r1 + length
+
+
+def _windows(length: int):
+    """Contexts to WINDOWS: each different window of a slice once, with its earliest place there, and the others of the slice as spans.
+
+    Spans come sorted by key, nth and start; those of a batch that touch are joined.
+    """
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
+
+    def out(deal: np.ndarray, more: pa.Array, key: np.ndarray, nth: np.ndarray, start: np.ndarray, stop: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(deal), more, pa.array(key), pa.array(nth), pa.array(start.astype(np.int32)), stop], names=names)
+
+    def joined(spans: pa.RecordBatch) -> pa.RecordBatch:
+        key, nth, start, stop = (np.asarray(spans.column(n)) for n in ("key", "nth", "start", "stop"))
+        text = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (nth[1:] != nth[:-1])])[: len(key)])
+        begin, reach = start + (text << 32), np.maximum.accumulate(stop + (text << 32))
+        k = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]])[: len(key)])
+        last = np.append(k[1:], len(key))[: len(k)] - 1
+        return out(key[k], pa.nulls(len(k), pa.int64()), key[k], nth[k], start[k], pa.array((reach[last] - (text[last] << 32)).astype(np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "context"):
+            spans = batch.filter(batch.column("context").is_null())
+            batch = batch.filter(batch.column("context").is_valid())
+            yield joined(spans)
+            if not batch.num_rows:
+                continue
+            key, nth, a, back, near = (np.asarray(batch.column(n)) for n in ("key", "nth", "a", "back", "near"))
+            parts = [
+                hashlib.blake2b(context[b - r : b - r + length], digest_size=16).digest()
+                for context, b, n in zip(batch.column("context").to_pylist(), back.tolist(), near.tolist()) for r in range(n, b + 1)
+            ]
+            digest = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
+            counts = back - near + 1
+            of = np.repeat(np.arange(len(key)), counts)
+            r = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts - near, counts)
+            rank = np.empty(len(key), np.int64)
+            rank[np.lexsort((a, nth, key))] = np.arange(len(key))
+            by = np.lexsort((rank[of], digest[:, 1], digest[:, 0]))
+            same = np.concatenate([[False], (digest[by][1:] == digest[by][:-1]).all(axis=1)])
+            again = np.zeros((len(key), length - GRAM + 1), bool)
+            again[of[by[same]], r[by[same]]] = True
+            k, start, stop = _merged(again, a, length)
+            yield out(key[k], pa.nulls(len(k), pa.int64()), key[k], nth[k], start, pa.array(stop.astype(np.int32)))
+            w = by[~same]
+            k = of[w]
+            yield out(digest[w, 0], pa.array(digest[w, 1]), key[k], nth[k], a[k] - r[w], pa.nulls(len(k), pa.int32()))
+
+    return run
+
+
+def _later(length: int):
+    """WINDOWS sorted by digest and place to spans: those that are there, and of each window all places but the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            spans = batch.column("more").is_null()
+            names = ["key", "nth", "start", "stop"]
+            yield batch.filter(spans).select(names)
+            rows = batch.filter(pa.compute.invert(spans))
+            if not rows.num_rows:
+                continue
+            digest = np.stack([np.asarray(rows.column("deal")), np.asarray(rows.column("more"))], axis=1)
+            before = np.concatenate([digest[:1] if last is None else last, digest[:-1]])
+            same = (digest == before).all(axis=1)
+            same[0] &= last is not None
+            last = digest[-1:]
+            found = rows.filter(pa.array(same)).select(names)
+            yield found.set_column(3, "stop", pa.array((np.asarray(found.column("start")) + length).astype(np.int32)))
+
+    return run
+
+
+def with_spans(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
     """(key, nth, text, spans) of each row of docs (doc_id, text): spans is an array of (nth, start, stop; -1: the end) of bytes to remove from the
     rows of its doc_id, which may overlap; a row's own are those of its nth. Null if there are none.
 
@@ -376,6 +478,9 @@ def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
        documents hold reaches its anchors' tasks about once per task, not once per document.
     3. There they are sorted again and copies told apart in the same way; different ones are held, one anchor's group at a time, for
        deep-shallow sorting.
+    4. An anchor with more than `block` different contexts isn't held: they go on, dealt by document, as windows with 128-bit digests. Each
+       slice deals a window once, by digest; where it meets others, all but the earliest go. So neither an anchor nor a window is one
+       task's.
 
     Rows that repeat a doc_id are texts of that document one after another, in the order of their texts. Rows whose doc_id is null take
     no part. Null and empty texts, and those under `length` bytes, have no string. Texts have up to 2**28 bytes.
@@ -393,7 +498,9 @@ def with_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     order = ("h", "back", "near", "context", "key", "nth", "a")
     fewer = around.sortWithinPartitions(*order).mapInArrow(_combined, CONTEXT)
     dealt = fewer.repartition(parts, "h").sortWithinPartitions(*order)
-    spans = dealt.mapInArrow(_spans(length), "key long, nth int, start int, stop int")
+    solved = dealt.mapInArrow(_spans(length, block), SPREAD).repartition(parts, "key").sortWithinPartitions("key", "nth", "start")
+    windows = solved.mapInArrow(_windows(length), WINDOWS).repartition(parts, "deal").sortWithinPartitions("deal", "more", "key", "nth", "start")
+    spans = windows.mapInArrow(_later(length), SPANS)
     whole = copies.select("key", "nth", F.lit(0).alias("start"), F.lit(-1).alias("stop"))
     spans = spans.union(whole).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "start", "stop")).alias("spans"))
     return rows.join(spans, F.col("key") == F.col("_key"), "left").select("key", "nth", "text", "spans")
@@ -429,9 +536,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def span_digests(docs: DataFrame, length: int = 100) -> DataFrame:
+def span_digests(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document: its bytes, those removed, their maximal runs, the rest's digest."""
-    found = with_spans(docs, length).mapInArrow(_digests, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = with_spans(docs, length, block).mapInArrow(_digests, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return found.select(id_of(F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -174,6 +174,31 @@ def test_suffix_dedup_of_a_passage_that_most_documents_hold(spark):
     assert got == repeats(rows)
 
 
+def test_suffix_dedup_of_an_anchor_with_too_many_surroundings_to_hold(spark):
+    passage, rng = words(40, 71), random.Random(9)
+    rows = [(rng.randint(0, 80), words(9, 500 + k) + " " + passage + " " + words(rng.randint(0, 25), 700 + k) + (" " + passage if k % 9 == 0 else "")) for k in range(150)]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block in (1, 10, suffix_dedup.BLOCK):
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.span_digests(df, block=block).collect()} == repeats(rows)
+
+
+def hot_anchor(n, size=1000):
+    """n rows of one anchor, sorted, each with other bytes to the left, and 5 of another; in batches of `size`."""
+    import pyarrow as pa
+
+    contexts = [b"%060d" % k + b"x" * 100 for k in range(n)] + [b"%060d" % k + b"y" * 100 for k in range(5)]
+    total = len(contexts)
+    columns = [np.array([7] * n + [8] * 5), np.arange(total), *(np.full(total, v, np.int32) for v in (0, 60, 60, 0))]
+    rows = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(contexts, pa.binary())], names=["h", "key", "nth", "a", "back", "near", "context"])
+    return [rows.slice(k, size) for k in range(0, total, size)]
+
+
+def test_a_hot_anchor_is_not_held():
+    passed = sum(len(x) - x.column("context").null_count for x in suffix_dedup._spans(100, 3000)(iter(hot_anchor(20_000))))
+    assert passed == 20_000
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 2, (300, 60), dtype=np.uint8)
