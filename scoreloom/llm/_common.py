@@ -25,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The session names that folder in spark.checkpoint.dir; only where it is unset, as in tests, a temporary one is made.
+    The session names that folder in spark.checkpoint.dir. Only where it is unset and everything runs on one machine, as in tests, a
+    temporary one is made; a cluster without that setting is refused with a ValueError.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scoreloom-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scoreloom-"))
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -74,6 +78,36 @@ def id_of(key: Column) -> Column:
     return F.nullif(key, F.lit(NULL_ID))
 
 
+#: A key is hot if over FEW rows and over one in SHARES rows have it: there are fewer than SHARES hot keys, whatever the size.
+FEW, SHARES = 1000, 1000
+#: So many tasks share the rows of a hot key.
+SALTS = 32
+
+
+def hot_keys(counts: DataFrame, keys: list[str]) -> list:
+    """The hot keys of counts (keys, n), fewer than SHARES rows."""
+    total = counts.agg(F.sum("n")).head(1)[0][0] or 0
+    return counts.where(F.col("n") > max(FEW, total // SHARES)).select(*keys).collect()
+
+
+def joined(rows: DataFrame, info: DataFrame, keys: list[str], how: str = "inner", hot: list | None = None) -> DataFrame:
+    """rows with the columns of info, which has one row per key at most, however many rows share a key. how: inner, left or left_semi.
+
+    hot: what hot_keys found; by default it is looked for in rows, which are read once more for that. Rows of a hot key are dealt over
+    SALTS tasks by a hash of all their columns, and the key's row of info goes to each of these.
+    """
+    if hot is None:
+        hot = hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    if not hot:
+        return rows.join(info, keys, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(few, keys, "left").withColumn("_salt", salt).drop("_hot")
+    spread = info.join(few, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

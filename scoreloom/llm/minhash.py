@@ -10,29 +10,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import WORD, kept, slices, written
+from scoreloom.llm._common import WORD, hot_keys, joined, kept, slices, written
 
 WORDS = re.compile(WORD.encode())
 ROWS = 5
-#: A pair at the threshold shares no band with at most this chance.
+#: A pair at the threshold shares no band with at most this chance; nothing else misses a pair.
 MISS = 1e-5
-#: Coordinates beyond the bands' whose lowest bits make a 128-bit sketch.
+#: Coordinates beyond the bands' whose lowest bits make a 128-bit sketch, by which centres of buckets are chosen.
 SKETCH = 128
+#: Buckets of bands with up to SMALL members are compared pair by pair, those of differences with up to COMPARED.
+SMALL, COMPARED = 6, 100
 
 
 def bands_for(threshold: float) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS))
 
 
-def sketch_floor(threshold: float) -> int:
-    """Equal sketch bits that a pair at the threshold falls below with a chance of MISS at most: 4.3 deviations under its mean."""
-    share = 0.5 + threshold / 2
-    return int(SKETCH * share - 4.3 * math.sqrt(SKETCH * share * (1 - share)))
-
-
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -120,11 +116,11 @@ def _sketched(width: int, n_bands: int):
             digests = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()),
+                    batch.column("doc_id"), batch.column("version"), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, n_bands), pa.int32()), pa.array(bands.ravel().view(np.int64))),
                     pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands", "s1", "s2"],
+                names=["doc_id", "version", "n_shingles", "digest", "bands", "s1", "s2"],
             )
 
     return run
@@ -134,7 +130,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             key, bounds = shingle_sets(batch.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key.view(np.int64)))], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key.view(np.int64)))], names=["cid", "shingles"])
 
     return run
 
@@ -143,114 +139,199 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node that links lead to.
 
     Rounds of the least label among neighbours, then of that label's own label, until nothing changes: chains halve every round.
-    Each round is checkpointed, so neither its plan nor a lost executor's work grows.
+    Each round is checkpointed, so neither its plan nor a lost executor's work grows. Nodes with very many links, and components
+    with very many nodes, are spread over tasks.
     """
     both = kept(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"])
     labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")).select("node", "component"))
     while True:
         other = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
-        least = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        near = labels.join(least, "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("theirs", "component")).alias("component"))
+        least = joined(both, other, ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
+        near = kept(labels.join(least, "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("theirs", "component")).alias("component")))
         root = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = kept(near.join(root, "component", "left").select("node", "before", F.least("component", F.coalesce("root", "component")).alias("component")))
+        new = kept(joined(near, root, ["component"], "left").select("node", "before", F.least("component", F.coalesce("root", "component")).alias("component")))
         labels = new.select("node", "component")
         if not new.where("before <> component").take(1):
             return labels
 
 
+def _labels_with(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (cid, component) after more links (a, b); what has no link has no row."""
+    if not links.take(1):
+        return labels
+    ends = links.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    known = kept(labels.unionByName(ends.join(labels, "cid", "left_anti").withColumn("component", F.col("cid"))))
+    at = lambda end: known.select(F.col("cid").alias(end), F.col("component").alias(f"of_{end}"))
+    across = kept(joined(kept(joined(links, at("a"), ["a"])), at("b"), ["b"]).where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    roots = components(across).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return written(joined(known, roots, ["component"], "left").select("cid", F.coalesce("root", "component").alias("component")), "labels")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+
+
+def _alike_in_size(a: str, b: str, percent: int) -> Column:
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs, checkpointed, with the sets of both as a_set and b_set. One cid may be in very many of them."""
+    of = lambda side, name: sets.select(F.col("cid").alias(side), F.col("shingles").alias(name))
+    hot_a, hot_b = (hot_keys(pairs.groupBy(x).agg(F.count("*").alias("n")), [x]) for x in (a, b))
+    return joined(joined(pairs, of(a, "a_set"), [a], hot=hot_a), of(b, "b_set"), [b], hot=hot_b)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"{side}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     union = F.size("a_set") + F.size("b_set") - shared
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(F.lit(100) * shared >= F.lit(percent) * union).select("a", "b")
+    return _with_sets(pairs, sets, "a", "b").where(F.lit(100) * shared >= F.lit(percent) * union).select("a", "b")
+
+
+def _open(rows: DataFrame) -> tuple[DataFrame, list]:
+    """The rows (b1, b2, side, cid, component, n_shingles, s1, s2) of buckets that may still hold a link across components, with the
+    number n of the bucket's rows; and the hot buckets. Of buckets with the same members (by 128 bits), as those of copies with one
+    small difference are in most bands, one stays."""
+    members = [F.bit_xor(F.xxhash64("cid", "side", F.lit(k))).alias(f"members_{k}") for k in range(2)]
+    sizes = rows.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.bit_or("side").alias("sides"), *members)
+    sizes = sizes.where("least < most and sides = 3").groupBy("n", "members_0", "members_1").agg(F.min(F.struct("b1", "b2")).alias("b")).select("b.b1", "b.b2", "n")
+    sizes = written(sizes, "buckets")
+    hot = hot_keys(sizes, ["b1", "b2"])
+    return written(joined(rows, sizes, ["b1", "b2"], hot=hot), "members"), hot
+
+
+def _met(small: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides (x_, y_) of a join of small buckets with themselves, and its condition: a pair across components and sides."""
+    side = lambda x: small.select("b1", "b2", *[F.col(c).alias(f"{x}_{c}") for c in ("cid", "component", "side", *columns)])
+    x, y = side("x"), side("y")
+    across = (F.col("x_cid") < F.col("y_cid")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_side").bitwiseOR(F.col("y_side")) == 3)
+    return x, y, (x["b1"] == y["b1"]) & (x["b2"] == y["b2"]) & across
+
+
+def _pairs_of_small(small: DataFrame, percent: int) -> DataFrame:
+    x, y, met = _met(small, ["n_shingles"])
+    return x.join(y, met & _alike_in_size("x_n_shingles", "y_n_shingles", percent)).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"))
+
 
+def _links_of_small(small: DataFrame, differs: DataFrame, percent: int) -> DataFrame:
+    """Links within small buckets of differences, told by the differences alone (see _by_difference); only links leave the join."""
+    own = differs.select(F.col("centre").alias("b1"), "cid", "tokens", "weight", "room")
+    x, y, met = _met(small.join(own, ["b1", "cid"]), ["tokens", "weight", "room"])
+    shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
+    return x.join(y, met & (F.lit(100 + percent) * shared >= F.col("x_weight") + F.col("y_weight") - F.col("x_room"))).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
-def _centres(rows: DataFrame) -> DataFrame:
-    """(band, key, centre) of each bucket: the member whose sketch is nearest to what most of the bucket's sketches say, bit by bit.
 
-    Among near copies of one text that is the text itself, or what comes closest to it. Counts of two bits share a long.
+def _spokes(large: DataFrame, hot: list) -> DataFrame:
+    """The rows of large buckets, each with its bucket's centre (centre, c_component, c_shingles); the centre's own row is left out.
+
+    The centre is the member whose sketch is nearest to what most of the bucket's sketches say, bit by bit. Among near copies of one
+    text that is the text itself, or what comes closest to it. Counts of two bits share a long.
     """
-    lanes = F.lit((1 << 32) | 1)
+    lanes, low = F.lit((1 << 32) | 1), F.lit((1 << 32) - 1)
     ones = [F.sum(F.shiftrightunsigned(F.col(c), k).bitwiseAND(lanes)).alias(f"{c}_{k}") for c in ("s1", "s2") for k in range(32)]
-    bit = lambda n, k: F.when(n * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
-    low = F.lit((1 << 32) - 1)
-    most = lambda c: reduce(
-        lambda x, y: x.bitwiseOR(y), [part for k in range(32) for part in (bit(F.col(f"{c}_{k}").bitwiseAND(low), k), bit(F.shiftrightunsigned(F.col(f"{c}_{k}"), 32), k + 32))]
-    )
-    said = rows.groupBy("band", "key").agg(F.count("*").alias("n"), *ones).select("band", "key", most("s1").alias("m1"), most("s2").alias("m2"))
+    bit = lambda n, k: F.when(n * 2 > F.col("rows"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+
+    def most(c: str) -> Column:
+        parts = [x for k in range(32) for x in (bit(F.col(f"{c}_{k}").bitwiseAND(low), k), bit(F.shiftrightunsigned(F.col(f"{c}_{k}"), 32), k + 32))]
+        return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+    said = large.groupBy("b1", "b2").agg(F.count("*").alias("rows"), *ones).select("b1", "b2", most("s1").alias("m1"), most("s2").alias("m2"))
     far = F.bit_count(F.col("s1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("m2")))
-    return rows.join(said, ["band", "key"]).groupBy("band", "key").agg(F.min(F.struct(far.alias("far"), F.col("doc_id"))).alias("x")).select("band", "key", F.col("x.doc_id").alias("centre"))
+    nearest = F.min(F.struct(far.alias("far"), "cid", "component", "n_shingles")).alias("x")
+    centres = joined(large, said, ["b1", "b2"], hot=hot).groupBy("b1", "b2").agg(nearest)
+    centres = centres.select("b1", "b2", F.col("x.cid").alias("centre"), F.col("x.component").alias("c_component"), F.col("x.n_shingles").alias("c_shingles"))
+    return joined(large, centres, ["b1", "b2"], hot=hot).where("cid <> centre")
+
 
+def _by_difference(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of large buckets, dealt to buckets of the next step: by what they have differently from their centre. And the differences.
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, each with its component."""
-    labelled = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band", "key")
-    return kept(labelled.join(split, ["band", "key"]).select("band", "key", "doc_id", "n_shingles", "s1", "s2", "component"))
+    Let a member lack M of the centre's shingles and have E of its own. Two members that share s of these differences are linked if
+    (100 + p) s >= W + W' - (100 - p) |centre|, where W = p E + 100 M; and a member is linked with the centre if W is at most the last
+    term. So a pair of which one isn't linked with the centre shares differences, more than W / (100 + p) of each if neither is. Among
+    so many of D differences in one order for all, two members have one in common within the first D + 1 - least(s). The rarest around
+    the centre come first. Nothing is left out: the bound is exact, and the next step compares what shares a bucket.
+
+    side 3: both not linked with the centre; 1 and 2: one that isn't, and one that is; only buckets with both matter then.
+    """
+    attributes = ["component", "n_shingles", "s1", "s2"]
+    found = written(_labelled(spokes.select("centre", "cid", "n_shingles", "s1", "s2").distinct(), labels), "spokes")
+    by_centre = found.groupBy("centre").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    by_centre = kept(by_centre.where("least < most"))
+    hot = hot_keys(by_centre, ["centre"])
+    both = _with_sets(kept(joined(found, by_centre.select("centre"), ["centre"], hot=hot)), sets, "cid", "centre")
+    own, lacks = F.array_except("a_set", "b_set"), F.array_except("b_set", "a_set")
+    differs = both.select("centre", "cid", *attributes, F.size("b_set").alias("size"), own.alias("own"), lacks.alias("lacks"))
+    weight, room = (F.lit(percent) * F.size("own") + F.lit(100) * F.size("lacks")).cast("long"), F.lit(100 - percent) * F.col("size")
+    near, away = (F.floor(x / F.lit(100 + percent)).cast("int") for x in (weight, weight - room - 1))
+    kinds = F.when(weight <= room, F.array(F.struct(F.lit(2).alias("side"), near.alias("spare")))).otherwise(
+        F.array(F.struct(F.lit(3).alias("side"), near.alias("spare")), F.struct(F.lit(1).alias("side"), away.alias("spare")))
+    )
+    differs = written(differs.select("centre", "cid", *attributes, F.concat("own", "lacks").alias("tokens"), weight.alias("weight"), room.cast("long").alias("room"), kinds.alias("kinds")), "differences")
+    tokens = differs.select("centre", "cid", F.explode("tokens").alias("token"))
+    often = kept(tokens.groupBy("centre", "token").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = joined(tokens, often, ["centre", "token"], hot=hot_keys(often, ["centre", "token"])).groupBy("centre", "cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    both = differs.select("centre", "cid", *attributes, F.inline("kinds")).join(shared, ["centre", "cid"])
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") - F.col("spare")))
+    dealt = both.select(F.col("centre").alias("b1"), "side", "cid", *attributes, F.explode(first).alias("x"))
+    return dealt.withColumn("b2", F.xxhash64(F.col("side") == 3, "x.token")).drop("x"), differs
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the smallest doc_id that links lead to, itself included.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of `width`-word shingles, confirmed on the full
-    sets. Candidates share one of the bands of their signatures; a pair at the threshold is missed with a chance of MISS at most.
+    sets of 64-bit hashes. Candidates share one of the bands of their signatures; a pair at the threshold shares none with a chance
+    of MISS at most, one above it with less. No other step leaves a pair out.
 
-    Equal sets are one set from the start, so copies are never paired. In each bucket of a band the members are first held against
-    its centre, then those that this doesn't connect against the centre of the rest; what is still apart is compared within its
-    bucket across components, by sketch and by the sets' hashes cut to 31 bits, inside the join: only pairs that reach the threshold
-    leave it. No bucket is cut off. A bucket of copies and near copies of one text costs about as many pairs as members; one whose
-    members are all just below the threshold is compared pair by pair.
+    Equal sets are one class from the start, so copies are never paired. Members of a bucket that no link connects yet are compared
+    pair by pair if they are few. In a larger bucket all are compared with its centre only, and then dealt to buckets by what they
+    have differently from it (see _by_difference), until no bucket holds two components. So a bucket costs about as many comparisons as
+    members, also where all are just below the threshold to each other.
 
     Null and empty texts have no shingle and link to nothing; neither do rows whose doc_id is null, whose component_id is null.
-    Repeated rows of one doc_id are linked as if they were documents, and share their component. An empty table gives none.
+    All rows of one doc_id share their component, which links of each of their texts lead to. An empty table gives none.
     """
-    columns = "doc_id long, n_shingles long, digest binary, bands array<long>, s1 long, s2 long"
-    sketched = written(docs.select("doc_id", "text").mapInArrow(_sketched(width, bands_for(percent / 100)), columns), "sketches")
-    rows = sketched.where("doc_id is not null and n_shingles > 0")
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    classes = kept(rows.join(firsts, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("digest", "doc_id", "n_shingles", "bands", "s1", "s2"))
-    banded = classes.select("doc_id", "n_shingles", "s1", "s2", F.posexplode("bands").alias("band", "key"))
-    several = banded.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("band", "key")
-    members = kept(banded.join(several, ["band", "key"]))
-    full = written(docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    equal = lambda x, y: F.lit(SKETCH) - F.bit_count(F.col(f"{x}s1").bitwiseXOR(F.col(f"{y}s1"))) - F.bit_count(F.col(f"{x}s2").bitwiseXOR(F.col(f"{y}s2")))
-    possible = lambda x, y: (F.lit(100) * F.least(f"{x}n_shingles", f"{y}n_shingles") >= F.lit(percent) * F.greatest(f"{x}n_shingles", f"{y}n_shingles")) & (equal(x, y) >= sketch_floor(percent / 100))
-
-    tried, links, labels = None, None, None
-    apart = members.withColumn("component", F.col("doc_id"))
-    for step in range(2):
-        if step:
-            heads = apart.join(centres.withColumnRenamed("centre", "doc_id"), ["band", "key", "doc_id"]).select("band", "key", F.col("component").alias("first"))  # noqa: F821
-            rest = apart.join(heads, ["band", "key"], "left").where("first is null or component <> first")
-            centres = kept(_centres(rest))
-        else:
-            centres = kept(_centres(apart))
-        own = apart.join(centres.withColumnRenamed("centre", "doc_id"), ["band", "key", "doc_id"]).select("band", "key", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n_shingles", "s1", "s2", "component")])
-        beside = apart.join(own, ["band", "key"]).where((F.col("component") != F.col("c_component")) & possible("", "c_"))
-        pairs = beside.select(F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")).distinct()
-        pairs = kept(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        new = kept(_linked(pairs, full, percent))
-        tried, links = (pairs, new) if tried is None else (tried.union(pairs), links.union(new))
-        labels = components(links)
-        apart = _open(members, labels)
-    short = full.select("doc_id", F.transform("shingles", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("some"))
-    held = apart.join(short, "doc_id")
-    side = lambda x: held.select("band", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n_shingles", "s1", "s2", "component", "some")])
-    x, y = side("x"), side("y")
-    shared = F.size(F.array_intersect("x_some", "y_some")).cast("long") + 2  # two more than counted, as 31 bits may be alike
-    enough = F.lit(100) * shared >= F.lit(percent) * (F.col("x_n_shingles") + F.col("y_n_shingles") - shared)
-    across = (F.col("x_component") != F.col("y_component")) & (F.col("x_doc_id") < F.col("y_doc_id")) & possible("x_", "y_") & enough
-    left = x.join(y, (x["band"] == y["band"]) & (x["key"] == y["key"]) & across).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
-    more = kept(_linked(left.join(tried, ["a", "b"], "left_anti"), full, percent))
-    labels = components(links.union(more)) if more.take(1) else labels
-    of_class = classes.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("of_set"))
-    placed = rows.select("doc_id", "digest").join(of_class, "digest").groupBy("doc_id").agg(F.min("of_set").alias("component"))
-    return (
-        sketched.select("doc_id", "n_shingles")
-        .join(placed, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    )
+    columns = "doc_id long, version long, n_shingles long, digest binary, bands array<long>, s1 long, s2 long"
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    sketched = written(texts.mapInArrow(_sketched(width, bands_for(percent / 100)), columns), "sketches")
+    rows = sketched.where("doc_id is not null and n_shingles > 0").select("doc_id", "version", "digest", "n_shingles", "bands", "s1", "s2")
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("first")).select("digest", "first.*")
+    key = ["digest", "doc_id", "version"]
+    classes = kept(rows.join(firsts, key, "left_semi").dropDuplicates(key).withColumn("cid", F.monotonically_increasing_id()))
+    placed = kept(joined(rows.select("doc_id", "digest"), classes.select("digest", "cid"), ["digest"]).select("doc_id", "cid").distinct())
+    several = placed.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("last"), F.count("*").alias("n")).where("a < last")
+    repeats = kept(joined(placed, several.select("doc_id", "a"), ["doc_id"], hot=hot_keys(several, ["doc_id"])).where("cid <> a").select("a", F.col("cid").alias("b")))
+    spark = docs.sparkSession
+    labels = _labels_with(spark.createDataFrame([], "cid long, component long"), repeats)
+
+    banded = _labelled(classes, labels).select("cid", "component", "n_shingles", "s1", "s2", F.posexplode("bands").alias("b1", "b2"), F.lit(3).alias("side"))
+    opened, hot = _open(banded.withColumn("b1", F.col("b1").cast("long")))
+    wanted = classes.join(opened.select("cid").distinct(), "cid", "left_semi").select("doc_id", "version", "cid")
+    sets = written(texts.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("cid", "text").mapInArrow(_sets(width), "cid long, shingles array<long>"), "sets")
+    tried, differs = spark.createDataFrame([], "a long, b long"), None
+    while opened.take(1):
+        most = SMALL if differs is None else COMPARED
+        small, spokes = opened.where(F.col("n") <= most), written(_spokes(opened.where(F.col("n") > most), hot), "spokes")
+        with_centre = spokes.where("component <> c_component").where(_alike_in_size("n_shingles", "c_shingles", percent))
+        pairs = with_centre.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))
+        pairs = pairs.union(_pairs_of_small(small, percent)) if differs is None else pairs
+        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = _linked(pairs, sets, percent)
+        links = written(links if differs is None else links.union(_links_of_small(small, differs, percent)), "links")
+        tried, labels = tried.union(pairs), _labels_with(labels, links)
+        if not spokes.take(1):
+            break
+        dealt, differs = _by_difference(spokes, labels, sets, percent)
+        opened, hot = _open(dealt)
+
+    found = kept(_labelled(classes.select("cid", "doc_id"), labels))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = joined(found, least, ["component"]).select("cid", "component_id")
+    of_doc = joined(placed, of_class, ["cid"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return sketched.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:

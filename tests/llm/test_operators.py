@@ -213,30 +213,71 @@ def test_deep_shallow_order():
         assert common[k] == (-1 if group[order[k]] != group[order[k - 1]] else next((j for j in range(60) if a[j] != b[j]), 60))
 
 
-def test_minhash_hot_groups(spark):
-    rng = random.Random(2)
-    base = words(150, 8).split()
-    rows = []
-    for k in range(150):
-        t = base[:]
-        for _ in range(rng.randint(0, 6)):
-            t[rng.randrange(len(t))] = f"w{rng.randrange(10**6)}"
-        rows.append((k, " ".join(t)))
-    sets = {k: {tuple(t.split()[j : j + 3]) for j in range(148)} for k, t in rows}
-    root = {k: k for k in sets}
+def components_of(rows, width, percent):
+    """(n_shingles, component_id) of each row, in order, by brute force: rows of one doc_id and rows whose sets are alike are linked."""
+    sets = [{tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
 
     def find(k):
         while root[k] != k:
             k = root[k]
         return k
 
-    for a in sets:
-        for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
-    assert got == {k: (len(sets[k]), find(k)) for k in sets}
+    named = [k for k, (d, _) in enumerate(rows) if d is not None]
+    for n, a in enumerate(named):
+        for b in named[n + 1 :]:
+            if rows[a][0] == rows[b][0] or (sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])):
+                root[find(b)] = find(a)
+    least = {}
+    for k in named:
+        least[find(k)] = min(rows[k][0], least.get(find(k), rows[k][0]))
+    return [(d, len(sets[k]), least[find(k)] if d is not None else None) for k, (d, _) in enumerate(rows)]
+
+
+def found_components(spark, rows, width, percent):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, width, percent).collect())
+
+
+def edited(base, edits, rng, own=10**6):
+    t = base[:]
+    for _ in range(edits):
+        t[rng.randrange(len(t))] = f"w{rng.randrange(own)}"
+    return " ".join(t)
+
+
+def test_minhash_hot_groups(spark):
+    """Near copies around the threshold; and a family in which each pair is a little below it, with few words to choose from."""
+    rng = random.Random(2)
+    base, other = words(150, 8).split(), words(150, 9).split()
+    rows = [(k, edited(base, rng.randint(0, 6), rng)) for k in range(150)] + [(k, edited(other, rng.randint(7, 12), rng, 30)) for k in range(1000, 1150)]
+    assert found_components(spark, rows, 3, 85) == Counter(components_of(rows, 3, 85))
+
+
+def test_minhash_rows_of_one_id_and_very_long_documents(spark):
+    a, b, c = words(200, 20).split(), words(200, 21).split(), words(200, 22).split()
+    rng = random.Random(3)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, edited(a, 2, rng)), (3, edited(b, 2, rng)), (5, edited(c, 1, rng)), (4, " ".join(c)), (4, " ".join(c)), (9, edited(b, 3, rng)), (9, edited(c, 2, rng)),
+            (None, " ".join(a)), (None, None), (7, ""), (8, " \n"), (8, "one"), (10, "One"), (11, "one two")]
+    assert found_components(spark, rows, 3, 85) == Counter(components_of(rows, 3, 85))
+    long = [f"x{k}" for k in range(250_000)]
+    n = 250_000 - 4
+    shared = -(-80 * 2 * n // 180)  # so many of n shingles each make a similarity of 0.8 or just more
+    near = long[: shared + 4] + [f"y{k}" for k in range(n - shared)]
+    far = long[: shared + 1] + [f"z{k}" for k in range(n - shared + 3)]  # two shingles fewer
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_minhash_recall_just_above_the_threshold(spark):
+    rng, rows = random.Random(6), []
+    for k in range(400):
+        base = words(120, 5000 + k).split()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, edited(base, rng.choice([2, 3]), rng))]
+    sets = [{tuple(w[j : j + 3]) for j in range(118)} for w in (t.split() for _, t in rows)]
+    wanted = {k for k in range(400) if 0.85 <= len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) < 0.9}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert len(wanted) > 100 and all(got[2 * k + 1] == 2 * k for k in wanted)
 
 
 def test_permutations_are_one_to_one():
