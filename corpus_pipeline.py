@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 from scoreloom.llm import bpe, language_id, line_dedup, minhash, mixing
 from scoreloom.llm._common import WORD, written
 
-#: Documents whose language is predicted with less than this go.
-MIN_SCORE = 0.3
+#: A text with so many letters is told to be in another language than its lang says if its score is higher than those of this share
+#: of the held-out documents that are told rightly, and no less than SURE.
+CONTRADICTED, SURE, LETTERS = 0.25, 0.8, 200
+#: Of held-out documents whose language is told rightly, this share has lower scores than the one that the bound is set by.
+TAIL = 0.01
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a letter whose language is told with a score of MIN_SCORE or more; the network learns from their own labels.
+    """Rows with a letter whose language is told; the network learns from their own labels, but for the third that is held out.
 
-    A document that has a lang keeps it; one that has none gets the predicted one.
+    Rejected: texts that are null or have no letter; those with a score under the middle between a guess (1 of all languages) and what
+    all but TAIL of the held-out documents that are told rightly have; and those of LETTERS letters or more whose lang is one that was
+    learned while the network tells another, surer than it is of CONTRADICTED of those told rightly. A document that has a lang keeps it; one that has none gets
+    the predicted one. Where no row has a lang nothing can be told and no row stays; an empty table gives none.
     """
-    names = docs.columns
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
     net = language_id.fit(docs.where(~language_id.held_out_of(F.col("doc_id"))))
-    found = language_id.predict(docs, net).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
+    found = language_id.predict(rows, net)
+    right = found.where(language_id.held_out_of(F.col("doc_id")) & (F.col("lang") == F.col("lang_pred")))
+    guess = 1 / max(len(net.labels), 1)
+    usual, sure = right.agg(F.percentile_approx("score", [TAIL, CONTRADICTED], 10000)).head(1)[0][0] or (guess, 1.0)
+    told = (F.col("lang_pred") != "und") & (F.col("score") >= (guess + usual) / 2)
+    other = (F.col("lang") != F.col("lang_pred")) & F.col("lang").isin(net.labels) & (F.col("score") >= max(sure, SURE)) & (F.regexp_count("text", F.lit(r"\p{L}")) >= LETTERS)
+    stay = found.where(told & ~F.coalesce(other, F.lit(False)))
+    return stay.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.{c}") for c in docs.columns])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

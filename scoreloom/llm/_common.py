@@ -63,14 +63,27 @@ def with_fields(schema: StructType, fields: str) -> StructType:
 NULL_ID = -(1 << 63)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(key, text, nth, before): doc_id (null: NULL_ID), text (null: empty) and a row's number among those of its doc_id, by text.
+#: Rows without a doc_id, of which there may be very many, are dealt over so many parts by their texts.
+NULL_PARTS = 1024
 
-    before is null for the first of a doc_id. The texts are dealt by key alone and with these columns only, so all that use these
-    rows in one query share one exchange of the texts.
+
+def keyed() -> Column:
+    return F.coalesce("doc_id", F.lit(NULL_ID)).alias("key")
+
+
+def part_of() -> Column:
+    by_text = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(NULL_PARTS))
+    return F.when(F.col("doc_id").isNull(), by_text).otherwise(0).cast("int").alias("part")
+
+
+def numbered(docs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, text, nth, before): doc_id as key (null: NULL_ID), text (null: empty) and a row's number among those of its `by`, by text.
+
+    by: key alone, or key and part: 0, or for rows without a doc_id one of NULL_PARTS. before is null for the first of them. The texts
+    are dealt by these alone and with these columns only, so all that use these rows in one query share one exchange of the texts.
     """
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    own = Window.partitionBy("key").orderBy("text")
+    texts = docs.select(keyed(), part_of(), F.coalesce("text", F.lit("")).alias("text")).select(*by, "text")
+    own = Window.partitionBy(*by).orderBy("text")
     return texts.withColumn("nth", F.row_number().over(own)).withColumn("before", F.lag(F.lit(1)).over(own))
 
 

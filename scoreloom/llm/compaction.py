@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
 
 
 class ShardTable:
@@ -15,7 +17,11 @@ class ShardTable:
 
     A manifest is one small file that lists runs, not rows or shards. It is written under a name of its own and renamed to
     its version; the rename fails if that version exists, so of two writers one wins and the other starts from the new version.
-    Readers of a version see all of it or nothing. Runs that no manifest names, such as those of a writer that died, are never read.
+    Readers of a version see all of it or nothing, until `vacuum` deletes that version; merging deletes nothing. Runs that no manifest
+    names, such as those of a writer that died, are never read.
+
+    Rows are stored as they are: null or very long values, repeated rows, and columns of any name. A table to which only empty tables
+    were appended has no run, but its columns are known.
 
     target_bytes: of files that merging makes. fan_in: so many runs of one tier are merged into one. Tiers are powers of fan_in
     times first_bytes, so each row is rewritten once per tier at most.
@@ -36,14 +42,14 @@ class ShardTable:
         """The manifest of a version, by default of the newest; that of version 0 is empty."""
         version = max([0, *self.versions()]) if version is None else version
         if version == 0:
-            return {"version": 0, "runs": []}
+            return {"version": 0, "runs": [], "schema": None}
         rows = self.spark.read.option("wholetext", True).text(f"{self.path}/manifests/v{version:012d}.json").head(1)
         return json.loads(rows[0][0])
 
-    def _commit(self, version: int, runs: list[dict]) -> bool:
+    def _commit(self, version: int, runs: list[dict], schema: str | None) -> bool:
         held = self._path(f"{self.path}/manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(held, False)
-        out.write(bytearray(json.dumps({"version": version, "runs": runs}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "runs": runs, "schema": schema}).encode()))
         out.close()
         name = self._path(f"{self.path}/manifests/v{version:012d}.json")
         if not self._fs.exists(name) and self._fs.rename(held, name):
@@ -60,30 +66,33 @@ class ShardTable:
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         return self._run(folder, seen.get["rows"])
 
-    def _add(self, run: dict) -> int:
+    def _add(self, runs: list[dict], schema: StructType) -> int:
         while True:
             now = self.manifest()
-            if self._commit(now["version"] + 1, [*now["runs"], run]):
+            if self._commit(now["version"] + 1, [*now["runs"], *runs], schema.json()):
                 return now["version"] + 1
 
     def append(self, df: DataFrame) -> int:
         """Write df as a run of small shards, as its partitions are, and commit it; the new version."""
-        return self._add(self._write(df))
+        return self._add([self._write(df)], df.schema)
 
     def append_each(self, df: DataFrame, by: str, compact: bool = True) -> int:
-        """Append the rows of each value of column `by` as an arrival of its own, in order, all written by one job over df.
+        """Append the rows of each value of column `by` as an arrival of its own, in the order of the values, all written by one job over df.
 
-        The column itself isn't stored. Values must be few. Null is an arrival as well.
+        The column itself isn't stored. Values must be few. Null is the last arrival. Of an empty df only the columns are committed.
         """
-        folder = f"data/{uuid.uuid4().hex}"
+        folder, schema = f"data/{uuid.uuid4().hex}", StructType([f for f in df.schema if f.name != by])
+        is_number = isinstance(df.schema[by].dataType, NumericType)
         df.write.option("compression", "zstd").partitionBy(by).parquet(f"{self.path}/{folder}")
-        names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if x.isDirectory())
-        for name in names:
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if x.isDirectory()]
+        value = lambda n: n.split("=", 1)[1]
+        ranked = [(value(n) == "__HIVE_DEFAULT_PARTITION__", value(n), n) for n in names]
+        for _, _, name in sorted(ranked, key=lambda x: (x[0], float(x[1]) if is_number and not x[0] else x[1])):
             rows = self.spark.read.parquet(f"{self.path}/{folder}/{name}").count()
-            self._add(self._run(f"{folder}/{name}", rows))
+            self._add([self._run(f"{folder}/{name}", rows)], schema)
             if compact:
                 self.compact()
-        return self.manifest()["version"]
+        return self.manifest()["version"] if names else self._add([], schema)
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.first_bytes, self.fan_in)) + 1)
@@ -95,35 +104,52 @@ class ShardTable:
             tiers.setdefault(self.tier(run["bytes"]), []).append(run)
         return next((tiers[t][: self.fan_in] for t in sorted(tiers) if len(tiers[t]) >= self.fan_in), [])
 
-    def compact(self, keep_versions: int = 1) -> int:
-        """Merge until no tier is full, then delete runs that the newest keep_versions manifests don't name; the newest version.
+    def compact(self) -> int:
+        """Merge until no tier is full; the newest version. Nothing is deleted.
 
         A merge reads its runs once and writes files of about target_bytes, without a shuffle. If another writer commits meanwhile,
         the merge is committed on top, as long as its runs are still there.
         """
         while old := self.due(self.manifest()["runs"]):
             files = max(1, math.ceil(sum(r["bytes"] for r in old) / self.target_bytes))
-            merged = self._write(self.spark.read.parquet(*[f"{self.path}/{r['folder']}" for r in old]).coalesce(files))
+            merged = self._write(self._rows(old, self.manifest()["schema"]).coalesce(files))
             gone = {r["folder"] for r in old}
             while True:
                 now = self.manifest()
                 if not gone <= {r["folder"] for r in now["runs"]}:
                     break
                 stay = [r for r in now["runs"] if r["folder"] not in gone]
-                if self._commit(now["version"] + 1, [*stay, merged]):
+                if self._commit(now["version"] + 1, [*stay, merged], now["schema"]):
                     break
-            self.vacuum(keep_versions, gone)
         return self.manifest()["version"]
 
-    def vacuum(self, keep_versions: int, folders: set[str]) -> None:
-        """Delete those of folders that none of the newest keep_versions manifests names."""
-        named = {r["folder"] for v in self.versions()[-keep_versions:] for r in self.manifest(v)["runs"]}
-        for folder in folders - named:
+    def vacuum(self, keep_versions: int = 10, grace_seconds: float = 86400) -> list[str]:
+        """Delete the manifests older than the newest keep_versions, and what none of the others names, by a writer that died or of old
+        versions, if it was last written over grace_seconds ago: a run of a writer at work isn't committed yet. The folders deleted."""
+        versions = self.versions()
+        named = {r["folder"] for v in versions[-keep_versions:] for r in self.manifest(v)["runs"]}
+        before, gone = (time.time() - grace_seconds) * 1000, []
+        for v in versions[:-keep_versions]:
+            self._fs.delete(self._path(f"{self.path}/manifests/v{v:012d}.json"), False)
+        data = self._path(f"{self.path}/data")
+        for top in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            folder = f"data/{top.getPath().getName()}"
+            parts = [f"{folder}/{x.getPath().getName()}" for x in self._fs.listStatus(top.getPath()) if x.isDirectory()]
+            used = folder in named or any(p in named for p in parts)
+            if top.getModificationTime() < before and folder not in named:
+                gone += [p for p in parts if p not in named] if used else [folder]
+        for folder in gone:
             self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+        return gone
+
+    def _rows(self, runs: list[dict], schema: str) -> DataFrame:
+        """Rows of runs; columns that a later append brought are null in earlier ones."""
+        kind = StructType.fromJson(json.loads(schema))
+        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{r['folder']}" for r in runs]) if runs else self.spark.createDataFrame([], kind)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version. ValueError if it has no run, as its columns aren't known."""
-        runs = self.manifest(version)["runs"]
-        if not runs:
-            raise ValueError(f"no run in {self.path}")
-        return self.spark.read.parquet(*[f"{self.path}/{r['folder']}" for r in runs])
+        """All rows of a version. ValueError if nothing was appended yet, as its columns aren't known."""
+        found = self.manifest(version)
+        if found["schema"] is None:
+            raise ValueError(f"nothing in {self.path}")
+        return self._rows(found["runs"], found["schema"])

@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm._common import slices, text_bytes, with_fields
@@ -140,14 +140,27 @@ def scores(net: Network, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, per_lang: int = 400, chars: int = 1200, langs: int = 200) -> list:
-    """A bounded sample of labelled rows of docs (doc_id, text, lang): up to per_lang documents of each of up to langs languages,
-    the first by a hash of doc_id, and of each `chars` characters from a place that the hash picks as well."""
-    digest = F.xxhash64(F.col("doc_id").cast("string"))
+    """A bounded sample of labelled rows of docs (doc_id, text, lang): up to per_lang documents of each of the `langs` most common
+    languages, the first by a hash of doc_id and text, and of each `chars` characters from a place that the hash picks as well.
+
+    The languages are counted first; then rows under a bound of the hash, by which each language gives about one and a half times
+    per_lang, come to the driver, however many files and rows there are. Rows without doc_id, text or lang aren't sampled.
+    """
+    digest = F.xxhash64(F.col("doc_id"), F.col("text"))
     start = F.pmod(digest, F.greatest(F.char_length("text") - chars, F.lit(1)).cast("long")).cast("int") + 1
     labelled = docs.where("lang is not null and text is not null and doc_id is not null and length(text) > 0")
-    cut = labelled.select("lang", "doc_id", digest.alias("digest"), F.substring(F.col("text"), start, F.lit(chars)).alias("text"))
-    ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("digest", "doc_id", "text"))).where(F.col("nth") <= per_lang)
-    return ranked.orderBy("nth", "lang", "doc_id", "text").limit(per_lang * langs).select("lang", "text").collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    if not counts:
+        return []
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * per_lang / r["n"])) for r in counts], "lang string, share double")
+    cut = labelled.select("lang", "doc_id", digest.alias("digest"), F.substring(F.col("text"), start, F.lit(chars)).alias("text")).join(F.broadcast(bounds), "lang")
+    found = cut.where(F.pmod(F.shiftright("digest", 8), F.lit(1 << 40)) < F.col("share") * F.lit(float(1 << 40))).orderBy("digest", "doc_id", "lang", "text").limit(4 * per_lang * len(counts)).collect()
+    taken, rows = dict.fromkeys((r["lang"] for r in counts), 0), []
+    for r in found:
+        if taken[r["lang"]] < per_lang:
+            taken[r["lang"]] += 1
+            rows.append(r)
+    return rows
 
 
 def fit(docs: DataFrame, **how) -> Network:
@@ -165,7 +178,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     """docs with the columns lang_pred and score (0 to 1), from the whole text of each row alone.
 
     und with score 0 where the text is null or has no letter, or where nothing was learned. Columns of docs with these names are
-    replaced.
+    replaced. Repeated rows are predicted alike; an empty table gives no row.
     """
     docs = docs.drop("lang_pred", "score")
 

@@ -124,9 +124,11 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> list[str]:
 
 
 def with_bitmaps(docs: DataFrame, **how) -> DataFrame:
-    """docs with the columns n_dropped and bitmap (null where nothing goes)."""
+    """(row, doc_id, text, n_dropped, bitmap): each row of docs, its columns other than text as the struct row; n_dropped and bitmap are null
+    where nothing goes. So no name of docs clashes with these."""
     maps = keep_bitmaps(docs, **how).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "n_dropped", "bitmap")
-    return docs.join(maps, (docs["doc_id"] == maps["_id"]) & (F.xxhash64(docs["text"]) == maps["_version"]), "left").drop("_id", "_version")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("version"))
+    return rows.join(maps, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left").select("row", "doc_id", "text", "n_dropped", "bitmap")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +144,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_digests(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_sha256) of each document: its lines before dropping, and what stays, joined by newlines."""
-    found = with_bitmaps(docs.select("doc_id", "text"), **how)
+    """(doc_id, n_lines, n_dropped, kept_sha256) of each document: its lines before dropping, and what stays, joined by newlines.
+
+    Null and empty texts have one empty line. An empty table gives no row.
+    """
+    found = with_bitmaps(docs.select("doc_id", "text"), **how).drop("row")
     return found.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -155,6 +160,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
-    """docs with repeated lines cut from their texts; other columns as they are. A text that loses every line becomes empty."""
+    """docs with repeated lines cut from their texts; other columns as they are, whatever their names. A text that loses every line
+    becomes empty; a null text stays null. An empty table gives no row."""
     found = with_bitmaps(docs, **how)
-    return found.mapInArrow(_texts, found.schema).select(*docs.columns)
+    return found.mapInArrow(_texts, found.schema).select(*[F.col("text" if c == "text" else f"row.{c}") for c in docs.columns])

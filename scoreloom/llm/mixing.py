@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import kept, n_words, shuffle_partitions
+from scoreloom.llm._common import NULL_ID, kept, n_words, shuffle_partitions
 
 #: Expected copies are whole multiples of this share of a copy, so that prefix sums are exact in any order of adding.
 UNIT = 1 << 32
@@ -44,6 +44,40 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("\\N")))), 1, 8), 16, 10).cast("long")
 
 
+def _keys(of: str = "") -> list[Column]:
+    """What tells rows apart, without nulls: doc_id, source and a hash of the text; `of` is a prefix of their columns."""
+    doc_id, source, text = (F.col(f"{of}{c}") for c in ("doc_id", "source", "text"))
+    named = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+    return [F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("key"), named.alias("named"), F.xxhash64(text).alias("version")]
+
+
+def _units(docs: DataFrame, size: Column, weights: tuple[float, ...], share: float, max_copies: float, seed: int) -> DataFrame:
+    """Equal rows (key, named, version, size, n_rows) with their source's numbers, the copies that each of their rows expects (whole,
+    and part in 1 / UNIT), and `before`, the part of a copy at which the first of them starts."""
+    spark = docs.sparkSession
+    narrow = docs.select(*_keys(), "source", size.alias("size"))
+    units = kept(narrow.groupBy("key", "named", "version", "source", "size").agg(F.count("*").alias("n_rows")))
+    targets = source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size")), weights, share, max_copies)
+    expected = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))).otherwise(0).cast("long")
+    targets = kept(targets.withColumn("whole", F.shiftright(expected, 32)).withColumn("part", expected.bitwiseAND(F.lit(UNIT - 1))))
+    ranked = units.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    dealt = ranked.repartitionByRange(shuffle_partitions(spark), "source_rank", "size", "key", "version").withColumn("chunk", F.spark_partition_id())
+    chunked = kept(dealt.withColumn("parts", F.col("part") * F.col("n_rows")))
+    rest = lambda x: x.bitwiseAND(F.lit(UNIT - 1))  # noqa: E731  only what is over a whole copy counts, so sums stay small
+    sums = chunked.groupBy("source_rank", "chunk").agg(rest(F.sum("parts")).alias("chunk_sum"))
+    earlier = Window.partitionBy("source_rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select("source_rank", "chunk", F.coalesce(F.sum("chunk_sum").over(earlier), F.lit(0)).alias("begin"))
+    within = Window.partitionBy("source_rank", "chunk").orderBy("size", "key", "version").rowsBetween(Window.unboundedPreceding, -1)
+    before = rest(F.col("begin") + F.coalesce(F.sum("parts").over(within), F.lit(0)) + offset(F.col("source"), seed))
+    return chunked.join(begins, ["source_rank", "chunk"]).withColumn("before", before)
+
+
+def _copies(nth: Column) -> Column:
+    """How often the nth of a unit's rows is taken: whole copies, and one more if its part crosses a whole number."""
+    upto = F.col("before") + F.col("part") * nth
+    return F.col("whole") + F.shiftright(upto, 32) - F.shiftright(upto - F.col("part"), 32)
+
+
 def mix(
     docs: DataFrame,
     size: Column | None = None,
@@ -52,44 +86,31 @@ def mix(
     max_copies: float = 2.0,
     seed: int = 7,
 ) -> DataFrame:
-    """How many copies of each document the mix takes: (doc_id, source, size, n_rows, source_size, target, copies).
+    """How many copies of each row the mix takes: (doc_id, source, size, source_size, target, copies), a row for each row of docs.
 
-    Every document of a source expects target / source size copies. Within its source, in order of size, those expectations are
-    summed up from a random offset on, and a document is taken once for each whole number that its sum crosses: as often as
-    expected, rounded up or down. The order by size keeps the words taken near the target.
+    Every row of a source expects target / source size copies. Within its source, in order of size, those expectations are summed up
+    from a random offset on, and a row is taken once for each whole number that its sum crosses: as often as expected, rounded up or
+    down. The order by size keeps the words taken near the target: they differ by at most the largest row.
 
-    The prefix sums run in range partitions of (source, size, doc_id), then the few sums of partitions are added up by source: a
-    source with most rows is spread over as many tasks as its rows need.
+    The prefix sums run in range partitions of (source, size, doc_id, hash of the text), then the few sums of partitions are added up
+    by source: a source with most rows is spread over as many tasks as its rows need. Only parts of a copy are summed, as integers, so
+    nothing overflows as long as a partition has fewer than 2**31 rows.
 
-    Rows with one doc_id, source and size are one unit of n_rows rows, which are taken equally often. Null doc_id and source are
-    values like others. A null text has size 0. Sources without a word have target 0 and are never taken. An empty table gives none.
+    Equal rows are counted first, and each has its own place in the sums. Null doc_id and source are values like others. A null or
+    empty text has size 0. Sources without a word have target 0 and are never taken. An empty table gives no row.
     """
-    spark = docs.sparkSession
-    narrow = docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"))
-    units = kept(narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")))
-    targets = kept(source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size")), weights, share, max_copies))
-    expected = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.lit(float(UNIT)))).otherwise(0).cast("long")
-    ranked = units.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("expected", expected)
-    chunked = kept(
-        ranked.repartitionByRange(shuffle_partitions(spark), "source_rank", "size", "doc_id").withColumn("chunk", F.spark_partition_id())
-    )
-    sums = chunked.groupBy("source_rank", "chunk").agg(F.sum("expected").alias("chunk_sum"))
-    earlier = Window.partitionBy("source_rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("source_rank", "chunk", F.coalesce(F.sum("chunk_sum").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source_rank", "chunk").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("before") + F.sum("expected").over(within) + offset(F.col("source"), seed)
-    crossed = F.shiftright("upto", 32) - F.shiftright(F.col("upto") - F.col("expected"), 32)
-    return (
-        chunked.join(before, ["source_rank", "chunk"])
-        .withColumn("upto", upto)
-        .select("doc_id", "source", "size", "n_rows", "source_size", "target", crossed.alias("copies"))
-    )
+    units = _units(docs, n_words(F.col("text")) if size is None else size, weights, share, max_copies, seed)
+    each = units.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    return each.select(F.nullif("key", F.lit(NULL_ID)).alias("doc_id"), "source", "size", "source_size", "target", _copies(F.col("nth")).alias("copies"))
 
 
-def taken_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as `mix` takes it, with the columns of docs."""
-    names = docs.columns
-    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    sized = docs.withColumn("_n", n_words(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(copies["_id"]) & sized["source"].eqNullSafe(copies["_of"]) & (sized["_n"] == copies["_size"])
-    return sized.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+def taken_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_copies: float = 2.0, seed: int = 7) -> DataFrame:
+    """The mix itself: each row of docs as often as `mix` takes it, with the columns of docs, whatever their names.
+
+    Rows with one doc_id, source and text are numbered by a hash of all their columns. An empty table gives no row.
+    """
+    found = _units(docs, n_words(F.col("text")), weights, share, max_copies, seed).select("key", "named", "version", "before", "whole", "part")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", *_keys("row."))
+    order = Window.partitionBy("key", "named", "version").orderBy(F.xxhash64("row"))
+    copies = rows.join(found, ["key", "named", "version"]).withColumn("copies", _copies(F.row_number().over(order).cast("long")))
+    return copies.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

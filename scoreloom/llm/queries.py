@@ -53,8 +53,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
-    one = found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
-    return one.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

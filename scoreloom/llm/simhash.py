@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import NULL_ID, SPACE, id_of, kept, numbered, shuffle_partitions
+from scoreloom.llm._common import SPACE, hot_keys, id_of, joined, kept, keyed, numbered, part_of, shuffle_partitions
 
 BITS = 64
 LOW = (1 << 32) - 1
@@ -82,54 +82,60 @@ def within_radius(found: DataFrame, queries: DataFrame, radius: int = 3, blocks:
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
-    """(key, n, next_key): for each distinct key of ids (key, n) its largest n, and the next smaller key; after the smallest the largest.
+    """(key, n, parts, next_key, next_part): for each distinct key of ids (key, part, n) its largest n and its parts, and the next smaller
+    key with its first part; after the smallest the largest.
 
     Keys are dealt by range; each range looks within itself, and one row per range tells where the next one starts.
     """
-    chunks = kept(
-        ids.groupBy("key").agg(F.max("n").alias("n")).repartitionByRange(shuffle_partitions(ids.sparkSession), "key").withColumn("chunk", F.spark_partition_id())
-    )
+    each = ids.groupBy("key").agg(F.max("n").alias("n"), F.collect_set("part").alias("parts"))
+    chunks = kept(each.repartitionByRange(shuffle_partitions(ids.sparkSession), "key").withColumn("chunk", F.spark_partition_id()).withColumn("at", F.struct("key", F.array_min("parts").alias("part"))))
     order = Window.partitionBy("chunk").orderBy("key")
-    tops = chunks.groupBy("chunk").agg(F.max("key").alias("top"))
+    tops = chunks.groupBy("chunk").agg(F.max("at").alias("top"))
     by_chunk = Window.orderBy("chunk")
     tops = tops.select("chunk", F.coalesce(F.lag("top").over(by_chunk), F.max("top").over(Window.partitionBy())).alias("below"))
-    return chunks.withColumn("prev", F.lag("key").over(order)).join(tops, "chunk").select("key", "n", F.coalesce("prev", "below").alias("next_key"))
+    found = chunks.withColumn("prev", F.lag("at").over(order)).join(tops, "chunk").withColumn("next", F.coalesce("prev", "below"))
+    return found.select("key", "n", "parts", F.col("next.key").alias("next_key"), F.col("next.part").alias("next_part"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """(key, nth, n_chars, text, edited) for each row of docs (doc_id, text): the last floor(n_chars / 3) code points replaced
+    """(key, part, nth, n_chars, text, edited) for each row of docs (doc_id, text): the last floor(n_chars / 3) code points replaced
     by the first as many (or all) of the next document in descending doc_id; after the last comes the first.
 
-    A null doc_id counts as the smallest. Rows of one doc_id, numbered nth by text, have the same next document: the next smaller
-    doc_id's first row. One exchange of the texts by doc_id serves both sides; of the next document only the part in need is dealt.
+    A null doc_id counts as the smallest. Rows of one doc_id have the same next document: the next smaller doc_id's first row, by part
+    (see `numbered`) and text. One exchange of the texts serves both sides; of the next document only the part in need is dealt.
     """
-    rows = numbered(docs)
-    after = next_ids(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))).select(F.col("key").alias("of"), "next_key", F.floor(F.col("n") / 3).cast("int").alias("m"))
-    starts = rows.where("before is null").join(after, F.col("key") == F.col("next_key")).select("of", F.expr("substring(text, 1, m)").alias("start"))
-    whole = rows.join(starts, F.col("key") == F.col("of")).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("m", F.floor(F.col("n_chars") / 3).cast("int"))
-    return whole.select("key", "nth", "n_chars", "text", F.expr("concat(substring(text, 1, cast(n_chars as int) - m), substring(start, 1, m))").alias("edited"))
+    rows = numbered(docs, ["key", "part"])
+    ids = docs.select(keyed(), part_of(), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    after = next_ids(ids).select(F.col("key").alias("of"), "parts", "next_key", "next_part", F.floor(F.col("n") / 3).cast("int").alias("m"))
+    firsts = rows.where("before is null").join(after, (F.col("key") == F.col("next_key")) & (F.col("part") == F.col("next_part")))
+    starts = firsts.select("of", F.explode("parts").alias("of_part"), F.expr("substring(text, 1, m)").alias("start"))
+    whole = rows.join(starts, (F.col("key") == F.col("of")) & (F.col("part") == F.col("of_part"))).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("m", F.floor(F.col("n_chars") / 3).cast("int"))
+    return whole.select("key", "part", "nth", "n_chars", "text", F.expr("concat(substring(text, 1, cast(n_chars as int) - m), substring(start, 1, m))").alias("edited"))
 
 
 def edit_test(docs: DataFrame, radius: int = 3, blocks: int = 6, every: int = 50) -> DataFrame:
     """Fingerprints of each row's text and edited text (see `edited_texts`), their likeness, and that to the next document.
 
     n_near: for doc_ids divisible by `every`, how many rows of docs have a fingerprint within radius of the row's, itself included;
-    null for others. Null and empty texts have 0 characters and fingerprint 0. A single row is its own next document.
+    null for others. Null and empty texts have 0 characters and fingerprint 0. A single row is its own next document. Repeated rows are
+    rows of their own. An empty table gives no row.
     """
     rows = edited_texts(docs)
-    keys = ["key", "nth", "n_chars", "edited_sha256", "is_edited"]
+    keys = ["key", "part", "nth", "n_chars", "edited_sha256", "is_edited"]
     both = F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text"))))
-    stacked = rows.select("key", "nth", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), both.alias("x")).select(*keys[:-1], "x.is_edited", "x.text")
+    stacked = rows.select("key", "part", "nth", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), both.alias("x")).select(*keys[:-1], "x.is_edited", "x.text")
     voted = fingerprints(stacked, keys)
     of = lambda edited: F.max(F.when(F.col("is_edited") == edited, F.col("fingerprint")))
     found = kept(voted.groupBy(*keys[:-1]).agg(of(False).alias("fingerprint"), of(True).alias("edited")).withColumn("doc_id", id_of(F.col("key"))))
-    after = next_ids(found.select("key", F.col("n_chars").alias("n"))).select("key", "next_key")
-    next_rows = found.where("nth = 1").select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next"))
-    beside = found.join(after.join(next_rows, "next_key"), "key")
+    after = next_ids(found.select("key", "part", F.col("n_chars").alias("n"))).select(F.col("key").alias("of"), "next_key", "next_part")
+    next_rows = found.where("nth = 1").select(F.col("key").alias("next_key"), F.col("part").alias("next_part"), F.col("fingerprint").alias("next"))
+    next_of = after.join(next_rows, ["next_key", "next_part"]).select(F.col("of").alias("key"), "next")
+    beside = joined(found, next_of, ["key"])
     near = within_radius(found, found.where(F.col("doc_id") % every == 0), radius, blocks)
-    counted = near.join(found.groupBy("fingerprint").agg(F.count("*").alias("rows")), "fingerprint").groupBy("query").agg(F.sum("rows").alias("n_near"))
+    counted = near.join(found.groupBy("fingerprint").agg(F.count("*").alias("rows")), "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("rows").alias("n_near"))
+    hot = hot_keys(found.groupBy("fingerprint").agg(F.count("*").alias("n")), ["fingerprint"])
     asked = F.when(F.col("doc_id") % every == 0, F.col("n_near"))
-    return beside.join(counted, F.col("fingerprint") == F.col("query"), "left").select(
+    return joined(beside, counted, ["fingerprint"], "left", hot).select(
         "doc_id", "n_chars", "edited_sha256", spelled(F.col("fingerprint")).alias("fingerprint"), spelled(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"), asked.alias("n_near"),
     )

@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import NULL_ID, id_of, kept, numbered, shuffle_partitions, slices, text_bytes
+from scoreloom.llm._common import NULL_ID, hot_keys, id_of, joined, kept, numbered, shuffle_partitions, slices, text_bytes
 
 #: Bytes that an anchor hashes. Every string of `length` bytes holds the same anchor at the same place wherever it stands.
 GRAM = 32
-PLACE_BITS = 28
+#: A text's anchors are looked for in pieces of so many windows.
+PLACE_BITS = 24
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 #: Groups that agree on this many bytes more than they are known to go from multikey sorting to blind tries.
 SHALLOW = 24
@@ -44,39 +45,39 @@ def _gram_hashes(flat: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchors(flat: np.ndarray, offsets: np.ndarray, length: int, piece: int = 1 << (PLACE_BITS - 1)) -> tuple[np.ndarray, ...]:
     """(hash, text, place, first window, last window) of the anchors of texts flat[offsets[k]:offsets[k + 1]].
 
     A window is a string of `length` bytes within one text. Its anchor is the leftmost of its GRAM-byte strings of least hash; so
-    equal windows have equal anchors, and neighbouring windows mostly share one.
+    equal windows have equal anchors, and neighbouring windows mostly share one. Windows are looked at `piece` at a time, so that a very
+    long text needs no more memory than a piece.
     """
-    if len(flat) < length:
+    found = []
+    for begin in range(0, max(len(flat) - length + 1, 0), piece):
+        part = flat[begin : begin + piece + length - 1]
+        h = _gram_hashes(part)
+        low = ((h >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
+        width, span = length - GRAM + 1, 1
+        while span * 2 <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if width > span:
+            low = np.minimum(low[: span - width], low[width - span :])
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, begin, begin + len(part))))
+        windows = np.flatnonzero(text[: len(low)] == text[length - 1 :])
+        if not len(windows):
+            continue
+        at, of = (low[windows] & PLACE).astype(np.int64), text[windows]
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))
+        last = np.append(new[1:], len(at)) - 1
+        found.append((h[at[new]].view(np.int64), of[new], at[new] + begin, windows[new] + begin, windows[last] + begin))
+    if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    if len(flat) >> PLACE_BITS:
-        raise ValueError(f"a text has {len(flat)} bytes; the limit is {1 << PLACE_BITS}")
-    h = _gram_hashes(flat)
-    low = ((h >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
-    width, span = length - GRAM + 1, 1
-    while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if width > span:
-        low = np.minimum(low[: span - width], low[width - span :])
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    windows = np.flatnonzero(text[: len(low)] == text[length - 1 :])
-    at, of = (low[windows] & PLACE).astype(np.int64), text[windows]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])])) if len(at) else np.zeros(0, np.int64)
-    last = np.append(new[1:], len(at)) - 1 if len(at) else new
+    h, of, at, first, last = (np.concatenate(x) for x in zip(*found))
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))  # the same anchor at the edge of two pieces
+    last = last[np.append(new[1:], len(at)) - 1]
     start = offsets[:-1][of[new]]
-    return h[at[new]].view(np.int64), of[new], at[new] - start, windows[new] - start, windows[last] - start
-
-
-def _is_copy(batch: pa.RecordBatch) -> np.ndarray:
-    """Which rows are copies: their nth is in the list that their doc_id has."""
-    lists = batch.column("copies")
-    if lists.null_count == len(lists):
-        return np.zeros(batch.num_rows, bool)
-    return np.array([x is not None and n in x for x, n in zip(lists.to_pylist(), batch.column("nth").to_pylist())], bool)
+    return h[new], of[new], at[new] - start, first[new] - start, last - start
 
 
 def anchor_kinds(h: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ def _anchor_rows(length: int):
         for batch in slices(batches):
             h, of, a, _, _ = anchors(*text_bytes(batch.column("text")), length)
             keys = np.asarray(batch.column("key"))
-            named = (keys[of] != NULL_ID) & ~_is_copy(batch)[of]
+            named = ~np.asarray(batch.column("is_copy"))[of]
             h, of, a = h[named], of[named], a[named]
             kind, told = anchor_kinds(h, told)
             columns = [pa.array(np.where(kind == 2, keys[of], h)), pa.array(keys[of]), batch.column("nth").take(pa.array(of)), pa.array(a.astype(np.int32)), pa.array(kind)]
@@ -127,13 +128,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _of_row(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.StructArray]:
-    """The structs that each row's list has for that row's nth, and the numbers of their rows."""
+def _of_row(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.Array]:
+    """What stands in each row's list, one after another, and the numbers of their rows."""
     lists = batch.column(column)
-    of = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
-    found = lists.flatten()
-    own = np.flatnonzero(np.asarray(found.field("nth")) == np.asarray(batch.column("nth"))[of])
-    return of[own], found.take(pa.array(own))
+    return np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))), lists.flatten()
 
 
 def _contexts(length: int):
@@ -142,7 +140,7 @@ def _contexts(length: int):
             flat, offsets = text_bytes(batch.column("text"))
             h, of, a, first, last = anchors(flat, offsets, length)
             rows, wanted = _of_row(batch, "anchors")
-            here = np.isin((of << PLACE_BITS) | a, (rows << PLACE_BITS) | np.asarray(wanted.field("a")))
+            here = np.isin((of << 32) | a, (rows << 32) | np.asarray(wanted))
             h, of, a, back, near = h[here], of[here], a[here], (a - first)[here], (a - last)[here]
             sizes = back + length - near
             ends = np.cumsum(sizes)
@@ -205,38 +203,45 @@ def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
 def deep_shallow(rows: np.ndarray, group: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The order of byte rows by (group, bytes), and how many bytes each has in common with the one before it: -1 where a group begins.
 
-    Rows of a group agree on their first `known` bytes. Shallow: multikey sorting, whose characters are 8 bytes here; each level
-    splits all open groups at once by their next character, and those that are alone are done. Deep: groups that still agree
-    SHALLOW bytes later are ordered by a blind trie each, which compares a row with one other only.
+    Rows of a group agree on their first `known` bytes. Shallow: multikey quicksort, whose characters are 8 bytes here. A round splits
+    all open groups at once, each around the character of its middle row, into those with a smaller, the same and a larger one; only
+    those with the same go on to their next character. Deep: groups that still agree SHALLOW bytes later are ordered by a blind trie
+    each, which compares a row with one other only.
     """
     n, width = rows.shape
     wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
     wide[:, :width] = rows
     words = wide.view(">u8").astype(np.uint64)
     order = np.argsort(group, kind="stable")
-    begins = np.concatenate([[True], group[order][1:] != group[order][:-1]]) if n else np.zeros(0, bool)
-    common = np.where(begins, -1, width)
-    depth, limit = known // 8, min(words.shape[1], (known + SHALLOW) // 8)
+    heads = np.concatenate([[True], group[order][1:] != group[order][:-1]]) if n else np.zeros(0, bool)
+    begins, depth = heads.copy(), np.full(n, known // 8)
+    limit = min(words.shape[1], (known + SHALLOW) // 8)
     while True:
-        starts = np.flatnonzero(common < width)
+        starts = np.flatnonzero(begins)
         sizes = np.diff(np.append(starts, n))
-        is_open = np.repeat(sizes > 1, sizes)
-        if depth >= limit or not is_open.any():
+        is_open = (sizes > 1) & (depth[starts] < limit)
+        if not is_open.any():
             break
-        at = np.flatnonzero(is_open)
+        at = np.flatnonzero(np.repeat(is_open, sizes))
         segment = np.repeat(np.arange(len(starts)), sizes)[at]
-        char = words[order[at], depth]
-        by = np.lexsort((char, segment))
-        order[at] = order[at][by]
-        char, segment = char[by], segment[by]
-        parts = np.flatnonzero((segment[1:] == segment[:-1]) & (char[1:] != char[:-1])) + 1
-        differ = char[parts] ^ char[parts - 1]
-        zero = np.zeros(len(parts), np.int64)
-        for b in range(1, 8):
-            zero += differ < np.uint64(1 << (8 * (8 - b)))
-        common[at[parts]] = np.minimum(8 * depth + zero, width - 1)
-        depth += 1
-    if depth < words.shape[1]:
+        char = words[order[at], depth[at]]
+        pivot = words[order[starts + sizes // 2], np.minimum(depth[starts], limit - 1)][segment]
+        side = (char >= pivot).astype(np.int64) + (char > pivot)
+        by = np.argsort(segment * 3 + side, kind="stable")
+        order[at], side = order[at][by], side[by]
+        depth[at] += side == 1
+        begins[at[1:][(side[1:] != side[:-1]) & (segment[1:] == segment[:-1])]] = True
+    common = np.full(n, width)
+    for lo in range(1, n, 50_000):
+        a, b = words[order[lo - 1 : lo - 1 + 50_000]][: n - lo], words[order[lo : lo + 50_000]]
+        differ = a != b
+        word = np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
+        inside = np.flatnonzero(word < words.shape[1])
+        bits = (a ^ b)[inside, word[inside]]
+        zero = sum((bits < np.uint64(1 << (8 * (8 - k)))).astype(np.int64) for k in range(1, 8))
+        common[lo + inside] = 8 * word[inside] + zero
+    common = np.where(heads, -1, np.minimum(common, width))
+    if limit < words.shape[1]:
         raw = rows.tobytes()
         for a, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
             members = order[a : a + size].tolist()
@@ -463,8 +468,8 @@ def _later(length: int):
 
 
 def with_spans(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
-    """(key, nth, text, spans) of each row of docs (doc_id, text): spans is an array of (nth, start, stop; -1: the end) of bytes to remove from the
-    rows of its doc_id, which may overlap; a row's own are those of its nth. Null if there are none.
+    """(key, nth, text, spans) of each row of docs (doc_id, text): spans is an array of (start, stop; -1: the end) of bytes to remove from
+    it, which may overlap. Null if there are none.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document with a smaller doc_id, or before in
     the same one. Texts are taken as UTF-8; strings stay within a document.
@@ -477,24 +482,29 @@ def with_spans(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFr
        those but the first are copies, and only the first is dealt on to its anchor's rows, so that a passage which a third of all
        documents hold reaches its anchors' tasks about once per task, not once per document.
     3. There they are sorted again and copies told apart in the same way; different ones are held, one anchor's group at a time, for
-       deep-shallow sorting.
+       deep-shallow sorting. So copies are told apart by Spark's own sort; the tasks' sorting orders what differs.
     4. An anchor with more than `block` different contexts isn't held: they go on, dealt by document, as windows with 128-bit digests. Each
        slice deals a window once, by digest; where it meets others, all but the earliest go. So neither an anchor nor a window is one
        task's.
 
-    Rows that repeat a doc_id are texts of that document one after another, in the order of their texts. Rows whose doc_id is null take
-    no part. Null and empty texts, and those under `length` bytes, have no string. Texts have up to 2**28 bytes.
+    Rows that repeat a doc_id are texts of that document one after another, in the order of their texts; each has its own number, and
+    what is found for it is dealt by doc_id and number. Rows whose doc_id is null take no part. Null and empty texts, and those under
+    `length` bytes, have no string. An empty table gives no row.
     """
-    rows = numbered(docs).drop("before")
+    rows = numbered(docs.where("doc_id is not null"), ["key"]).drop("before")
     parts = shuffle_partitions(docs.sparkSession)
-    digests = rows.where((F.col("key") != NULL_ID) & (F.octet_length("text") >= length)).select("key", "nth", F.sha2("text", 256).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min(F.struct("key", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    copies = kept(digests.join(firsts, "digest").where(F.struct("key", "nth") != F.col("first")).select("key", "nth"))
-    of_key = copies.groupBy(F.col("key").alias("_copy_key")).agg(F.collect_list("nth").alias("copies"))
-    found = rows.join(of_key, F.col("key") == F.col("_copy_key"), "left").select("key", "nth", "text", "copies").mapInArrow(_anchor_rows(length), DEALT)
+    # kept by key alone, as the texts are; the number is compared beside the key, so that no text is dealt again
+    own = lambda x: (F.col("key") == x["_key"]) & (F.col("nth") - x["_nth"] == 0)
+    digests = kept(rows.where(F.octet_length("text") >= length).select("key", "nth", F.sha2("text", 256).alias("digest")))
+    firsts = kept(digests.groupBy("digest").agg(F.min(F.struct("key", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copies = joined(digests, firsts.drop("n"), ["digest"], hot=hot_keys(firsts, ["digest"]))
+    copies = kept(copies.where(F.struct("key", "nth") != F.col("first")).select("key", "nth"))
+    of_key = copies.select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), F.lit(True).alias("is_copy")).repartition(parts, "_key")
+    told = rows.join(of_key, own(of_key), "left").select("key", "nth", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
+    found = told.mapInArrow(_anchor_rows(length), DEALT)
     again = found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, "key long, nth int, a int")
-    by_key = again.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "a")).alias("anchors"))
-    around = rows.join(by_key, F.col("key") == F.col("_key")).select("key", "nth", "text", "anchors").mapInArrow(_contexts(length), CONTEXT)
+    by_row = again.repartition(parts, "key").groupBy(F.col("key").alias("_key"), F.col("nth").alias("_nth")).agg(F.collect_list("a").alias("anchors"))
+    around = rows.join(by_row, own(by_row)).select("key", "nth", "text", "anchors").mapInArrow(_contexts(length), CONTEXT)
     order = ("h", "back", "near", "context", "key", "nth", "a")
     fewer = around.sortWithinPartitions(*order).mapInArrow(_combined, CONTEXT)
     dealt = fewer.repartition(parts, "h").sortWithinPartitions(*order)
@@ -502,8 +512,10 @@ def with_spans(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFr
     windows = solved.mapInArrow(_windows(length), WINDOWS).repartition(parts, "deal").sortWithinPartitions("deal", "more", "key", "nth", "start")
     spans = windows.mapInArrow(_later(length), SPANS)
     whole = copies.select("key", "nth", F.lit(0).alias("start"), F.lit(-1).alias("stop"))
-    spans = spans.union(whole).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("nth", "start", "stop")).alias("spans"))
-    return rows.join(spans, F.col("key") == F.col("_key"), "left").select("key", "nth", "text", "spans")
+    spans = spans.union(whole).repartition(parts, "key").groupBy(F.col("key").alias("_key"), F.col("nth").alias("_nth")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    cut = rows.join(spans, own(spans), "left").select("key", "nth", "text", "spans")
+    nameless = docs.where("doc_id is null").select(F.lit(NULL_ID).alias("key"), F.lit(1).alias("nth"), F.coalesce("text", F.lit("")).alias("text"))
+    return cut.unionByName(nameless, allowMissingColumns=True)
 
 
 def _cut(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -537,7 +549,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def span_digests(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document: its bytes, those removed, their maximal runs, the rest's digest."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row: its bytes, those removed, their maximal runs, the rest's digest.
+
+    Null and empty texts have no byte; see with_spans for repeated rows and null doc_ids."""
     found = with_spans(docs, length, block).mapInArrow(_digests, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return found.select(id_of(F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -552,5 +566,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, text) of each row of docs with repeated bytes cut out; the rest of a character that is cut in two goes as well."""
+    """(doc_id, text) of each row of docs with repeated bytes cut out; the rest of a character that is cut in two goes as well.
+
+    A null text becomes empty; see with_spans for repeated rows and null doc_ids."""
     return with_spans(docs, length).mapInArrow(_texts, "key long, text string").select(id_of(F.col("key")).alias("doc_id"), "text")

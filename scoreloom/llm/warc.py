@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import slices
+from scoreloom.llm._common import NULL_ID, hot_keys, joined, kept, slices
 
 END = b"\r\n\r\n"
 #: Fixed date of the records: archives of the same rows are the same.
@@ -53,8 +54,8 @@ def _clean(url: str | None) -> str | None:
     return None if url is None else "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
-def _name(page_id: int | None, digest: str, nth: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}/{digest}/{nth}')}>"
+def _name(page_id: int | None, digest: str, of_url: int, nth: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}/{digest}/{of_url}/{nth}')}>"
 
 
 def _records(segment_bytes: int, chunk_bytes: int):
@@ -62,11 +63,11 @@ def _records(segment_bytes: int, chunk_bytes: int):
         for batch in slices(batches, "html"):
             out = []
             for row in batch.to_pylist():
-                name = _name(row["page_id"], row["digest"], row["nth"])
+                name = _name(row["page_id"], row["digest"], row["of_url"], row["nth"])
                 common = [("WARC-Date", DATE), ("WARC-Target-URI", _clean(row["url"])), ("WARC-Page-ID", row["page_id"]), ("WARC-Payload-Digest", f"sha256:{row['digest']}"), ("Content-Type", "application/http;msgtype=response")]
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + END
                 if row["refers_to"] is not None:
-                    refers = ("WARC-Refers-To", _name(row["refers_to"], row["digest"], 1))
+                    refers = ("WARC-Refers-To", _name(row["refers_to"], row["digest"], row["refers_url"], 1))
                     profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
                     out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), refers, profile, *common], head))
                     continue
@@ -91,22 +92,40 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 100, se
 
     A page whose payload (html in UTF-8; null: empty) has min_revisit_bytes or more and equals that of a smaller page_id becomes a
     revisit of the smallest such page; all others are responses with a chunked body. Blocks over segment_bytes are cut into
-    a first record and continuations. Rows that share page_id and payload are told apart by number; a null page_id is never
-    revisited and revisits only if others have the payload. The text writer's line end closes each record, so a file is the
-    records one after another, of bounded number and size.
+    a first record and continuations. Rows that share page_id, url and payload are told apart by number; a null page_id is never
+    revisited and revisits only if others have the payload. An empty table gives an archive without records. The text writer's line end
+    closes each record, so a file is the records one after another, of bounded number and size.
+
+    Which page is revisited is found on rows without their payload, and spread over tasks where very many pages have one payload.
     """
-    sized = pages.select("page_id", "url", "html", F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"))
-    again = sized.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    nth = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first"))
-    placed = sized.join(again.select("digest", "first"), "digest", "left").withColumn("refers_to", refers).withColumn("nth", nth)
-    records = placed.select("page_id", "url", "html", "digest", "refers_to", "nth").mapInArrow(_records(segment_bytes, chunk_bytes), "record binary")
+    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    sized = pages.select("page_id", "url", "html", F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"), digest.alias("digest"))
+    keyed = [F.coalesce("page_id", F.lit(NULL_ID)).alias("key"), F.xxhash64("url").alias("of_url"), "digest"]
+    narrow = kept(sized.where(F.col("bytes") >= min_revisit_bytes).select("page_id", *keyed).distinct())
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "of_url"))).alias("first")
+    again = kept(narrow.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1 and first is not null"))
+    of = again.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.of_url").alias("refers_url"))
+    revisits = joined(narrow, of, ["digest"], hot=hot_keys(again, ["digest"])).where("page_id is null or page_id > refers_to").drop("page_id")
+    nth = F.row_number().over(Window.partitionBy("key", "of_url", "digest").orderBy("page_id"))
+    placed = sized.select("page_id", "url", "html", *keyed).join(revisits, ["key", "of_url", "digest"], "left").withColumn("nth", nth)
+    records = placed.select("page_id", "url", "html", "digest", "refers_to", "refers_url", "of_url", "nth").mapInArrow(_records(segment_bytes, chunk_bytes), "record binary")
     writer = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip")
     writer.option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _number(headers: dict[str, str], name: str) -> int | None:
+    """A header's whole number; None if there is no such header. ValueError if it is something else."""
+    text = headers.get(name)
+    if text is not None and not re.fullmatch(r"-?[0-9]{1,18}", text):
+        raise ValueError(name)
+    return None if text is None else int(text)
+
+
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive, which may be gzipped as a whole or record by record."""
+    """Headers and block of each record of an archive, which may be gzipped as a whole or record by record.
+
+    A record whose Content-Length is missing or no number has no block; the next one is looked for.
+    """
     while content[:2] == b"\x1f\x8b":
         parts, rest = [], content
         while rest[:2] == b"\x1f\x8b":
@@ -122,7 +141,15 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = content[at:end].decode("utf-8", "replace").strip().split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         start = end + 4
-        size = int(headers.get("content-length", 0))
+        try:
+            size = _number(headers, "content-length")
+        except ValueError:
+            size = None
+        if size is None or size < 0:
+            yield headers | {"content-length": "?"}, b""
+            after = content.find(b"WARC/", start)
+            at = after if after >= 0 else len(content)
+            continue
         yield headers, content[start : start + size]
         at = start + size + 4
 
@@ -150,13 +177,16 @@ def _parsed(with_payload: bool):
 
     def row(headers: dict[str, str], block: bytes) -> dict:
         kind, name = headers.get("warc-type"), headers.get("warc-record-id")
-        number = int(headers["warc-segment-number"]) if "warc-segment-number" in headers else None
-        page = headers.get("warc-page-id")
-        out = dict.fromkeys(names) | {"record_id": name, "record_type": kind, "page_id": int(page) if page else None, "url": headers.get("warc-target-uri"), "refers_id": headers.get("warc-refers-to")}
+        out = dict.fromkeys(names) | {"record_id": name, "record_type": kind, "url": headers.get("warc-target-uri"), "refers_id": headers.get("warc-refers-to")}
         wanted = headers.get("warc-payload-digest")
+        try:
+            _number(headers, "content-length")
+            out["page_id"] = _number(headers, "warc-page-id")
+            number, total = (_number(headers, x) for x in ("warc-segment-number", "warc-segment-total-length"))
+        except ValueError as e:
+            return out | {"error": f"header: {e}"}
         if number is not None:
-            total = headers.get("warc-segment-total-length")
-            return out | {"origin": headers.get("warc-segment-origin-id", name), "segment": number, "total": int(total) if total else None, "block": block, "payload_digest": wanted}
+            return out | {"origin": headers.get("warc-segment-origin-id", name), "segment": number, "total": total, "block": block, "payload_digest": wanted}
         if kind == "response":
             payload, size, digest, error = _opened(block, wanted)
             return out | {"payload_bytes": size, "payload_digest": digest, "error": error, "payload": payload if with_payload else None}
@@ -202,7 +232,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     `segments` if one is missing, doubled or the total is unknown, `length` if they don't add up to it, `chunks: ...` if the
     transfer framing is broken, `digest` if the payload isn't what the header says. A revisit takes payload_bytes,
     payload_digest and payload from the response that it refers to, and that one's page_id as refers_to; error is `refers` if
-    there is none. Each file is read as a whole by one task. An empty folder gives no row.
+    there is none. error says `header: ...` where a number that a record needs is missing or is none. Each file is read as a whole by
+    one task. An empty folder, and archives without records, give no row.
     """
     parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed(with_payload), PARSED)
     whole = parsed.where("segment is null and record_type in ('response', 'revisit')")
@@ -210,11 +241,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("payload_digest").alias("wanted"), F.max("total").alias("total"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    joined = parts.mapInArrow(_reassembled(with_payload), f"{RECORD}, payload binary")
-    responses = whole.where("record_type = 'response'").select(*joined.columns).unionByName(joined)
+    pieced = parts.mapInArrow(_reassembled(with_payload), f"{RECORD}, payload binary")
+    responses = whole.where("record_type = 'response'").select(*pieced.columns).unionByName(pieced)
     of = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), *[F.col(c).alias(f"_{c}") for c in ("payload_bytes", "payload_digest", "payload", "error")])
-    revisits = whole.where("record_type = 'revisit'").select(*RECORD_NAMES).join(of, "refers_id", "left")
-    error = F.when(F.col("_payload_bytes").isNull() & F.col("_error").isNull(), F.lit("refers")).otherwise(F.col("_error"))
+    revisits = kept(whole.where("record_type = 'revisit'").select(*RECORD_NAMES))
+    hot = hot_keys(revisits.groupBy("refers_id").agg(F.count("*").alias("n")), ["refers_id"])
+    revisits = joined(revisits, of, ["refers_id"], "left", hot)
+    error = F.coalesce("error", F.when(F.col("_payload_bytes").isNull() & F.col("_error").isNull(), F.lit("refers")).otherwise(F.col("_error")))
     found = revisits.select(
         "record_id", "record_type", "page_id", "url", "refers_id", F.col("_payload_bytes").alias("payload_bytes"), F.col("_payload_digest").alias("payload_digest"), error.alias("error"), F.col("_payload").alias("payload"), "refers_to",
     )
