@@ -19,7 +19,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a letter whose language is told; the network learns from their own labels, but for the third that is held out.
 
     Rejected: texts that are null or have no letter; those with a score under the middle between a guess (1 of all languages) and what
-    all but TAIL of the held-out documents that are told rightly have; and those of LETTERS letters or more whose lang is one that was
+    all but TAIL of the held-out documents that are rightly told to be in that language have; and those of LETTERS letters or more whose lang is one that was
     learned while the network tells another, surer than it is of CONTRADICTED of those told rightly. A document that has a lang keeps it; one that has none gets
     the predicted one. Where no row has a lang nothing can be told and no row stays; an empty table gives none.
     """
@@ -28,9 +28,11 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = language_id.predict(rows, net)
     right = found.where(language_id.held_out_of(F.col("doc_id")) & (F.col("lang") == F.col("lang_pred")))
     guess = 1 / max(len(net.labels), 1)
-    usual, sure = right.agg(F.percentile_approx("score", [TAIL, CONTRADICTED], 10000)).head(1)[0][0] or (guess, 1.0)
-    told = (F.col("lang_pred") != "und") & (F.col("score") >= (guess + usual) / 2)
-    other = (F.col("lang") != F.col("lang_pred")) & F.col("lang").isin(net.labels) & (F.col("score") >= max(sure, SURE)) & (F.regexp_count("text", F.lit(r"\p{L}")) >= LETTERS)
+    by_lang = right.groupBy("lang_pred").agg(F.percentile_approx("score", [TAIL, CONTRADICTED], 10000).alias("q")).collect()  # one row per learned language
+    of = lambda k, default: F.coalesce(*[F.when(F.col("lang_pred") == r["lang_pred"], F.lit(r["q"][k])) for r in by_lang], F.lit(default))
+    told = (F.col("lang_pred") != "und") & (F.col("score") >= (of(0, guess) + guess) / 2)
+    learned = (F.col("lang") != F.col("lang_pred")) & F.col("lang").isin(net.labels)
+    other = learned & (F.col("score") >= F.greatest(of(1, 1.0), F.lit(SURE))) & (F.regexp_count("text", F.lit(r"\p{L}")) >= LETTERS)
     stay = found.where(told & ~F.coalesce(other, F.lit(False)))
     return stay.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.{c}") for c in docs.columns])
 
