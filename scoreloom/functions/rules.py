@@ -55,14 +55,33 @@ def is_filled(text: Column) -> Column:
 def query_parameters(url: Column) -> Column:
     """The url's query as an array of (key, value) in order: decoded, a missing value empty, of a repeated key the last only.
 
-    What can't be decoded stays as it is. A url without a query has none. No row is taken apart for this, so nothing is shuffled.
+    A % that begins no byte stays as it is; bytes that are no UTF-8 become U+FFFD. A url without a query has none. No row is taken apart for this, so nothing is shuffled.
     """
-    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    decoded = lambda x: F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
     parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^#?]*\?([^#]*)", 1), "&"), lambda x: x != "")
     pairs = F.transform(parts, lambda x: F.struct(decoded(F.substring_index(x, "=", 1)).alias("key"), decoded(F.regexp_replace(x, r"^[^=]*=?", "")).alias("value")))
-    return F.filter(pairs, lambda x, k: ~F.exists(F.slice(pairs, k + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["key"] == x["key"]))
+    last = lambda p: F.filter(p, lambda x, k: ~F.exists(F.slice(p, k + 2, F.greatest(F.size(p), F.lit(1))), lambda y: y["key"] == x["key"]))
+    return F.get(F.transform(F.array(pairs), last), F.lit(0))  # a lambda's own array, so that it is decoded once
 
 
 def tracked_parameters(url: Column) -> Column:
     """Those that campaigns set: utm_* and the two click ids, case-sensitive."""
     return F.filter(query_parameters(url), lambda x: F.startswith(x["key"], F.lit("utm_")) | x["key"].isin("gclid", "fbclid"))
+
+
+def iso_time(at: Column) -> Column:
+    """A timestamp as text in UTC with milliseconds; the session's time zone is taken to be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def given(value: Column) -> Column:
+    """A value as VARIANT, of which a null stays null in JSON; fields that are SQL NULL are left out of JSON, as undefined ones are."""
+    return F.coalesce(value.cast("variant"), F.parse_json(F.lit("null")))
+
+
+def total_label(raw: Column) -> Column:
+    return F.concat(raw.cast("string"), F.lit(f"/{rubric.MAX_TOTAL}"))
+
+
+def percent_label(percentage: Column) -> Column:
+    return F.concat(percentage.cast("string"), F.lit("%"))

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.rules import is_email, is_filled, tracked_parameters, trimmed
+from scoreloom.functions.rules import given, is_email, is_filled, iso_time, tracked_parameters, trimmed
 
-UTM = ("source", "medium", "campaign", "term", "content")
-HEADERS = {"referrer": "referer", "user_agent": "user-agent", "country": "x-vercel-ip-country", "region": "x-vercel-ip-country-region", "city": "x-vercel-ip-city"}
+# Names on the wire, in their order.
+UTM = ("source", "medium", "campaign", "content", "term")
+CONTEXT = ("referrer", "landingPage", "currentPage", "sessionId")
+SCORE_FIELDS = ("rawScore", "percentage", "resultBand", "weakestCategoryOne", "weakestCategoryOneScore", "weakestCategoryTwo", "weakestCategoryTwoScore")
+WEAKEST = ("id", "name", "shortName", "percentage", "status")
+SCORES = ("id", "name", "shortName", "rawScore", "percentage", "status")
+NUMERIC = ("rawScore", "scorePercentage", "weakestCategoryOneScore", "weakestCategoryTwoScore")
+HEADERS = {"referrer": "referer", "userAgent": "user-agent", "country": "x-vercel-ip-country", "region": "x-vercel-ip-country-region", "city": "x-vercel-ip-city"}
 
 
 def validate_submissions(requests: DataFrame) -> DataFrame:
     """Parsed requests with discord trimmed, reject_reason (null: accepted) and status_code; the first check that fails counts.
 
-    The email is not trimmed. Bodies that are no object, and a discord name that is no string, are malformed.
+    The email is not trimmed. Malformed: bodies that are no object, a discord name that is no string, and summaries without a band or
+    one of their lists, or with an empty place in these.
     """
     name = trimmed(F.col("discord"))
     reason = (
         F.when(~F.col("is_json"), "bad_json").when(~F.col("is_object"), "malformed").when(~is_email(F.col("email")), "bad_email")
-        .when(F.col("odd_discord"), "malformed").when(~is_filled(name), "bad_discord").when(F.col("percentage").isNull(), "bad_summary")
+        .when(F.col("odd_discord"), "malformed").when(~is_filled(name), "bad_discord").when(F.col("percentage").isNull(), "bad_summary").when(~F.col("has_parts"), "malformed")
     )
     return requests.withColumn("reject_reason", reason).withColumn("discord", name).withColumn("status_code", F.when(F.col("reject_reason").isNull(), 202).otherwise(400))
 
@@ -30,7 +37,7 @@ def validate_form(form: DataFrame) -> DataFrame:
 
 
 def validate_events(events: DataFrame, name: str = "event_name") -> DataFrame:
-    """accepted: whether there is a name at all; any name will do."""
+    """accepted: whether there is a name at all; any name will do. For parsed requests the column is has_event_name."""
     return events.withColumn("accepted", is_filled(F.col(name)))
 
 
@@ -41,24 +48,76 @@ def outcome(accepted: DataFrame, configured: bool, delivered: Column | None = No
     return accepted.withColumns({"configured": F.lit(configured), "delivered": sent & F.lit(configured), "status_code": F.when(failed, 502).otherwise(202)})
 
 
-def request_context(df: DataFrame, headers: str = "headers") -> DataFrame:
-    """df with request_context: five headers of a map, empty where missing."""
-    return df.withColumn("request_context", F.struct(*[F.coalesce(F.try_element_at(headers, F.lit(h)), F.lit("")).alias(n) for n, h in HEADERS.items()]))
+def client_outcome(outcomes: DataFrame) -> DataFrame:
+    """What the sender's page does after an outcome (delivered; null if none came): it shows the results and unlocks them in any case."""
+    return outcomes.withColumns({"delivered_to_capture": F.coalesce("delivered", F.lit(False)), "unlocked": F.lit(True), "next_view": F.lit("results")})
 
 
-def flat_submissions(accepted: DataFrame, payload: DataFrame) -> DataFrame:
-    """One flat row per accepted submission, with the scores of its respondent; empty strings and nulls where there are none."""
-    scores = payload.withColumnRenamed("respondent_id", "k").withColumnRenamed("percentage", "computed_percentage")
-    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return accepted.join(scores, "k", "left").select(
-        "k", F.lit("scorecard_submission").alias("type"), "email", "discord", F.col("percentage").cast("int").alias("percentage"), "raw_score", text("band"),
-        text("weakest_1"), "weakest_1_percentage", text("weakest_2"), "weakest_2_percentage",
+def request_context(headers: Column) -> Column:
+    """Five headers of a map, empty where missing."""
+    return F.struct(*[F.coalesce(F.try_element_at(headers, F.lit(h)), F.lit("")).alias(n) for n, h in HEADERS.items()])
+
+
+def tracking_fields(context: Column) -> dict[str, Column]:
+    """The nine flat fields of a context (VARIANT): strings, empty where there is none; click ids stay in the context."""
+    at = lambda path: F.when(F.schema_of_variant(F.try_variant_get(context, path, "variant")) == "STRING", F.try_variant_get(context, path, "string"))
+    paths = {f"utm{n.capitalize()}": f"$.utm.utm_{n}" for n in UTM} | {n: f"$.{n}" for n in CONTEXT}
+    return {name: F.coalesce(at(path), F.lit("")) for name, path in paths.items()}
+
+
+def _of(item: Column, names: tuple[str, ...]) -> Column:
+    return F.struct(*[F.try_variant_get(item, f"$.{n}", "variant").alias(n) for n in names])
+
+
+def submission_fields(submitted_at: Column) -> dict[str, Column]:
+    """The flat fields of an accepted submission in their order, as its summary claims them; weakest ones that are missing are empty."""
+    at = lambda path: F.try_variant_get("summary", path, "variant")
+    there = lambda x: F.when(F.schema_of_variant(x) != "VOID", x)
+    weak = lambda k, name: F.coalesce(there(at(f"$.weakestCategories[{k}].{name}")), F.lit("").cast("variant"))
+    return {
+        "email": F.col("email"), "discordUsername": F.col("discord"), "submittedAt": iso_time(submitted_at), "rawScore": at("$.rawScore"), "scorePercentage": at("$.percentage"),
+        "resultBand": at("$.band.title"), "weakestCategoryOne": weak(0, "shortName"), "weakestCategoryOneScore": weak(0, "percentage"),
+        "weakestCategoryTwo": weak(1, "shortName"), "weakestCategoryTwoScore": weak(1, "percentage"), **tracking_fields(F.col("context")),
+    }
+
+
+def flat_submissions(accepted: DataFrame, submitted_at: Column | None = None) -> DataFrame:
+    """One flat row per accepted submission, typed for tables: scores as numbers, null where the record has an empty string."""
+    fields = submission_fields(F.current_timestamp() if submitted_at is None else submitted_at)
+    number = lambda x: F.when(F.schema_of_variant(x) != "STRING", F.try_variant_get(x, "$", "int"))
+    typed = {n: number(x) if n in NUMERIC else x.cast("string") for n, x in fields.items()}
+    return accepted.select("k", F.lit("scorecard_submission").alias("type"), *[x.alias(n) for n, x in typed.items()])
+
+
+def submission_records(accepted: DataFrame, submitted_at: Column | None = None) -> DataFrame:
+    """(k, value): the JSON record of each accepted submission, with one timestamp, as receivers get it.
+
+    The flat fields stand there twice, beside type and once more in `fields`; then the nested result, answers (`{}` if there are none),
+    the context as it came (null if there is none) and the request's context. What the request leaves out is left out.
+    """
+    at = F.current_timestamp() if submitted_at is None else submitted_at
+    flat = [x.alias(n) for n, x in submission_fields(at).items()]
+    listed = lambda path, names: F.transform(F.try_variant_get("summary", path, "array<variant>"), lambda x: _of(x, names))
+    field = lambda path: F.try_variant_get("summary", path, "variant")
+    result = F.struct(
+        field("$.rawScore").alias("rawScore"), field("$.percentage").alias("percentage"), field("$.band.title").alias("resultBand"),
+        listed("$.weakestCategories", WEAKEST).alias("weakestCategories"), listed("$.categoryScores", SCORES).alias("categoryScores"),
     )
+    record = F.struct(
+        F.lit("scorecard_submission").alias("type"), *flat, F.struct(*flat).alias("fields"), result.alias("result"), F.coalesce("answers", F.parse_json(F.lit("{}"))).alias("answers"),
+        F.coalesce("context", F.parse_json(F.lit("null"))).alias("trackingContext"), request_context(F.col("headers")).alias("requestContext"), iso_time(at).alias("timestamp"),
+    )
+    return accepted.select("k", F.to_json(record).alias("value"))
 
 
-def submission_records(flat: DataFrame) -> DataFrame:
-    """Flat rows with the same values once more as the struct `fields` (without type), as receivers get them."""
-    return flat.withColumn("fields", F.struct(*[c for c in flat.columns if c not in ("k", "type")]))
+def event_records(accepted: DataFrame, key: str, at: Column | None = None) -> DataFrame:
+    """(key, value): the JSON record of each accepted event request: payload `{}` and context null where there are none."""
+    record = F.struct(
+        F.lit("scorecard_event").alias("type"), F.col("event_name").alias("eventName"), F.coalesce("payload", F.parse_json(F.lit("{}"))).alias("payload"),
+        F.coalesce("context", F.parse_json(F.lit("null"))).alias("trackingContext"), request_context(F.col("headers")).alias("requestContext"),
+        iso_time(F.current_timestamp() if at is None else at).alias("timestamp"),
+    )
+    return accepted.select(key, F.to_json(record).alias("value"))
 
 
 def attribution(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -78,9 +137,46 @@ def touches(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.min_by("event_type", at).alias("first_event"), F.max_by("event_type", at).alias("last_event"))
 
 
-def envelopes(df: DataFrame, name: str, payload: list[str], context: list[str]) -> DataFrame:
-    """(value): an event as JSON. Null payload fields are left out, as those not set are."""
-    return df.select(F.to_json(F.struct(F.col(name).alias("eventName"), F.struct(*payload).alias("payload"), F.struct(*context).alias("trackingContext"))).alias("value"))
+def contexts(visits: DataFrame) -> DataFrame:
+    """The context of each visitor (visits: user_id, ts, event_id, url, referrer): sessionId, firstSeenAt, landingPage, referrer and utm (a map)
+    stay those of the first visit; currentPage is that of the last. A stored context that can't be read counts as none."""
+    at = F.struct("ts", "event_id")
+    first = F.min_by(F.struct("ts", "url", "referrer"), at).alias("first")
+    found = visits.groupBy("user_id").agg(first, F.max_by("url", at).alias("currentPage"))
+    return found.select(
+        "user_id", F.concat(F.lit("session_"), F.col("user_id").cast("string")).alias("sessionId"), iso_time(F.col("first.ts")).alias("firstSeenAt"),
+        F.col("first.url").alias("landingPage"), "currentPage", F.coalesce("first.referrer", F.lit("")).alias("referrer"), F.map_from_entries(tracked_parameters(F.col("first.url"))).alias("utm"),
+    )
+
+
+def stored_context(df: DataFrame, column: str = "stored") -> DataFrame:
+    """df with the column read as VARIANT: null where it isn't JSON, as if nothing was stored."""
+    return df.withColumn(column, F.try_parse_json(column))
+
+
+def envelopes(df: DataFrame, name: Column, payload: dict[str, Column], context: Column | None = None, undefined: dict[str, Column] | None = None) -> DataFrame:
+    """df with value: an event as JSON. Null payload fields are written as null; those for which `undefined` is true are left out."""
+    undefined = undefined or {}
+    fields = [F.when(~undefined[n], given(x)).alias(n) if n in undefined else given(x).alias(n) for n, x in payload.items()]
+    body = F.struct(name.alias("eventName"), F.struct(*fields).alias("payload"), (F.parse_json(F.lit("null")) if context is None else context).alias("trackingContext"))
+    return df.withColumn("value", F.to_json(body))
+
+
+def score_payload() -> dict[str, Column]:
+    """The seven scalars of score events by their names on the wire, from the columns of scoring.event_payload."""
+    return dict(zip(SCORE_FIELDS, map(F.col, ("raw_score", "percentage", "band", "weakest_1", "weakest_1_percentage", "weakest_2", "weakest_2_percentage"))))
+
+
+def event_payload_of(name: str) -> dict[str, Column]:
+    """The payload of an event of rubric.EVENTS, from columns named as these fields in snake case (and those of score_payload)."""
+    own = lambda *names: {n: F.col("".join(f"_{c.lower()}" if c.isupper() else c for c in n)) for n in names}
+    more = {
+        "scorecard_started": own("resumed", "unlocked"), "question_answered": own("questionId", "category", "step", "value"),
+        "email_submitted": score_payload() | own("email", "discordUsername", "deliveredToCaptureEndpoint"),
+        "audit_cta_clicked": score_payload() | own("hasEmail", "location", "destination"), "roadmap_cta_clicked": score_payload() | own("hasEmail", "location", "destination"),
+        "landing_cta_clicked": own("location", "destination"),
+    }
+    return more.get(name, score_payload())
 
 
 def redacted(df: DataFrame, columns: list[str], salt: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
@@ -68,3 +68,55 @@ def since_restart(log: DataFrame) -> DataFrame:
     """The rows of each respondent's latest run."""
     newest = F.max("run").over(Window.partitionBy("respondent_id"))
     return log.withColumn("_newest", newest).where(F.col("run") == F.col("_newest")).drop("_newest")
+
+
+def _category_of(question: Column) -> Column:
+    """The id of a question's category; null for questions that there aren't."""
+    return F.get(F.array(*[F.lit(c[0]) for c in rubric.CATEGORIES]), F.when(question.isin(*rubric.QUESTIONS), F.floor((question - 1) / rubric.PER_CATEGORY).cast("int")).otherwise(-1))
+
+
+def current_question(state: DataFrame) -> DataFrame:
+    """state (step from 0) with question_id, its category_id, and the label of the step."""
+    question = (F.col("step") + 1).cast("int")
+    return state.withColumns({"question_id": question, "category_id": _category_of(question), "label": F.concat_ws(" of ", question, F.lit(len(rubric.QUESTIONS)))})
+
+
+def active_categories(state: DataFrame) -> DataFrame:
+    """A row per state (respondent_id, step) and category: is_active for that of the current question."""
+    each = F.explode(F.array(*[F.lit(c[0]) for c in rubric.CATEGORIES])).alias("category")
+    return current_question(state).select("respondent_id", "category_id", each).select("respondent_id", "category", F.coalesce(F.col("category") == F.col("category_id"), F.lit(False)).alias("is_active"))
+
+
+def options(latest: DataFrame) -> DataFrame:
+    """A row per latest answer and option of the scale: is_selected for the one that was chosen."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(rubric.MAX_ANSWER))).alias("option")
+    return latest.select("respondent_id", "question_id", "value", each).select("respondent_id", "question_id", "option", F.coalesce(F.col("option") == F.col("value"), F.lit(False)).alias("is_selected"))
+
+
+def states(log: DataFrame) -> DataFrame:
+    """(respondent_id, email, discord, unlocked, has_email) as each respondent left it; log has is_submit and is_restart, email and discord.
+
+    A submission sets them and unlocks, whether it was delivered or not; a restart clears them; the later of the two counts.
+    """
+    at = F.struct("ts", "event_id")
+    last = log.groupBy("respondent_id").agg(F.max(F.when(F.col("is_submit"), F.struct("ts", "event_id", "email", "discord"))).alias("s"), F.max(F.when(F.col("is_restart"), at)).alias("r"))
+    on = F.coalesce(F.col("s").isNotNull() & (F.col("r").isNull() | (F.struct("s.ts", "s.event_id") > F.col("r"))), F.lit(False))
+    held = last.select("respondent_id", F.when(on, F.col("s.email")).alias("email"), F.when(on, F.col("s.discord")).alias("discord"), on.alias("unlocked"))
+    return with_email_flag(held)
+
+
+def saved(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """stored (respondent_id, answers, email, discord, unlocked) after changes, of which there is one row per respondent at most.
+
+    answers and unlocked are overwritten on each change; a blank email or discord isn't written, so the stored one stays.
+    """
+    names = ("answers", "email", "discord", "unlocked")
+    new = changes.select("respondent_id", F.lit(True).alias("_changed"), *[F.col(n).alias(f"_{n}") for n in names])
+    both = stored.join(new, "respondent_id", "full")
+    write = lambda n: F.when(F.col("_changed") & (is_filled(F.col(f"_{n}")) if n in ("email", "discord") else F.lit(True)), F.col(f"_{n}")).otherwise(F.col(n)).alias(n)
+    return both.select("respondent_id", *map(write, names))
+
+
+def submit_guard(form: DataFrame) -> DataFrame:
+    """form (is_submitting) with submit_off: the button is off while a submission is on its way."""
+    return form.withColumn("submit_off", F.coalesce("is_submitting", F.lit(False)))

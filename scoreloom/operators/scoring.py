@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.functions.rules import band, percent, status
+from scoreloom.functions.rules import band, percent, percent_label, status, total_label
 
 
 def latest_answers(answers: DataFrame) -> DataFrame:
@@ -17,11 +17,32 @@ def latest_answers(answers: DataFrame) -> DataFrame:
 
 
 def wide_answers(answers: DataFrame) -> DataFrame:
-    """(respondent_id, q1 ... q15): latest answers side by side, in one aggregation, batch or stream. Other question ids are left out."""
+    """(respondent_id, q1 ... q15): latest answers side by side. Other question ids are left out.
+
+    Batch: rows are dealt by respondent once, then the latest of each question is found and those are put side by side, in the same
+    tasks. Stream: one aggregation, as a stream has one state.
+    """
     own = lambda q: F.col("question_id") == q
-    return answers.groupBy("respondent_id").agg(
-        *[F.max_by(F.when(own(q), F.col("value")), F.when(own(q), F.struct("ts", "event_id"))).alias(f"q{q}") for q in rubric.QUESTIONS]
-    )
+    if answers.isStreaming:
+        return answers.groupBy("respondent_id").agg(
+            *[F.max_by(F.when(own(q), F.col("value")), F.when(own(q), F.struct("ts", "event_id"))).alias(f"q{q}") for q in rubric.QUESTIONS]
+        )
+    latest = latest_answers(answers.repartition("respondent_id"))
+    return latest.groupBy("respondent_id").agg(*[F.max(F.when(own(q), F.col("value"))).alias(f"q{q}") for q in rubric.QUESTIONS])
+
+
+def answers_since_restart(log: DataFrame) -> DataFrame:
+    """(respondent_id, q1 ... q15) from the answers after each respondent's last restart; log has is_restart beside the answers' columns.
+
+    The latest answer of a question counts if it is later than the latest restart, so no history is ordered: restarts are kept as one
+    more question. Respondents who only restarted have no answer. One exchange.
+    """
+    rows = log.withColumn("question_id", F.when(F.col("is_restart"), -1).otherwise(F.col("question_id"))).repartition("respondent_id")
+    latest = rows.groupBy("respondent_id", "question_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("x"))
+    at = lambda q: F.max(F.when(F.col("question_id") == q, F.col("x")))
+    wide = latest.groupBy("respondent_id").agg(at(-1).alias("restart"), *[at(q).alias(f"x{q}") for q in rubric.QUESTIONS])
+    later = lambda x: F.col("restart").isNull() | (F.struct(f"{x}.ts", f"{x}.event_id") > F.struct("restart.ts", "restart.event_id"))
+    return wide.select("respondent_id", *[F.when(later(f"x{q}"), F.col(f"x{q}.value")).alias(f"q{q}") for q in rubric.QUESTIONS])
 
 
 def _sum(of: list[Column]) -> Column:
@@ -38,13 +59,18 @@ def summaries(answers: DataFrame) -> DataFrame:
     categories is an array of (ordinal, category_id, short_name, raw_score, percentage, status, answered) in rubric order, of every
     category, answered or not; weakest is its two lowest by (percentage, raw_score, ordinal). One shuffle; the rest are projections.
     """
+    return summaries_of(wide_answers(answers))
+
+
+def summaries_of(wide: DataFrame) -> DataFrame:
+    """Summaries of answers that stand side by side (respondent_id, q1 ... q15)."""
     each = []
     for k, (name, short) in enumerate(rubric.CATEGORIES, 1):
         raw = _sum([F.col(f"q{q}") for q in rubric.questions_of(k)])
         pct = percent(raw, rubric.MAX_CATEGORY)
         fields = {"ordinal": F.lit(k), "category_id": F.lit(name), "short_name": F.lit(short), "raw_score": raw, "percentage": pct, "status": status(pct), "answered": _answered(rubric.questions_of(k))}
         each.append(F.struct(*[v.alias(n) for n, v in fields.items()]))
-    wide = wide_answers(answers).withColumn("categories", F.array(*each)).withColumn("raw_score", _sum([F.col(f"q{q}") for q in rubric.QUESTIONS]))
+    wide = wide.withColumn("categories", F.array(*each)).withColumn("raw_score", _sum([F.col(f"q{q}") for q in rubric.QUESTIONS]))
     by_score = F.array_sort(F.transform("categories", lambda c: F.struct(c["percentage"].alias("p"), c["raw_score"].alias("r"), c["ordinal"].alias("o"), c.alias("c"))))
     pct = percent(F.col("raw_score"), rubric.MAX_TOTAL)
     return wide.select(
@@ -79,3 +105,12 @@ def audit(claimed: DataFrame, summary: DataFrame) -> DataFrame:
     """Claimed percentages (respondent_id, percentage) beside those computed from answers; null where there are no answers."""
     own = summary.select("respondent_id", F.col("percentage").alias("computed"))
     return claimed.join(own, "respondent_id", "left").withColumn("agrees", F.col("percentage") == F.col("computed"))
+
+
+def weakest_ids(summary: DataFrame) -> DataFrame:
+    """The ids of each respondent's weakest categories, weakest first."""
+    return summary.select("respondent_id", F.transform("weakest", lambda w: w["category_id"]).alias("weakest_ids"))
+
+
+def score_labels(summary: DataFrame) -> DataFrame:
+    return summary.select("respondent_id", total_label(F.col("raw_score")).alias("total_label"), percent_label(F.col("percentage")).alias("percent_label"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
@@ -94,9 +94,17 @@ def submission_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _submissions(spark, sf_dir).select("k", "reject_reason", "status_code")
 
 
+def _at() -> Column:
+    """The records' timestamp here, so that reruns agree."""
+    return F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")
+
+
 def submission_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted = _submissions(spark, sf_dir).where("reject_reason is null")
-    return capture.flat_submissions(accepted, scoring.event_payload(_summaries(spark, sf_dir)))
+    return capture.flat_submissions(_submissions(spark, sf_dir).where("reject_reason is null"), _at())
+
+
+def submission_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.submission_records(_submissions(spark, sf_dir).where("reject_reason is null"), _at())
 
 
 def submission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +112,85 @@ def submission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.audit(claimed, _summaries(spark, sf_dir))
 
 
+def _event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a request: errors have an empty name, event_id % 7 = 0 a number, views no payload, % 3 = 0 a context."""
+    e = F.col("event_id")
+    name = F.when(F.col("event_type") == "error", F.lit('""')).when(e % 7 == 0, e.cast("string")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    payload = F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.concat(F.lit(',"payload":'), "props"))
+    context = F.when(e % 3 == 0, F.lit(',"trackingContext":{"sessionId":"s"}')).otherwise(F.lit(""))
+    headers = F.create_map(F.lit("user-agent"), F.lit("agent"))
+    rows = inputs.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"eventName":'), name, payload, context, F.lit("}")).alias("value"), headers.alias("headers"))
+    return inputs.parse_requests(rows)
+
+
 def event_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors count as events without a name."""
-    events = inputs.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_name"))
-    return capture.validate_events(events).select("event_id", "accepted")
+    return _event_requests(spark, sf_dir).select("event_id", F.col("has_event_name").alias("accepted"))
+
+
+def event_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.event_records(_event_requests(spark, sf_dir).where("has_event_name"), "event_id", _at())
+
+
+def visitor_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page is visited by the user of the event with its number."""
+    pages = inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), "url")
+    visits = inputs.table(spark, sf_dir, "events").select("event_id", "user_id", "ts").join(pages, "event_id").withColumn("referrer", F.lit(None).cast("string"))
+    return capture.contexts(visits).withColumn("utm_source", F.coalesce(F.try_element_at("utm", F.lit("utm_source")), F.lit(""))).drop("utm")
+
+
+def _restart_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors stand for restarts, purchases for submissions; other events are answers."""
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return inputs.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("respondent_id"), (F.col("event_id") % 15 + 1).cast("int").alias("question_id"), (k % 5).cast("int").alias("value"), "ts", "event_id",
+        (F.col("event_type") == "error").alias("is_restart"), (F.col("event_type") == "purchase").alias("is_submit"),
+    )
+
+
+def total_scores_since_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _restart_log(spark, sf_dir).where("not is_submit")
+    return scoring.summaries_of(scoring.answers_since_restart(log)).select("respondent_id", "raw_score", "percentage", "band", "answered")
+
+
+def respondent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _restart_log(spark, sf_dir).withColumn("email", F.concat(F.lit("e"), F.col("event_id").cast("string"))).withColumn("discord", F.lit("d"))
+    return flow.states(log)
+
+
+def active_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current step is the number of questions answered, the last one if all are."""
+    state = _summaries(spark, sf_dir).select("respondent_id", F.least("answered", F.lit(len(rubric.QUESTIONS) - 1)).alias("step"))
+    return flow.active_categories(state)
+
+
+def current_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _summaries(spark, sf_dir).select("respondent_id", F.least("answered", F.lit(len(rubric.QUESTIONS) - 1)).alias("step"))
+    return flow.current_question(state)
+
+
+def question_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.options(latest_answers(spark, sf_dir))
+
+
+def score_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_labels(_summaries(spark, sf_dir))
+
+
+def weakest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.weakest_ids(_summaries(spark, sf_dir)).withColumn("weakest_ids", F.concat_ws(",", "weakest_ids"))
+
+
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event per click as JSON."""
+    rows = flow.current_question(_answers(spark, sf_dir).select("event_id", "value", (F.col("question_id") - 1).alias("step")))
+    rows = rows.select("event_id", "question_id", F.col("category_id").alias("category"), (F.col("step") + 1).alias("step"), F.col("value"))
+    return capture.envelopes(rows.withColumnRenamed("value", "answer"), F.lit(rubric.EVENTS[1]), capture.event_payload_of(rubric.EVENTS[1]) | {"value": F.col("answer")}).select("event_id", "value")
+
+
+def cta_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A click on the results' call to action for each respondent; those with an odd id gave an email."""
+    rows = scoring.event_payload(_summaries(spark, sf_dir)).withColumns({"has_email": F.col("respondent_id") % 2 == 1, "location": F.lit("results"), "destination": F.lit("/audit")})
+    return capture.envelopes(rows, F.lit("audit_cta_clicked"), capture.event_payload_of("audit_cta_clicked")).select("respondent_id", "value")
 
 
 def band_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,14 +211,15 @@ def attribution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested summaries as they are; no SQL for nested rows."""
-    return _summaries(spark, sf_dir)
+    """The nested summaries as JSON."""
+    return _summaries(spark, sf_dir).select("respondent_id", F.to_json(F.struct("raw_score", "percentage", "band", "answered", "is_complete", "categories", "weakest")).alias("summary"))
 
 
 def event_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each respondent's score event as JSON; no SQL for its spelling."""
-    payload = scoring.event_payload(_summaries(spark, sf_dir)).withColumn("event", F.lit(rubric.EVENTS[2]))
-    return capture.envelopes(payload, "event", ["raw_score", "percentage", "band", "weakest_1", "weakest_2"], ["respondent_id"])
+    """Each respondent's score event as JSON."""
+    rows = scoring.event_payload(_summaries(spark, sf_dir))
+    context = F.to_variant_object(F.struct(F.concat(F.lit("session_"), F.col("respondent_id").cast("string")).alias("sessionId")))
+    return capture.envelopes(rows, F.lit(rubric.EVENTS[2]), capture.score_payload(), context).select("respondent_id", "value")
 
 
 QUERIES = {
@@ -143,7 +227,8 @@ QUERIES = {
     for f in (
         latest_answers, total_scores, completeness, category_scores, category_progress, weakest_two, weakest_flags, score_event_payload, recommendation_text,
         next_view, results_viewed_once, events_since_restart, utm_params, first_last_touch, submission_outcome, submission_flat, submission_audit, event_accept,
-        band_distribution, status_distribution, weakest_ranking, attribution_report, score_summary, event_envelopes,
+        band_distribution, status_distribution, weakest_ranking, attribution_report, score_summary, event_envelopes, submission_record, event_record, visitor_context, total_scores_since_restart, respondent_state,
+        active_category, current_question, question_options, score_labels, weakest_ids, answer_events, cta_events,
     )
 }
 
@@ -179,7 +264,19 @@ cat AS (
   SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'c' || c_custkey || '.example.com' WHEN c_custkey % 17 = 0 THEN '' ELSE 'c' || c_custkey || '@mail.example.com' END AS email,
          CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'user' || c_custkey END AS discord, CASE WHEN c_custkey % 13 <> 0 THEN CAST(c_custkey % 101 AS INT) END AS percentage FROM customer
 ), val AS (
-  SELECT *, CASE WHEN NOT regexp_full_match(email, '[^@ ]+@[^@ ]+\\.[^@ ]+') THEN 'bad_email' WHEN discord = '' THEN 'bad_discord' WHEN percentage IS NULL THEN 'bad_summary' END AS reject_reason FROM sub
+  SELECT *, CASE WHEN NOT regexp_full_match(email, '[^@ ]+@[^@ ]+\\.[^@ ]+') THEN 'bad_email' WHEN discord = '' THEN 'bad_discord' WHEN percentage IS NULL THEN 'bad_summary'
+                 WHEN k % 19 = 0 THEN 'malformed' END AS reject_reason FROM sub
+), claim AS (
+  SELECT k, ordinal, category_id, short_name, CAST((k + ordinal) % 13 AS INT) AS raw, CAST((k + ordinal) % 101 AS INT) AS pct FROM sub CROSS JOIN cats
+), claims AS (SELECT *, {_case("pct")[1]} AS status FROM claim),
+flat AS (
+  SELECT v.k, 'scorecard_submission' AS type, email, discord AS "discordUsername", '2024-01-01T10:00:00.000Z' AS "submittedAt", CAST(v.k % 61 AS INT) AS "rawScore",
+         v.percentage AS "scorePercentage", {_case("v.percentage")[0]} AS "resultBand", a.short_name AS "weakestCategoryOne", a.pct AS "weakestCategoryOneScore",
+         CASE WHEN v.k % 5 = 0 THEN '' ELSE b.short_name END AS "weakestCategoryTwo", CASE WHEN v.k % 5 <> 0 THEN b.pct END AS "weakestCategoryTwoScore",
+         CASE WHEN v.k % 3 <> 0 AND v.k % 2 = 0 THEN 's' || (v.k % 4) ELSE '' END AS "utmSource", '' AS "utmMedium", '' AS "utmCampaign", '' AS "utmContent", '' AS "utmTerm", '' AS referrer,
+         CASE WHEN v.k % 3 <> 0 THEN '/start' ELSE '' END AS "landingPage", CASE WHEN v.k % 3 <> 0 THEN '/now' ELSE '' END AS "currentPage",
+         CASE WHEN v.k % 3 <> 0 THEN 'session' || v.k ELSE '' END AS "sessionId"
+  FROM val v JOIN claims a ON a.k = v.k AND a.ordinal = 1 JOIN claims b ON b.k = v.k AND b.ordinal = 2 WHERE reject_reason IS NULL
 ), runs AS (
   SELECT user_id AS respondent_id, ts, event_id, event_type,
          CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM events
@@ -191,6 +288,16 @@ cat AS (
 """
 _STATUS_LEVEL = " ".join(f"WHEN status = '{t}' THEN {len(rubric.STATUSES) - k}" for k, (_, t) in enumerate(rubric.STATUSES))
 
+_FLAT = """'"email":"' || email || '","discordUsername":"' || "discordUsername" || '","submittedAt":"' || "submittedAt" || '","rawScore":' || "rawScore" || ',"scorePercentage":' || "scorePercentage" ||
+    ',"resultBand":"' || "resultBand" || '","weakestCategoryOne":"' || "weakestCategoryOne" || '","weakestCategoryOneScore":' || "weakestCategoryOneScore" || ',"weakestCategoryTwo":"' || "weakestCategoryTwo" ||
+    '","weakestCategoryTwoScore":' || coalesce(CAST("weakestCategoryTwoScore" AS VARCHAR), '""') || ',"utmSource":"' || "utmSource" || '","utmMedium":"","utmCampaign":"","utmContent":"","utmTerm":"","referrer":"","landingPage":"' ||
+    "landingPage" || '","currentPage":"' || "currentPage" || '","sessionId":"' || "sessionId" || '"'"""
+_CLAIM = """'{"id":"' || category_id || '","name":"' || short_name || '","shortName":"' || short_name || '"'"""
+_PAY = """'"rawScore":' || raw_score || ',"percentage":' || percentage || ',"resultBand":"' || band || '","weakestCategoryOne":"' || weakest_1 || '","weakestCategoryOneScore":' || weakest_1_percentage ||
+    ',"weakestCategoryTwo":"' || weakest_2 || '","weakestCategoryTwoScore":' || weakest_2_percentage"""
+_CAT = """'{"ordinal":' || ordinal || ',"category_id":"' || category_id || '","short_name":"' || short_name || '","raw_score":' || c.raw_score || ',"percentage":' || c.percentage ||
+    ',"status":"' || status || '","answered":' || c.answered || '}'"""
+
 SQL = {
     name: _BASE + text
     for name, text in {
@@ -212,11 +319,47 @@ SQL = {
         "first_last_touch": """SELECT user_id, min(ts) AS first_ts, arg_min(event_type, (ts, event_id)) AS first_event, arg_max(event_type, (ts, event_id)) AS last_event
             FROM events GROUP BY user_id""",
         "submission_outcome": "SELECT k, reject_reason, CAST(CASE WHEN reject_reason IS NULL THEN 202 ELSE 400 END AS INT) AS status_code FROM val",
-        "submission_flat": """SELECT k, 'scorecard_submission' AS type, email, discord, v.percentage, raw_score, coalesce(band, '') AS band, coalesce(weakest_1, '') AS weakest_1, weakest_1_percentage,
-            coalesce(weakest_2, '') AS weakest_2, weakest_2_percentage FROM val v LEFT JOIN pay ON pay.respondent_id = k WHERE reject_reason IS NULL""",
+        "submission_flat": "SELECT * FROM flat",
+        "submission_record": f"""SELECT k, '{{"type":"scorecard_submission",' || {_FLAT} || ',"fields":{{' || {_FLAT} || '}},"result":{{"rawScore":' || "rawScore" || ',"percentage":' || "scorePercentage"
+            || ',"resultBand":"' || "resultBand" || '","weakestCategories":[' || w.x || '],"categoryScores":[' || c.x || ']}},"answers":' ||
+            CASE WHEN k % 4 <> 0 THEN '{{"1":' || k % 5 || ',"2":4}}' ELSE '{{}}' END || ',"trackingContext":' || CASE WHEN k % 3 = 0 THEN 'null'
+              ELSE '{{"currentPage":"/now","landingPage":"/start","referrer":"","sessionId":"session' || k || '"' || CASE WHEN k % 2 = 0 THEN ',"utm":{{"gclid":"g","utm_source":"s' || k % 4 || '"}}' ELSE '' END || '}}' END
+            || ',"requestContext":' || CASE WHEN k % 2 = 0 THEN '{{"referrer":"","userAgent":"agent","country":"DE","region":"","city":""}}' ELSE '{{"referrer":"http://r","userAgent":"","country":"","region":"","city":""}}' END
+            || ',"timestamp":"' || "submittedAt" || '"}}' AS value
+            FROM flat JOIN (SELECT k, string_agg({_CLAIM} || ',"percentage":' || pct || ',"status":"' || status || '"}}', ',' ORDER BY ordinal) AS x FROM claims WHERE ordinal <= CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END GROUP BY k) w USING (k)
+            JOIN (SELECT k, string_agg({_CLAIM} || ',"rawScore":' || raw || ',"percentage":' || pct || ',"status":"' || status || '"}}', ',' ORDER BY ordinal) AS x FROM claims GROUP BY k) c USING (k)""",
         "submission_audit": """SELECT k AS respondent_id, v.percentage, pay.percentage AS computed, v.percentage = pay.percentage AS agrees
             FROM val v LEFT JOIN pay ON pay.respondent_id = k WHERE reject_reason IS NULL""",
-        "event_accept": "SELECT event_id, event_type <> 'error' AND event_type <> '' AS accepted FROM events",
+        "event_accept": "SELECT event_id, CASE WHEN event_type = 'error' THEN false WHEN event_id % 7 = 0 THEN event_id <> 0 ELSE event_type <> '' END AS accepted FROM events",
+        "event_record": """SELECT event_id, '{"type":"scorecard_event","eventName":' || CASE WHEN event_id % 7 = 0 THEN CAST(event_id AS VARCHAR) ELSE '"' || event_type || '"' END || ',"payload":' ||
+            CASE WHEN event_type = 'view' THEN '{}' ELSE '{"k":' || json_extract_string(props, '$.k') || '}' END || ',"trackingContext":' || CASE WHEN event_id % 3 = 0 THEN '{"sessionId":"s"}' ELSE 'null' END ||
+            ',"requestContext":{"referrer":"","userAgent":"agent","country":"","region":"","city":""},"timestamp":"2024-01-01T10:00:00.000Z"}' AS value
+            FROM events WHERE event_type <> 'error' AND (event_id % 7 <> 0 OR event_id <> 0)""",
+        "visitor_context": """SELECT user_id, 'session_' || user_id AS "sessionId", strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "firstSeenAt", arg_min(url, (ts, event_id)) AS "landingPage",
+            arg_max(url, (ts, event_id)) AS "currentPage", '' AS referrer, coalesce(arg_min(coalesce(utm_value, ''), (ts, event_id)), '') AS utm_source
+            FROM events e JOIN pages p ON p.page_id = e.event_id LEFT JOIN utm u ON u.page_id = p.page_id AND utm_key = 'utm_source' GROUP BY user_id""",
+        "total_scores_since_restart": f"""SELECT respondent_id, raw AS raw_score, pct AS percentage, {_case("pct")[0]} AS band, answered FROM (
+            SELECT *, CAST(floor(raw / 60.0 * 100 + 0.5) AS INT) AS pct FROM (SELECT respondent_id, CAST(coalesce(sum(value), 0) AS INT) AS raw, CAST(count(value) AS INT) AS answered FROM (
+              SELECT r.respondent_id, CASE WHEN is_answer AND run = max(run) OVER (PARTITION BY r.respondent_id) AND
+                     row_number() OVER (PARTITION BY r.respondent_id, is_answer, question_id, run ORDER BY ts DESC, event_id DESC) = 1 THEN value END AS value
+              FROM (SELECT *, event_type <> 'error' AS is_answer, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS INT) AS value, event_id % 15 AS question_id
+                    FROM runs JOIN (SELECT event_id, props FROM events) USING (event_id) WHERE event_type <> 'purchase') r) GROUP BY respondent_id))""",
+        "respondent_state": """SELECT respondent_id, CASE WHEN on_ THEN 'e' || s END AS email, CASE WHEN on_ THEN 'd' END AS discord, on_ AS unlocked, on_ AS has_email FROM (
+            SELECT user_id AS respondent_id, arg_max(event_id, (ts, event_id)) FILTER (event_type = 'purchase') AS s,
+                   coalesce(max((ts, event_id)) FILTER (event_type = 'purchase') > coalesce(max((ts, event_id)) FILTER (event_type = 'error'), (TIMESTAMP '1900-01-01', 0::BIGINT)), false) AS on_ FROM events GROUP BY user_id)""",
+        "active_category": "SELECT respondent_id, category_id AS category, ordinal = least(answered, 14) // 3 + 1 AS is_active FROM tot CROSS JOIN cats",
+        "current_question": """SELECT respondent_id, least(answered, 14) AS step, least(answered, 14) + 1 AS question_id, category_id, (least(answered, 14) + 1) || ' of 15' AS label
+            FROM tot JOIN cats ON ordinal = least(answered, 14) // 3 + 1""",
+        "question_options": "SELECT respondent_id, question_id, CAST(o AS INT) AS option, coalesce(o = value, false) AS is_selected FROM latest CROSS JOIN range(5) t(o)",
+        "score_labels": "SELECT respondent_id, raw_score || '/60' AS total_label, percentage || '%' AS percent_label FROM tot",
+        "weakest_ids": "SELECT respondent_id, string_agg(category_id, ',' ORDER BY rnk) AS weakest_ids FROM cat WHERE rnk <= 2 GROUP BY respondent_id",
+        "answer_events": """SELECT event_id, '{"eventName":"question_answered","payload":{"questionId":' || (event_id % 15 + 1) || ',"category":"' || category_id || '","step":' || (event_id % 15 + 1) || ',"value":' ||
+            (CAST(json_extract_string(props, '$.k') AS BIGINT) % 5) || '},"trackingContext":null}' AS value FROM events JOIN cats ON ordinal = event_id % 15 // 3 + 1""",
+        "event_envelopes": f"""SELECT respondent_id, '{{"eventName":"scorecard_completed","payload":{{' || {_PAY} || '}},"trackingContext":{{"sessionId":"session_' || respondent_id || '"}}}}' AS value FROM pay""",
+        "cta_events": f"""SELECT respondent_id, '{{"eventName":"audit_cta_clicked","payload":{{' || {_PAY} || ',"hasEmail":' || (respondent_id % 2 = 1) || ',"location":"results","destination":"/audit"}},"trackingContext":null}}' AS value FROM pay""",
+        "score_summary": f"""SELECT respondent_id, '{{"raw_score":' || t.raw_score || ',"percentage":' || t.percentage || ',"band":"' || band || '","answered":' || t.answered || ',"is_complete":' || (t.answered = 15) ||
+            ',"categories":[' || string_agg({_CAT}, ',' ORDER BY ordinal) || '],"weakest":[' || string_agg({_CAT}, ',' ORDER BY rnk) FILTER (rnk <= 2) || ']}}' AS summary
+            FROM tot t JOIN cat c USING (respondent_id) GROUP BY respondent_id, t.raw_score, t.percentage, band, t.answered""",
         "band_distribution": "SELECT band, count(*) AS respondents, min(percentage) AS min_pct, max(percentage) AS max_pct FROM tot GROUP BY band",
         "status_distribution": "SELECT status, count(*) AS n FROM cat GROUP BY status",
         "weakest_ranking": "SELECT category_id, count(*) AS n FROM cat WHERE rnk = 1 GROUP BY category_id",

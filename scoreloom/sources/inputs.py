@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreloom import rubric
+from scoreloom.functions.rules import band, status
+
 NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
@@ -23,20 +26,43 @@ def answers_from_events(events: DataFrame) -> DataFrame:
 def answers_from_json(df: DataFrame, key: str = "respondent_id", column: str = "answers") -> DataFrame:
     """(key, question_id, value) from a JSON object of answers by question id. Only numbers count as answered; text that isn't a
     JSON object gives no row, and one bad value spoils only itself."""
-    parsed = df.select(key, F.try_parse_json(column).alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
-    parsed.createOrReplaceTempView("_scoreloom_answers")
-    each = parsed.sparkSession.sql(f"SELECT `{key}`, e.key AS k, e.value AS x FROM _scoreloom_answers, LATERAL variant_explode(v) AS e")
+    parsed = df.select(F.col(key), F.try_parse_json(column).alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    each = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "k", "x"))
     value = F.when(F.schema_of_variant("x").rlike(NUMBERS), F.try_variant_get("x", "$", "double"))
     return each.select(key, F.col("k").try_cast("int").alias("question_id"), value.alias("value")).where("question_id is not null")
 
 
+def _claimed_category(k: Column, ordinal: Column) -> Column:
+    """A category as a summary claims it, made up by rule."""
+    at = lambda part: F.element_at(F.array(*[F.lit(c[part]) for c in rubric.CATEGORIES]), ordinal)
+    pct = ((k + ordinal) % 101).cast("int")
+    return F.struct(
+        at(0).alias("id"), at(1).alias("name"), at(1).alias("shortName"), F.lit("x").alias("definition"), ((k + ordinal) % 13).cast("int").alias("rawScore"),
+        pct.alias("percentage"), status(pct).alias("status"),
+    )
+
+
 def submissions_from_customers(customer: DataFrame) -> DataFrame:
-    """(k, value): a request body in JSON for each customer, some of them bad by rule."""
+    """(k, value, headers): a request body in JSON for each customer, some of them bad or incomplete by rule.
+
+    No `@` in the email (k % 7 = 0), none (k % 17), a blank discord name (k % 11), no percentage (k % 13), no weakest categories
+    (k % 19), one of them only (k % 5); answers, context, utm and headers of some only.
+    """
     k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
     email = F.when(k % 7 == 0, F.concat(F.lit("c"), s, F.lit(".example.com"))).when(k % 17 == 0, "").otherwise(F.concat(F.lit("c"), s, F.lit("@mail.example.com")))
     discord = F.when(k % 11 == 0, "   ").otherwise(F.concat(F.lit(" user"), s, F.lit(" ")))
-    summary = F.struct(F.when(k % 13 != 0, (k % 101).cast("int")).alias("percentage"))
-    return customer.select(k.alias("k"), F.to_json(F.struct(email.alias("email"), discord.alias("discordUsername"), summary.alias("summary"))).alias("value"))
+    pct = (k % 101).cast("int")
+    some = F.when(k % 19 != 0, F.transform(F.sequence(F.lit(1), F.when(k % 5 == 0, 1).otherwise(2)), lambda i: _claimed_category(k, i)))
+    summary = F.struct(
+        (k % 61).cast("int").alias("rawScore"), F.when(k % 13 != 0, pct).alias("percentage"), F.struct(band(pct).alias("title")).alias("band"),
+        F.transform(F.sequence(F.lit(1), F.lit(len(rubric.CATEGORIES))), lambda i: _claimed_category(k, i)).alias("categoryScores"), some.alias("weakestCategories"),
+    )
+    utm = F.when(k % 2 == 0, F.struct(F.concat(F.lit("s"), (k % 4).cast("string")).alias("utm_source"), F.lit("g").alias("gclid")))
+    context = F.when(k % 3 != 0, F.struct(F.concat(F.lit("session"), s).alias("sessionId"), F.lit("/start").alias("landingPage"), F.lit("/now").alias("currentPage"), F.lit("").alias("referrer"), utm.alias("utm")))
+    answers = F.when(k % 4 != 0, F.struct((k % 5).cast("int").alias("1"), F.lit(4).alias("2")))
+    body = F.struct(email.alias("email"), discord.alias("discordUsername"), answers.alias("answers"), summary.alias("summary"), context.alias("trackingContext"))
+    headers = F.when(k % 2 == 0, F.create_map(F.lit("user-agent"), F.lit("agent"), F.lit("x-vercel-ip-country"), F.lit("DE"))).otherwise(F.create_map(F.lit("referer"), F.lit("http://r")))
+    return customer.select(k.alias("k"), F.to_json(body).alias("value"), headers.alias("headers"))
 
 
 def _text(v: Column, path: str) -> Column:
@@ -45,19 +71,33 @@ def _text(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(v, path, "string"))
 
 
+def truthy(v: Column) -> Column:
+    """Whether a VARIANT is a value that counts as true: not missing, null, false, 0 or an empty string."""
+    kind = F.schema_of_variant(v)
+    value = F.when(kind == "STRING", F.try_variant_get(v, "$", "string") != "").when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind.rlike(NUMBERS), F.try_variant_get(v, "$", "double") != 0)
+    return F.coalesce(value, F.coalesce(kind != "VOID", F.lit(False)))
+
+
 def parse_requests(df: DataFrame, column: str = "value") -> DataFrame:
-    """df with the fields of a request body: is_json, is_object, email, discord, odd_discord, event_name and percentage."""
+    """df with what a request body says, each field of its own type or null, and never turned into another:
+
+    is_json, is_object, email, discord, odd_discord (neither a string nor null), has_event_name and event_name (VARIANT), payload, answers and
+    context (VARIANT, null where missing or null), summary (VARIANT), percentage, has_parts (the summary's band and both lists are there).
+
+    The body is parsed once per row, below a generator, so that neither filters nor joins on what it says parse it again.
+    """
     v = F.col("_v")
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    odd = F.coalesce(~kind("$.discordUsername").isin("STRING", "VOID"), F.lit(False))
-    return (
-        df.withColumn("_v", F.try_parse_json(column))
-        .withColumns(
-            {
-                "is_json": v.isNotNull(), "is_object": F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)),
-                "email": _text(v, "$.email"), "discord": _text(v, "$.discordUsername"), "odd_discord": odd, "event_name": _text(v, "$.eventName"),
-                "percentage": F.when(kind("$.summary.percentage").rlike(NUMBERS), F.try_variant_get(v, "$.summary.percentage", "double")),
-            }
-        )
-        .drop("_v")
-    )
+    at = lambda path: F.try_variant_get(v, path, "variant")
+    kind = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit("VOID"))
+    value = lambda path: F.when(kind(path) != "VOID", at(path))
+    whole = lambda path: F.coalesce(~F.exists(F.try_variant_get(v, path, "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) == "VOID"), F.lit(False))
+    fields = {
+        "is_json": v.isNotNull(), "is_object": F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)),
+        "email": _text(v, "$.email"), "discord": _text(v, "$.discordUsername"), "odd_discord": ~kind("$.discordUsername").isin("STRING", "VOID"),
+        "has_event_name": truthy(at("$.eventName")), "event_name": value("$.eventName"), "payload": value("$.payload"), "answers": value("$.answers"),
+        "context": value("$.trackingContext"), "summary": value("$.summary"),
+        "percentage": F.when(kind("$.summary.percentage").rlike(NUMBERS), F.try_variant_get(v, "$.summary.percentage", "double")),
+        "has_parts": (kind("$.summary.band") != "VOID") & whole("$.summary.weakestCategories") & whole("$.summary.categoryScores"),
+    }
+    parsed = df.withColumn("_v", F.try_parse_json(column))
+    return parsed.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.struct(*[x.alias(n) for n, x in fields.items()]))))

@@ -18,9 +18,8 @@ def test_query_equals_sql(name, same_as_sql):
     same_as_sql(queries.QUERIES[name], queries.SQL[name])
 
 
-def test_queries_without_sql_run(spark):
-    for name in set(queries.QUERIES) - set(queries.SQL):
-        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 15
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.SQL)
 
 
 def test_percent_band_status_over_their_whole_domain(spark):
@@ -45,11 +44,14 @@ def test_latest_wins_and_ties_go_to_rubric_order(spark):
 
 
 def test_submissions_first_failure_counts(spark):
-    ok = {"email": "a@b.c", "discordUsername": " x\t", "summary": {"percentage": 40}}
+    summary = {"percentage": 40, "rawScore": 24, "band": {"title": "t"}, "weakestCategories": [], "categoryScores": []}
+    ok = {"email": "a@b.c", "discordUsername": " x\t", "summary": summary}
+    without = lambda name, value=None: (json.dumps(ok | {"summary": {k: v for k, v in (summary | {name: value}).items() if v is not None}}), "malformed")
     cases = [
         (json.dumps(ok), None), ("{", "bad_json"), ("null", "malformed"), (json.dumps(ok | {"email": "a@b.c\n"}), "bad_email"), (json.dumps(ok | {"email": "a@@b.c"}), "bad_email"),
         (json.dumps(ok | {"email": "a b@b.c"}), "bad_email"), (json.dumps(ok | {"discordUsername": 5}), "malformed"), (json.dumps(ok | {"discordUsername": " ﻿"}), "bad_discord"),
         (json.dumps(ok | {"summary": {"percentage": "40"}}), "bad_summary"), (json.dumps({"email": "a@b.c", "discordUsername": "x"}), "bad_summary"), (None, "bad_json"),
+        without("band"), without("weakestCategories"), without("categoryScores", {}), without("weakestCategories", [None]), (json.dumps(ok | {"discordUsername": None}), "bad_discord"),
     ]
     df = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(cases)], "k int, value string")
     got = {r.k: r for r in capture.validate_submissions(inputs.parse_requests(df)).collect()}
@@ -58,10 +60,10 @@ def test_submissions_first_failure_counts(spark):
 
 
 def test_query_parameters(spark):
-    url = "http://x/?utm_source=a&utm_source=b%20c&UTM_medium=x&gclid=1=2&utm_term=%zz&utm_content#utm_campaign=q"
+    url = "http://x/?utm_source=a&utm_source=b%20c&UTM_medium=x&gclid=1=2&utm_term=%zz&utm_content&utm_medium=a%20b%zz+c%#utm_campaign=q"
     got = spark.createDataFrame([(1, url), (2, None), (3, "nothing")], "page_id long, url string")
     rows = {(r.utm_key, r.utm_value) for r in capture.parameter_rows(got).collect()}
-    assert rows == {("utm_source", "b c"), ("gclid", "1=2"), ("utm_term", "%zz"), ("utm_content", "")}
+    assert rows == {("utm_source", "b c"), ("gclid", "1=2"), ("utm_term", "%zz"), ("utm_content", ""), ("utm_medium", "a b%zz c%")}
 
 
 def test_answers_from_json_keep_numbers_only(spark):
@@ -93,7 +95,84 @@ def test_sinks_and_outcomes(spark, tmp_path):
     assert capture.redacted(df, ["email"], "s").head().email != "A@b.c"
 
 
+def test_records_of_a_bare_request(spark):
+    body = {"email": "a@b.c", "discordUsername": "x", "trackingContext": {"utm": "no object", "referrer": 5, "sessionId": "s"}, "summary": {
+        "percentage": 41.5, "band": {"title": "t"}, "weakestCategories": [{"id": "i", "shortName": None, "rawScore": 1}], "categoryScores": [{"id": "j", "rawScore": 2, "definition": "long"}]}}
+    df = spark.createDataFrame([(1, json.dumps(body), {"referer": "r"})], "k long, value string, headers map<string,string>")
+    accepted = capture.validate_submissions(inputs.parse_requests(df)).where("reject_reason is null")
+    at = F.lit("2024-05-06 07:08:09.012").cast("timestamp_ntz")
+    got = json.loads(capture.submission_records(accepted, at).head().value)
+    flat = {"email": "a@b.c", "discordUsername": "x", "submittedAt": "2024-05-06T07:08:09.012Z", "scorePercentage": 41.5, "resultBand": "t", "weakestCategoryOne": "", "weakestCategoryOneScore": "",
+            "weakestCategoryTwo": "", "weakestCategoryTwoScore": "", "utmSource": "", "utmMedium": "", "utmCampaign": "", "utmContent": "", "utmTerm": "", "referrer": "", "landingPage": "", "currentPage": "", "sessionId": "s"}
+    assert got == {"type": "scorecard_submission", **flat, "fields": flat, "answers": {}, "trackingContext": body["trackingContext"], "timestamp": flat["submittedAt"],
+                   "result": {"percentage": 41.5, "resultBand": "t", "weakestCategories": [{"id": "i", "shortName": None}], "categoryScores": [{"id": "j", "rawScore": 2}]},
+                   "requestContext": {"referrer": "r", "userAgent": "", "country": "", "region": "", "city": ""}}
+    assert capture.flat_submissions(accepted, at).head().weakestCategoryOneScore is None
+
+
+def test_event_names_are_truthy(spark):
+    names = [('"x"', True), ('""', False), ("5", True), ("0", False), ("true", True), ("false", False), ("null", False), ("[]", True), ("{}", True)]
+    df = spark.createDataFrame([(k, f'{{"eventName":{n}}}') for k, (n, _) in enumerate(names)] + [(9, "{}"), (10, "{")], "k int, value string")
+    got = {r.k: r.has_event_name for r in inputs.parse_requests(df).collect()}
+    assert [got[k] for k in range(11)] == [w for _, w in names] + [False, False]
+
+
+def test_envelopes_keep_null_and_drop_undefined(spark):
+    df = spark.createDataFrame([(1, None, True), (2, None, False), (3, "v", False)], "k int, a string, gone boolean")
+    got = [json.loads(r.value) for r in capture.envelopes(df, F.lit("e"), {"a": F.col("a"), "k": F.col("k")}, undefined={"a": F.col("gone")}).orderBy("k").collect()]
+    assert [x["payload"] for x in got] == [{"k": 1}, {"a": None, "k": 2}, {"a": "v", "k": 3}] and got[0]["trackingContext"] is None
+    for name in rubric.EVENTS:
+        fields = capture.event_payload_of(name)
+        assert set(capture.SCORE_FIELDS) <= set(fields) or name in ("scorecard_started", "question_answered")
+    assert list(capture.event_payload_of("email_submitted"))[-3:] == ["email", "discordUsername", "deliveredToCaptureEndpoint"]
+    row = spark.createDataFrame([(True, False)], "resumed boolean, unlocked boolean")
+    assert json.loads(capture.envelopes(row, F.lit("scorecard_started"), capture.event_payload_of("scorecard_started")).head().value)["payload"] == {"resumed": True, "unlocked": False}
+
+
+def log_of(spark, rows):
+    """(respondent, question, value, kind) in order of time."""
+    day = __import__("datetime").datetime(2024, 1, 1)
+    return spark.createDataFrame([(r, q, v, day, k, kind == "restart", kind == "submit") for k, (r, q, v, kind) in enumerate(rows)], f"{LOG}, is_restart boolean, is_submit boolean")
+
+
+def test_scores_count_answers_since_the_last_restart(spark):
+    log = log_of(spark, [(1, 1, 4, "answer"), (1, 2, 3, "answer"), (1, 1, None, "restart"), (1, 2, 1, "answer"), (2, 1, 2, "answer"), (3, 5, 4, "answer"), (3, 5, 4, "restart")])
+    got = {r.respondent_id: (r.raw_score, r.answered) for r in scoring.summaries_of(scoring.answers_since_restart(log)).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (0, 0)}
+
+
+def test_states_and_saving(spark):
+    log = log_of(spark, [(1, 1, 4, "submit"), (2, 1, 4, "submit"), (2, 1, 1, "restart"), (3, 1, 1, "answer"), (4, 1, 1, "restart"), (4, 1, 1, "submit")])
+    got = flow.states(log.withColumn("email", F.lit("e")).withColumn("discord", F.lit("d"))).collect()
+    assert {r.respondent_id: (r.email, r.unlocked, r.has_email) for r in got} == {1: ("e", True, True), 2: (None, False, False), 3: (None, False, False), 4: ("e", True, True)}
+    schema = "respondent_id int, answers string, email string, discord string, unlocked boolean"
+    stored = spark.createDataFrame([(1, "{}", "a", "b", False), (2, "{}", "a", "b", True)], schema)
+    changes = spark.createDataFrame([(1, '{"1":2}', "", "c", True), (3, "{}", None, "d", False)], schema)
+    assert sorted(map(tuple, flow.saved(stored, changes).collect())) == [(1, '{"1":2}', "a", "c", True), (2, "{}", "a", "b", True), (3, "{}", None, "d", False)]
+
+
+def test_forms_labels_and_outcomes(spark):
+    form = spark.createDataFrame([(" a@b.c ", " d ", True), ("a", "d", None), ("a@b.c", " ", False)], "email string, discord string, is_submitting boolean")
+    got = flow.submit_guard(capture.validate_form(form)).collect()
+    assert [(r.is_valid, r.submit_off) for r in got] == [(True, True), (False, False), (False, False)] and got[0].email == "a@b.c"
+    state = spark.createDataFrame([(1, 0), (2, 14), (3, 15)], "respondent_id int, step int")
+    assert [(r.category_id, r.label) for r in flow.current_question(state).collect()] == [("acquisition", "1 of 15"), ("compounding", "15 of 15"), (None, "16 of 15")]
+    outcomes = spark.createDataFrame([(True,), (False,), (None,)], "delivered boolean")
+    assert [(r.delivered_to_capture, r.unlocked, r.next_view) for r in capture.client_outcome(outcomes).collect()] == [(True, True, "results"), (False, True, "results"), (False, True, "results")]
+    stored = capture.stored_context(spark.createDataFrame([("{",), ('{"a": 1}',)], "stored string")).select(F.to_json("stored")).collect()
+    assert [r[0] for r in stored] == [None, '{"a":1}']
+    assert [(r.ordinal, r.category_id) for r in rubric.categories(spark).collect()][0] == (1, "acquisition") and rubric.bands(spark).count() == len(rubric.BANDS)
+
+
+def test_score_plan_sorts_no_raw_rows_twice(spark):
+    plan = queries.total_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    flat = queries.submission_flat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert flat.count("try_parse_json") + flat.count("parse_json(") <= 2 and "Join" not in flat and "Exchange" not in flat
+
+
 def test_step_guards(spark):
     df = spark.createDataFrame([(0, False, False, False), (14, True, True, True), (3, True, False, False)], "step int, answered_current boolean, is_complete boolean, unlocked boolean")
     got = flow.step(df).collect()
     assert [(r.back_step, r.next_step, r.view_after_next) for r in got] == [(0, 0, "questions"), (13, 14, "results"), (2, 4, "questions")]
+    assert [(r.back_off, r.next_off, r.label) for r in got] == [(True, True, "1 of 15"), (False, False, "15 of 15"), (False, False, "4 of 15")]
