@@ -22,7 +22,7 @@ MISS = 1e-5
 #: Coordinates beyond the bands' whose lowest bits make a 128-bit sketch, by which centres of buckets are chosen.
 SKETCH = 128
 #: Buckets of bands with up to SMALL members are compared pair by pair, those of differences with up to COMPARED.
-SMALL, COMPARED = 6, 100
+SMALL, COMPARED = 6, 500
 
 
 def bands_for(threshold: float) -> int:
@@ -223,8 +223,9 @@ def _links_of_small(small: DataFrame, differs: DataFrame, percent: int) -> DataF
     return x.join(y, met & (F.lit(100 + percent) * shared >= F.col("x_weight") + F.col("y_weight") - F.col("x_room"))).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
 
-def _spokes(large: DataFrame, hot: list) -> DataFrame:
-    """The rows of large buckets, each with its bucket's centre (centre, c_component, c_shingles); the centre's own row is left out.
+def _spokes(large: DataFrame, classes: DataFrame, hot: list, shared: bool) -> DataFrame:
+    """The rows of large buckets, each with its bucket's centre (centre, c_component, c_shingles); the centre's own row is left out. classes:
+    (cid, component, n_shingles). shared: whether buckets may take another's centre (see _shared_centres).
 
     The centre is the member whose sketch is nearest to what most of the bucket's sketches say, bit by bit. Among near copies of one
     text that is the text itself, or what comes closest to it. Counts of two bits share a long.
@@ -239,10 +240,23 @@ def _spokes(large: DataFrame, hot: list) -> DataFrame:
 
     said = large.groupBy("b1", "b2").agg(F.count("*").alias("rows"), *ones).select("b1", "b2", most("s1").alias("m1"), most("s2").alias("m2"))
     far = F.bit_count(F.col("s1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("m2")))
-    nearest = F.min(F.struct(far.alias("far"), "cid", "component", "n_shingles")).alias("x")
-    centres = joined(large, said, ["b1", "b2"], hot=hot).groupBy("b1", "b2").agg(nearest)
-    centres = centres.select("b1", "b2", F.col("x.cid").alias("centre"), F.col("x.component").alias("c_component"), F.col("x.n_shingles").alias("c_shingles"))
-    return joined(large, centres, ["b1", "b2"], hot=hot).where("cid <> centre")
+    centres = joined(large, said, ["b1", "b2"], hot=hot).groupBy("b1", "b2").agg(F.min(F.struct(far.alias("far"), "cid")).alias("x")).select("b1", "b2", F.col("x.cid").alias("centre"))
+    if shared:
+        centres = _shared_centres(large, written(centres, "centres"), hot)
+    own = classes.select(F.col("cid").alias("centre"), F.col("component").alias("c_component"), F.col("n_shingles").alias("c_shingles"))
+    return joined(large, centres.join(own, "centre"), ["b1", "b2"], hot=hot).where("cid <> centre")
+
+
+def _shared_centres(large: DataFrame, centres: DataFrame, hot: list) -> DataFrame:
+    """One centre for buckets that have members in common, as a centre needn't be a member: each member knows the centre that most rows have
+    among those of its buckets, and each bucket takes the one that most rows have among what its members know. So the members of a family
+    that meet in many bands are compared with few centres."""
+    sizes = large.select("b1", "b2", "n").distinct()
+    weights = centres.join(sizes, ["b1", "b2"]).groupBy("centre").agg(F.sum("n").alias("weight"))
+    weighed = centres.join(weights, "centre").select("b1", "b2", F.struct("weight", "centre").alias("known"))
+    rows = large.select("b1", "b2", "cid")
+    best = joined(rows, weighed, ["b1", "b2"], hot=hot).groupBy("cid").agg(F.max("known").alias("known"))
+    return rows.join(best, "cid").groupBy("b1", "b2").agg(F.max("known").alias("known")).select("b1", "b2", F.col("known.centre").alias("centre"))
 
 
 def _by_difference(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -311,10 +325,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     opened, hot = _open(banded.withColumn("b1", F.col("b1").cast("long")))
     wanted = classes.join(opened.select("cid").distinct(), "cid", "left_semi").select("doc_id", "version", "cid")
     sets = written(texts.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("cid", "text").mapInArrow(_sets(width), "cid long, shingles array<long>"), "sets")
+    sizes = classes.select("cid", "n_shingles")
     tried, differs = spark.createDataFrame([], "a long, b long"), None
     while opened.take(1):
         most = SMALL if differs is None else COMPARED
-        small, spokes = opened.where(F.col("n") <= most), written(_spokes(opened.where(F.col("n") > most), hot), "spokes")
+        small, spokes = opened.where(F.col("n") <= most), written(_spokes(opened.where(F.col("n") > most), _labelled(sizes, labels), hot, differs is None), "spokes")
         with_centre = spokes.where("component <> c_component").where(_alike_in_size("n_shingles", "c_shingles", percent))
         pairs = with_centre.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))
         pairs = pairs.union(_pairs_of_small(small, percent)) if differs is None else pairs
