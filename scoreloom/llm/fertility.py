@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import count, islice
 from typing import NamedTuple
 
@@ -56,26 +57,58 @@ LEAST = 50
 #: How many quartile distances from the median a text may be, and (by 1 / sqrt(tokens), times the median) the least such distance.
 FAR_CHARS, FAR_ENTROPY, FAR_BYTES, LEAST_SPREAD = 4, 3, 4, 0.3
 
-MEASURES = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, "
-    "chars_per_token double, tokens_per_word double, byte_share double, token_entropy double"
-)
+#: With so many rows at most the bands are sent to all tasks; more of them are joined by their keys.
+SENT_BANDS = 100_000
 
+TEXT_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string"
+#: Of one vocabulary; those of the second end in _2, and so on.
+TOKEN_MEASURES = "n_tokens long, chars_per_token double, tokens_per_word double, byte_share double, token_entropy double"
+BANDED = ("chars_per_token", "token_entropy", "byte_share")
+BOUNDS = ("low_chars", "high_chars", "low_entropy", "high_bytes")
 
-def default_vocabulary() -> str:
+
+def suffixes(n_vocabularies: int) -> list[str]:
+    return ["", *(f"_{k}" for k in range(2, n_vocabularies + 1))]
+
+
+def measures(n_vocabularies: int) -> str:
+    return ", ".join([TEXT_MEASURES, *(TOKEN_MEASURES.replace(" long", f"{s} long").replace(" double", f"{s} double") for s in suffixes(n_vocabularies))])
+
+
+def default_vocabularies() -> list[str]:
+    """Pieces with single bytes for what they lack, and a byte-level vocabulary made for many languages."""
+    import public_tokenizers
+
+    return [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")]
+
+
+def _sentencepiece(path: str):
+    """How to cut words by a sentencepiece model, and which of its pieces stand for a single byte."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    return lambda words: model.encode(words, num_threads=1), np.array([model.is_byte(k) for k in range(model.get_piece_size())])
+
+
+def _ranks(path: str):
+    """How to cut words, each after a space, by a byte-level vocabulary, and which of its tokens hold a part of a character."""
     import public_tokenizers
+    import tiktoken
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    model = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    part = np.zeros(max(ranks.values()) + 1, bool)
+    for token, rank in ranks.items():
+        part[rank] = "\ufffd" in token.decode(errors="replace") and token != "\ufffd".encode()
+    return lambda words: [model.encode_ordinary(" " + w) for w in words], part
 
 
 class Pieces:
-    """A sentencepiece model, and the pieces of words seen in one flat array."""
+    """A vocabulary (.model: of sentencepiece, .tiktoken: byte-level ranks), and the pieces of words seen in one flat array."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self.model = SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(k) for k in range(self.model.get_piece_size())])
+        self.cut, self.is_byte = (_ranks if path.endswith(".tiktoken") else _sentencepiece)(path)
         self._clear()
 
     def _clear(self) -> None:
@@ -89,7 +122,7 @@ class Pieces:
         known = len(self.words)
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         if len(self.words) > known:
-            found = self.model.encode(list(islice(self.words, known, None)), num_threads=1)
+            found = self.cut(list(islice(self.words, known, None)))
             counts = np.fromiter(map(len, found), np.int64, len(found))
             self.places = np.concatenate([self.places, len(self.ids) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
@@ -102,7 +135,7 @@ class Pieces:
         return self.ids[np.repeat(self.places[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
@@ -164,37 +197,40 @@ def _scripts(texts: list[str]) -> list[str]:
     return found
 
 
-def _measured(texts: list[str], pieces: Pieces) -> list[pa.Array]:
-    words = [WORDS.findall(t) for t in texts]
-    bounds = np.cumsum([0, *map(len, words)])
-    flat = [w for x in words for w in x]
-    at = pieces.numbers(flat)
+def _token_measures(pieces: Pieces, at: np.ndarray, bounds: np.ndarray, word_chars: np.ndarray) -> list[pa.Array]:
+    """TOKEN_MEASURES of each text (words at[bounds[k]:bounds[k + 1]], as numbered by pieces)."""
+    n_texts, n_words = len(bounds) - 1, np.diff(bounds)
     ids, ends = pieces.pieces(at)
-    token_bounds = ends[bounds]
-    n_tokens = np.diff(token_bounds)
-    text = np.repeat(np.arange(len(texts)), n_tokens)
-    n_bytes = np.bincount(text[pieces.is_byte[ids]], minlength=len(texts))
+    n_tokens = np.diff(ends[bounds])
+    text = np.repeat(np.arange(n_texts), n_tokens)
+    n_bytes = np.bincount(text[pieces.is_byte[ids]], minlength=n_texts)
     key = np.sort((text << 20) | ids)
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     shares = np.diff(np.append(begins, len(key))) / n_tokens[key[begins] >> 20]
-    entropy = np.bincount(key[begins] >> 20, weights=-shares * np.log2(shares), minlength=len(texts)) if len(key) else np.zeros(len(texts))
+    entropy = np.bincount(key[begins] >> 20, weights=-shares * np.log2(shares), minlength=n_texts) if len(key) else np.zeros(n_texts)
+    n = np.maximum(n_tokens, 1)
+    return [pa.array(n_tokens.astype(np.int64)), *map(pa.array, (word_chars / n, n_tokens / np.maximum(n_words, 1), n_bytes / n, entropy + 0.0))]
+
+
+def _measured(texts: list[str], *vocabularies: Pieces) -> list[pa.Array]:
+    words = [WORDS.findall(t) for t in texts]
+    bounds = np.cumsum([0, *map(len, words)])
+    flat = [w for x in words for w in x]
+    numbers = [v.numbers(flat) for v in vocabularies]
     lengths = np.fromiter(map(len, flat), np.int64, len(flat))
     chars = np.concatenate([[0], np.cumsum(lengths)])
     word_chars = np.diff(chars[bounds])
-    n_words = np.diff(bounds)
     dup_lines = []
     for t in texts:
         lines = [x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r")] if "\n" in t else ()
         dup_lines.append(len(lines) - len(set(lines)))
-    n = np.maximum(n_tokens, 1)
     return [
-        *map(pa.array, (n_words, word_chars)),
+        *map(pa.array, (np.diff(bounds), word_chars)),
         pa.array([sum(map(t.count, SYMBOLS)) for t in texts], pa.int64()),
         pa.array(dup_lines, pa.int64()),
-        pa.array(repeat_words(at, bounds)),
+        pa.array(repeat_words(numbers[0], bounds)),
         pa.array(_scripts(texts), pa.string()),
-        pa.array(n_tokens.astype(np.int64)),
-        *map(pa.array, (word_chars / n, n_tokens / np.maximum(n_words, 1), n_bytes / n, entropy + 0.0)),
+        *(column for v, at in zip(vocabularies, numbers) for column in _token_measures(v, at, bounds, word_chars)),
     ]
 
 
@@ -209,59 +245,74 @@ def verdict(script: str, lang: str | None, n_tokens: int, chars_per_token: float
     )
 
 
-def derived_bands(found: DataFrame, *names: str) -> DataFrame:
-    """(names, size, low_chars, high_chars, low_entropy, high_bytes): bands from the quartiles of measured rows, by names and size.
+def derived_bands(found: DataFrame, ends: list[str], *names: str) -> DataFrame:
+    """(names, size, and BOUNDS of each vocabulary): bands from the quartiles of measured rows, by names and size.
 
     size: the power of two under a text's tokens, as measures of short texts differ more. Rows that agree in their measures count once,
-    so copies of a text have no weight. Rows that failed don't count.
+    so copies of a text have no weight. Rows that failed don't count. ends: what the measures' names end in, by vocabulary.
     """
-    measures = [F.round(c, 3).alias(c) for c in ("chars_per_token", "token_entropy", "byte_share")]
-    each = found.where(~F.col("base_failed") & (F.col("n_tokens") > 0)).where(" and ".join(f"{n} is not null" for n in names)).select(*names, "size", "n_tokens", "word_chars", *measures).distinct()
-    quartile = {c: F.percentile(c, [0.25, 0.5, 0.75]) for c in ("chars_per_token", "token_entropy", "byte_share")}
-    by = each.groupBy(*names, "size").agg(F.count("*").alias("n"), *(q.alias(c) for c, q in quartile.items())).where(F.col("n") >= LEAST)
-    c, e, b = (F.col(x) for x in quartile)
-    spread = F.greatest(c[2] - c[0], LEAST_SPREAD * c[1] / F.sqrt(F.pow(F.lit(2.0), "size")))
-    return by.select(
-        *names, "size", (c[1] - FAR_CHARS * spread).alias("low_chars"), (c[1] + FAR_CHARS * spread).alias("high_chars"),
-        (e[1] - FAR_ENTROPY * F.greatest(e[2] - e[0], F.lit(0.1))).alias("low_entropy"), (b[2] + FAR_BYTES * F.greatest(b[2] - b[0], F.lit(0.02))).alias("high_bytes"),
-    )
-
-
-def judged(found: DataFrame) -> DataFrame:
-    """Measured rows with kept by the bands of their language and script, else of their script; where neither has one, as it was."""
+    columns = [c + end for end in ends for c in BANDED]
+    sound = found.where(~F.col("base_failed") & (F.col("n_tokens") > 0)).where(" and ".join(f"{n} is not null" for n in names))
+    each = sound.select(*names, "size", "n_tokens", "word_chars", *(F.round(c, 3).alias(c) for c in columns)).distinct()
+    by = each.groupBy(*names, "size").agg(F.count("*").alias("n"), *(F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns)).where(F.col("n") >= LEAST)
+    bounds = []
+    for end in ends:
+        c, e, b = (F.col(x + end) for x in BANDED)
+        spread = F.greatest(c[2] - c[0], LEAST_SPREAD * c[1] / F.sqrt(F.pow(F.lit(2.0), "size")))
+        low_entropy, high_bytes = e[1] - FAR_ENTROPY * F.greatest(e[2] - e[0], F.lit(0.1)), b[2] + FAR_BYTES * F.greatest(b[2] - b[0], F.lit(0.02))
+        bounds += [x.alias(name + end) for x, name in zip((c[1] - FAR_CHARS * spread, c[1] + FAR_CHARS * spread, low_entropy, high_bytes), BOUNDS)]
+    return by.select(*names, "size", *bounds)
+
+
+def _with_bands(rows: DataFrame, ends: list[str], names: list[str], column: str) -> DataFrame:
+    bounds = F.struct(*(b + end for end in ends for b in BOUNDS)).alias(column)
+    bands = written(derived_bands(rows, ends, *names).select(*names, "size", bounds), "bands")
+    return rows.join(F.broadcast(bands) if bands.count() <= SENT_BANDS else bands, [*names, "size"], "left")
+
+
+def judged(found: DataFrame, n_vocabularies: int) -> DataFrame:
+    """Measured rows with kept by the bands of their language and script, else of their script; where neither has one, as it was.
+
+    A text must keep to the bands of every vocabulary."""
+    ends = suffixes(n_vocabularies)
     sized = found.withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
-    of_lang = derived_bands(sized, "lang", "script").select("lang", "script", "size", F.struct("low_chars", "high_chars", "low_entropy", "high_bytes").alias("of_lang"))
-    of_script = derived_bands(sized, "script").select("script", "size", F.struct("low_chars", "high_chars", "low_entropy", "high_bytes").alias("of_script"))
-    rows = sized.join(F.broadcast(of_lang), ["lang", "script", "size"], "left").join(F.broadcast(of_script), ["script", "size"], "left")
+    rows = _with_bands(_with_bands(sized, ends, ["lang", "script"], "of_lang"), ends, ["script"], "of_script")
     band = F.coalesce("of_lang", "of_script")
-    fits = F.col("chars_per_token").between(band["low_chars"], band["high_chars"]) & (F.col("token_entropy") >= band["low_entropy"]) & (F.col("byte_share") <= band["high_bytes"])
+    fits = reduce(lambda x, y: x & y, [
+        F.col(f"chars_per_token{end}").between(band[f"low_chars{end}"], band[f"high_chars{end}"])
+        & (F.col(f"token_entropy{end}") >= band[f"low_entropy{end}"]) & (F.col(f"byte_share{end}") <= band[f"high_bytes{end}"])
+        for end in ends
+    ])
     return rows.withColumn("kept", F.when(band.isNull() | F.col("base_failed"), F.col("kept")).otherwise(fits)).select(*(c for c in found.columns if c != "lang"))
 
 
-def measure(docs: DataFrame, path: str | None = None, bands: dict[str, Band] | None = None, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """The measures of each row of docs (doc_id, text, lang): doc_id, base_failed, kept, then MEASURES.
+def measure(docs: DataFrame, vocabularies: list[str] | None = None, bands: dict[str, Band] | None = None, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+    """The measures of each row of docs (doc_id, text, lang): doc_id, base_failed, kept, then TEXT_MEASURES and each vocabulary's TOKEN_MEASURES.
 
-    Each word (between white space of ASCII) is cut into pieces of the vocabulary at `path` on its own, so equal words are cut once.
-    chars_per_token: characters of words per piece; byte_share: pieces that stand for a single byte, as the vocabulary lacks the
-    character; token_entropy: bits of the text's own distribution of pieces.
+    Each word (between white space of ASCII) is cut into pieces of each of the vocabularies (paths) on its own, so equal words are cut
+    once. chars_per_token: characters of words per piece; byte_share: pieces that stand for a single byte or part of a character, as the
+    vocabulary lacks the character; token_entropy: bits of the text's own distribution of pieces.
 
-    Bands that are given go by script ("latin") or language ("lang:de"). Without them they come from the documents themselves: see
-    derived_bands; BANDS are for languages and scripts with too few. The measures are written to the shared folder for that.
+    Bands that are given go by script ("latin") or language ("lang:de") and are for the first vocabulary. Without them they come, for
+    every vocabulary, from the documents themselves: see derived_bands; BANDS are for languages and scripts with too few. The measures
+    are written to the shared folder for that.
 
     base_failed: fewer than min_words words, or over max_repeat_percent percent of them in 8-word windows that occur again. kept:
-    not base_failed, and within the band. Null and empty texts have no words and fail. Every row is measured alone, in its own task.
+    not base_failed, and within the bands. Null and empty texts have no words and fail. Every row is measured alone, in its own task.
     """
-    path, derive, bands = path or default_vocabulary(), bands is None, bands or BANDS
+    paths, derive, bands = vocabularies or default_vocabularies(), bands is None, bands or BANDS
+    names = [x.split()[0] for x in measures(len(paths)).split(", ")]
+    of_verdict = [names.index(x) for x in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(path)
+        known = [_pieces(path) for path in paths]
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            columns = _measured(texts, pieces)
-            n_words, repeats = np.asarray(columns[0]), np.asarray(columns[4])
+            columns = _measured([t or "" for t in batch.column("text").to_pylist()], *known)
+            n_words, repeats = np.asarray(columns[0]), np.asarray(columns[names.index("n_repeat_words")])
             failed = (n_words < min_words) | (100 * repeats > max_repeat_percent * n_words)
-            fits = [verdict(*x, bands) for x in zip(columns[5].to_pylist(), batch.column("lang").to_pylist(), columns[6].to_pylist(), columns[7].to_pylist(), columns[9].to_pylist(), columns[10].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(failed), pa.array(~failed & np.array(fits, bool)), *columns, batch.column("lang")], names=["doc_id", "base_failed", "kept", *(x.split()[0] for x in MEASURES.split(", ")), "lang"])
+            of_text = zip(columns[names.index("script")].to_pylist(), batch.column("lang").to_pylist(), *(columns[k].to_pylist() for k in of_verdict))
+            fits = np.array([verdict(*x, bands) for x in of_text], bool)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(failed), pa.array(~failed & fits), *columns, batch.column("lang")], names=["doc_id", "base_failed", "kept", *names, "lang"])
 
-    found = docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, base_failed boolean, kept boolean, {MEASURES}, lang string")
-    return judged(written(found, "fertility")) if derive else found.drop("lang")
+    found = docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, base_failed boolean, kept boolean, {measures(len(paths))}, lang string")
+    return judged(written(found, "fertility"), len(paths)) if derive else found.drop("lang")

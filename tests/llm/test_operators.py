@@ -1,5 +1,6 @@
 """Each operator against brute force on small fixtures with nulls, empty and long texts, ties, repeats and odd columns."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -166,7 +167,20 @@ def test_fertility_measures(docs):
 
     from sentencepiece import SentencePieceProcessor
 
-    model = SentencePieceProcessor(model_file=fertility.default_vocabulary())
+    import public_tokenizers
+    import tiktoken
+
+    pieces, ranks = fertility.default_vocabularies()
+    model = SentencePieceProcessor(model_file=pieces)
+    tokens = [base64.b64decode(x.split()[0]) for x in open(ranks, "rb")]
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+
+    def whole(token):
+        try:
+            return bool(token.decode()) or True
+        except UnicodeDecodeError:
+            return False
+
     texts = dict(pairs_of(docs.where("doc_id is not null and doc_id <> 9 and length(text) < 100000")))
     for r in fertility.measure(docs.where("doc_id is not null and doc_id <> 9 and length(text) < 100000"), bands=fertility.BANDS).collect():
         w = (texts[r.doc_id] or "").split()
@@ -175,6 +189,10 @@ def test_fertility_measures(docs):
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in texts[r.doc_id] or "") and r.n_tokens == len(ids)
         assert r.chars_per_token == pytest.approx(sum(map(len, w)) / max(len(ids), 1))
         assert r.byte_share == pytest.approx(sum(map(model.is_byte, ids)) / max(len(ids), 1)) and r.token_entropy == pytest.approx(-sum(x * math.log2(x) for x in shares))
+        ids = [i for x in w for i in coding.encode_ordinary(" " + x)]
+        shares = [n / len(ids) for n in Counter(ids).values()]
+        assert r.n_tokens_2 == len(ids) and r.chars_per_token_2 == pytest.approx(sum(map(len, w)) / max(len(ids), 1)) and r.tokens_per_word_2 == pytest.approx(len(ids) / max(len(w), 1))
+        assert r.byte_share_2 == pytest.approx(sum(not whole(tokens[i]) for i in ids) / max(len(ids), 1)) and r.token_entropy_2 == pytest.approx(-sum(x * math.log2(x) for x in shares))
         assert r.kept == (not r.base_failed and fertility.verdict(r.script, None, r.n_tokens, r.chars_per_token, r.byte_share, r.token_entropy, fertility.BANDS))
 
 
@@ -242,7 +260,7 @@ PROSE = {
 @pytest.mark.parametrize("script", sorted(PROSE))
 def test_fertility_fixed_bands_keep_prose_and_reject_junk(script):
     def fits(text):
-        m = [c[0].as_py() for c in fertility._measured([text], fertility._pieces(fertility.default_vocabulary()))]
+        m = [c[0].as_py() for c in fertility._measured([text], fertility._pieces(fertility.default_vocabularies()[0]))]
         assert m[5] == script
         return fertility.verdict(script, None, m[6], m[7], m[9], m[10], fertility.BANDS)
 
