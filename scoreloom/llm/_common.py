@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression that means just this column, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name: those with a dot, which it would take for a path, have another name inside."""
+    plain = {c: f"\u2024{k}" for k, c in enumerate(df.columns) if "." in c}
+    inner = StructType([StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
+    return df.toDF(*[plain.get(c, c) for c in df.columns]).mapInArrow(run, inner).toDF(*schema.names)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, compaction, fertility, language_id, line_dedup, minhash, mixing, simhash, suffix_dedup, warc
+from scoreloom.llm import bpe, chat, compaction, fertility, language_id, line_dedup, minhash, mixing, periodic, simhash, suffix_dedup, warc, whitening
 from scoreloom.llm._common import shared_dir, table
 
 
@@ -62,7 +62,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_simhash, op3_suffix_dedup, op4_minhash, op5_sharding, op6_warc, op7_bpe, op8_line_dedup, op9_mixing, op10_language_id)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of two turns whose texts are control strings."""
+    columns = "conv_id long, turn long, role string, text string"
+    control = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], columns)
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(control))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fertility, op2_simhash, op3_suffix_dedup, op4_minhash, op5_sharding, op6_warc, op7_bpe, op8_line_dedup, op9_mixing, op10_language_id, op11_whitening, op12_periodic, op13_chat,
+    )
+}
+
+#: How much longer escaping makes a text.
+_MORE = r"CAST(length(X) - length(replace(X, '\', '')) + len(regexp_extract_all(X, '<\||</?s>|<</?SYS>>|\[/?INST\]')) AS BIGINT)"
 
 SQL = {
     "op5_sharding": """
@@ -106,6 +129,21 @@ SQL = {
                     + CAST('0x' || substr(md5('7:' || coalesce(source, '\N')), 1, 8) AS BIGINT) AS upto FROM e
         )
         SELECT doc_id, size, source_size, target, ((upto >> 32) - ((upto - expected) >> 32)) * size AS taken, (upto >> 32) - ((upto - expected) >> 32) AS copies FROM u""",
+    "op13_chat": f"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        ), s AS (
+          SELECT *, 18 + length(role) + length(role) - length(replace(role, '|', '')) + CAST(role LIKE '%<' AS BIGINT) + {_MORE.replace("X", "role")} + length(text) + {_MORE.replace("X", "text")} AS size FROM c
+        ), p AS (
+          SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n, CAST(sum(size) OVER w AS BIGINT) AS stop FROM s
+          WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(stop) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+        FROM p GROUP BY conv_id""",
     "op4_minhash": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents
