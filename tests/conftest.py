@@ -32,7 +32,7 @@ def same_as_sql(spark):
         order = sorted(range(len(columns)), key=columns.__getitem__)
         return sorted(str([r[k] for k in order]) for r in found)
 
-    def check(query, sql, tables=("events", "customer", "pages", "documents"), path=DATA):
+    def check(query, sql, tables=("events", "customer", "pages", "documents", "conversations"), path=DATA):
         con = duckdb.connect()
         for t in tables:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
