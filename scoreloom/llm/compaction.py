@@ -9,7 +9,17 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StructType
+from pyspark.sql.types import NumericType, StructField, StructType
+
+
+def merged_schema(old: str | None, new: StructType) -> StructType:
+    """The columns of old (JSON; None: no table yet) and after them those of new that it lacks. ValueError if one has two types or spellings."""
+    found = {f.name.lower(): f for f in StructType.fromJson(json.loads(old))} if old else {}
+    for f in new:
+        there = found.setdefault(f.name.lower(), StructField(f.name, f.dataType, True))
+        if (there.name, there.dataType) != (f.name, f.dataType):
+            raise ValueError(f"column {f.name} is {f.dataType.simpleString()}, and {there.name} was {there.dataType.simpleString()}")
+    return StructType(list(found.values()))
 
 
 class ShardTable:
@@ -69,11 +79,16 @@ class ShardTable:
     def _add(self, runs: list[dict], schema: StructType) -> int:
         while True:
             now = self.manifest()
-            if self._commit(now["version"] + 1, [*now["runs"], *runs], schema.json()):
+            if self._commit(now["version"] + 1, [*now["runs"], *runs], merged_schema(now["schema"], schema).json()):
                 return now["version"] + 1
 
     def append(self, df: DataFrame) -> int:
-        """Write df as a run of small shards, as its partitions are, and commit it; the new version."""
+        """Write df as a run of small shards, as its partitions are, and commit it; the new version.
+
+        The table has all columns that any append had: those that a run lacks are null in it. A column of another type than before, or
+        whose name differs from an earlier one by case only, raises a ValueError, and nothing is committed.
+        """
+        merged_schema(self.manifest()["schema"], df.schema)
         return self._add([self._write(df)], df.schema)
 
     def append_each(self, df: DataFrame, by: str, compact: bool = True) -> int:
@@ -82,6 +97,7 @@ class ShardTable:
         The column itself isn't stored. Values must be few. Null is the last arrival. Of an empty df only the columns are committed.
         """
         folder, schema = f"data/{uuid.uuid4().hex}", StructType([f for f in df.schema if f.name != by])
+        merged_schema(self.manifest()["schema"], schema)
         is_number = isinstance(df.schema[by].dataType, NumericType)
         df.write.option("compression", "zstd").partitionBy(by).parquet(f"{self.path}/{folder}")
         names = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if x.isDirectory()]
@@ -143,7 +159,7 @@ class ShardTable:
         return gone
 
     def _rows(self, runs: list[dict], schema: str) -> DataFrame:
-        """Rows of runs; columns that a later append brought are null in earlier ones."""
+        """Rows of runs; columns that a run lacks are null in its rows."""
         kind = StructType.fromJson(json.loads(schema))
         return self.spark.read.schema(kind).parquet(*[f"{self.path}/{r['folder']}" for r in runs]) if runs else self.spark.createDataFrame([], kind)
 

@@ -114,9 +114,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 100, se
 
 
 def _number(headers: dict[str, str], name: str) -> int | None:
-    """A header's whole number; None if there is no such header. ValueError if it is something else."""
+    """A header's whole number; None if there is no such header. ValueError if it is something else, or no long."""
     text = headers.get(name)
-    if text is not None and not re.fullmatch(r"-?[0-9]{1,18}", text):
+    if text is not None and not (re.fullmatch(r"-?[0-9]{1,40}", text) and -(1 << 63) <= int(text) < 1 << 63):
         raise ValueError(name)
     return None if text is None else int(text)
 
