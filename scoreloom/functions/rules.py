@@ -70,8 +70,12 @@ def tracked_parameters(url: Column) -> Column:
 
 
 def iso_time(at: Column) -> Column:
-    """A timestamp as text in UTC with milliseconds; the session's time zone is taken to be UTC."""
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """A timestamp as text in UTC with milliseconds, whatever the session's time zone; one without a zone is taken to be in UTC."""
+    seconds = (F.unix_micros(at.cast("timestamp")).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    text = F.when(F.typeof(at) == "timestamp_ntz", at.cast("timestamp_ntz")).otherwise(utc).cast("string")
+    part = lambda start, n: F.substring(text, start, n)
+    return F.concat(part(1, 10), F.lit("T"), part(12, 8), F.lit("."), F.rpad(part(21, 3), 3, "0"), F.lit("Z"))
 
 
 def given(value: Column) -> Column:

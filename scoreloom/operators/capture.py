@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom import rubric
 from scoreloom.functions.rules import given, is_email, is_filled, iso_time, tracked_parameters, trimmed
 
 # Names on the wire, in their order.
@@ -36,9 +37,10 @@ def validate_form(form: DataFrame) -> DataFrame:
     return form.withColumn("email", trimmed(F.col("email"))).withColumn("discord", trimmed(F.col("discord"))).withColumn("is_valid", is_email(F.col("email")) & is_filled(F.col("discord")))
 
 
-def validate_events(events: DataFrame, name: str = "event_name") -> DataFrame:
-    """accepted: whether there is a name at all; any name will do. For parsed requests the column is has_event_name."""
-    return events.withColumn("accepted", is_filled(F.col(name)))
+def validate_events(requests: DataFrame) -> DataFrame:
+    """Parsed requests with reject_reason (null: accepted) and status_code: an event needs a name that counts as true; any will do."""
+    reason = F.when(~F.col("is_json"), "bad_json").when(~F.col("is_object"), "malformed").when(~F.col("has_event_name"), "bad_event_name")
+    return requests.withColumn("reject_reason", reason).withColumn("status_code", F.when(F.col("reject_reason").isNull(), 202).otherwise(400))
 
 
 def outcome(accepted: DataFrame, configured: bool, delivered: Column | None = None) -> DataFrame:
@@ -82,9 +84,9 @@ def submission_fields(submitted_at: Column) -> dict[str, Column]:
 
 
 def flat_submissions(accepted: DataFrame, submitted_at: Column | None = None) -> DataFrame:
-    """One flat row per accepted submission, typed for tables: scores as numbers, null where the record has an empty string."""
+    """One flat row per accepted submission, typed for tables: scores as doubles, as claimed, null where the record has an empty string."""
     fields = submission_fields(F.current_timestamp() if submitted_at is None else submitted_at)
-    number = lambda x: F.when(F.schema_of_variant(x) != "STRING", F.try_variant_get(x, "$", "int"))
+    number = lambda x: F.when(F.schema_of_variant(x) != "STRING", F.try_variant_get(x, "$", "double"))
     typed = {n: number(x) if n in NUMERIC else x.cast("string") for n, x in fields.items()}
     return accepted.select("k", F.lit("scorecard_submission").alias("type"), *[x.alias(n) for n, x in typed.items()])
 
@@ -168,7 +170,10 @@ def score_payload() -> dict[str, Column]:
 
 
 def event_payload_of(name: str) -> dict[str, Column]:
-    """The payload of an event of rubric.EVENTS, from columns named as these fields in snake case (and those of score_payload)."""
+    """The payload of an event of rubric.EVENTS, or landing_cta_clicked for a click on the first page, from columns named as these fields in
+    snake case (and those of score_payload). ValueError for another name."""
+    if name not in (*rubric.EVENTS, "landing_cta_clicked"):
+        raise ValueError(f"no event is named {name}")
     own = lambda *names: {n: F.col("".join(f"_{c.lower()}" if c.isupper() else c for c in n)) for n in names}
     more = {
         "scorecard_started": own("resumed", "unlocked"), "question_answered": own("questionId", "category", "step", "value"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.operators import capture, flow, scoring
+from scoreloom.operators import capture, flow, replay, scoring
 from scoreloom.sources import inputs
 
 
@@ -108,7 +108,7 @@ def submission_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claimed = _submissions(spark, sf_dir).where("reject_reason is null").select(F.col("k").alias("respondent_id"), F.col("percentage").cast("int").alias("percentage"))
+    claimed = _submissions(spark, sf_dir).where("reject_reason is null").select(F.col("k").alias("respondent_id"), "percentage")
     return scoring.audit(claimed, _summaries(spark, sf_dir))
 
 
@@ -157,6 +157,20 @@ def respondent_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.states(log)
 
 
+def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a respondent did, by event_id % 20: 0 restart, 1 home, 2 and 3 submit, 4 back, 5 and 6 start, else an answer and Next, or at % 20 = 7 Next alone."""
+    kind, k = F.col("event_id") % 20, F.get_json_object("props", "$.k").try_cast("bigint")
+    one = lambda name: F.array(F.lit(name))
+    actions = F.when(kind == 0, one("restart")).when(kind == 1, one("home")).when(kind < 4, one("submit")).when(kind == 4, one("back")).when(kind < 7, one("start")).when(kind == 7, one("next"))
+    both = F.coalesce(actions, F.array(F.lit("answer"), F.lit("next")))
+    rows = inputs.table(spark, sf_dir, "events").select(F.col("user_id").alias("respondent_id"), "ts", "event_id", (k % 5).cast("int").alias("value"), F.posexplode(both).alias("seq", "action"))
+    return rows.select("respondent_id", "ts", "event_id", "seq", "action", "value")
+
+
+def final_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.final_states(action_log(spark, sf_dir))
+
+
 def active_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current step is the number of questions answered, the last one if all are."""
     state = _summaries(spark, sf_dir).select("respondent_id", F.least("answered", F.lit(len(rubric.QUESTIONS) - 1)).alias("step"))
@@ -228,7 +242,7 @@ QUERIES = {
         latest_answers, total_scores, completeness, category_scores, category_progress, weakest_two, weakest_flags, score_event_payload, recommendation_text,
         next_view, results_viewed_once, events_since_restart, utm_params, first_last_touch, submission_outcome, submission_flat, submission_audit, event_accept,
         band_distribution, status_distribution, weakest_ranking, attribution_report, score_summary, event_envelopes, submission_record, event_record, visitor_context, total_scores_since_restart, respondent_state,
-        active_category, current_question, question_options, score_labels, weakest_ids, answer_events, cta_events,
+        final_view, active_category, current_question, question_options, score_labels, weakest_ids, answer_events, cta_events,
     )
 }
 
@@ -241,7 +255,7 @@ def _case(column: str) -> tuple[str, str]:
 
 _CATEGORIES = ", ".join(f"({k}, '{i}', '{s}')" for k, (i, s) in enumerate(rubric.CATEGORIES, 1))
 _BASE = f"""
-WITH log AS (
+WITH RECURSIVE log AS (
   SELECT user_id AS respondent_id, CAST(event_id % 15 + 1 AS INT) AS question_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS INT) AS value,
          row_number() OVER (PARTITION BY user_id, event_id % 15 ORDER BY ts DESC, event_id DESC) AS nth FROM events
 ), latest AS (SELECT respondent_id, question_id, value FROM log WHERE nth = 1),
@@ -319,7 +333,8 @@ SQL = {
         "first_last_touch": """SELECT user_id, min(ts) AS first_ts, arg_min(event_type, (ts, event_id)) AS first_event, arg_max(event_type, (ts, event_id)) AS last_event
             FROM events GROUP BY user_id""",
         "submission_outcome": "SELECT k, reject_reason, CAST(CASE WHEN reject_reason IS NULL THEN 202 ELSE 400 END AS INT) AS status_code FROM val",
-        "submission_flat": "SELECT * FROM flat",
+        "submission_flat": """SELECT * REPLACE (CAST("rawScore" AS DOUBLE) AS "rawScore", CAST("scorePercentage" AS DOUBLE) AS "scorePercentage",
+            CAST("weakestCategoryOneScore" AS DOUBLE) AS "weakestCategoryOneScore", CAST("weakestCategoryTwoScore" AS DOUBLE) AS "weakestCategoryTwoScore") FROM flat""",
         "submission_record": f"""SELECT k, '{{"type":"scorecard_submission",' || {_FLAT} || ',"fields":{{' || {_FLAT} || '}},"result":{{"rawScore":' || "rawScore" || ',"percentage":' || "scorePercentage"
             || ',"resultBand":"' || "resultBand" || '","weakestCategories":[' || w.x || '],"categoryScores":[' || c.x || ']}},"answers":' ||
             CASE WHEN k % 4 <> 0 THEN '{{"1":' || k % 5 || ',"2":4}}' ELSE '{{}}' END || ',"trackingContext":' || CASE WHEN k % 3 = 0 THEN 'null'
@@ -328,7 +343,7 @@ SQL = {
             || ',"timestamp":"' || "submittedAt" || '"}}' AS value
             FROM flat JOIN (SELECT k, string_agg({_CLAIM} || ',"percentage":' || pct || ',"status":"' || status || '"}}', ',' ORDER BY ordinal) AS x FROM claims WHERE ordinal <= CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END GROUP BY k) w USING (k)
             JOIN (SELECT k, string_agg({_CLAIM} || ',"rawScore":' || raw || ',"percentage":' || pct || ',"status":"' || status || '"}}', ',' ORDER BY ordinal) AS x FROM claims GROUP BY k) c USING (k)""",
-        "submission_audit": """SELECT k AS respondent_id, v.percentage, pay.percentage AS computed, v.percentage = pay.percentage AS agrees
+        "submission_audit": """SELECT k AS respondent_id, CAST(v.percentage AS DOUBLE) AS percentage, pay.percentage AS computed, v.percentage = pay.percentage AS agrees
             FROM val v LEFT JOIN pay ON pay.respondent_id = k WHERE reject_reason IS NULL""",
         "event_accept": "SELECT event_id, CASE WHEN event_type = 'error' THEN false WHEN event_id % 7 = 0 THEN event_id <> 0 ELSE event_type <> '' END AS accepted FROM events",
         "event_record": """SELECT event_id, '{"type":"scorecard_event","eventName":' || CASE WHEN event_id % 7 = 0 THEN CAST(event_id AS VARCHAR) ELSE '"' || event_type || '"' END || ',"payload":' ||
@@ -347,6 +362,25 @@ SQL = {
         "respondent_state": """SELECT respondent_id, CASE WHEN on_ THEN 'e' || s END AS email, CASE WHEN on_ THEN 'd' END AS discord, on_ AS unlocked, on_ AS has_email FROM (
             SELECT user_id AS respondent_id, arg_max(event_id, (ts, event_id)) FILTER (event_type = 'purchase') AS s,
                    coalesce(max((ts, event_id)) FILTER (event_type = 'purchase') > coalesce(max((ts, event_id)) FILTER (event_type = 'error'), (TIMESTAMP '1900-01-01', 0::BIGINT)), false) AS on_ FROM events GROUP BY user_id)""",
+        "final_view": """, actions AS (
+              SELECT user_id AS who, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS INT) AS value, a.action,
+                     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, a.seq) AS n
+              FROM (SELECT *, event_id % 20 AS m FROM events) JOIN (VALUES (0, 0, 0, 'restart'), (1, 1, 0, 'home'), (2, 3, 0, 'submit'), (4, 4, 0, 'back'), (5, 6, 0, 'start'),
+                     (7, 7, 0, 'next'), (8, 19, 0, 'answer'), (8, 19, 1, 'next')) a(lo, hi, seq, action) ON m BETWEEN lo AND hi
+            ), fold AS (
+              SELECT DISTINCT who, 0::BIGINT AS n, 'landing' AS view, 0 AS step, list_transform(range(15), lambda i: NULL::INT) AS answers, false AS unlocked, false AS seen, 0::BIGINT AS completed, 0::BIGINT AS viewed FROM actions
+              UNION ALL
+              SELECT who, n, new_view, CASE WHEN again THEN 0 WHEN here AND action = 'back' THEN greatest(step - 1, 0) WHEN onward AND step < 14 THEN step + 1 ELSE step END,
+                     CASE WHEN again THEN list_transform(range(15), lambda i: NULL::INT) WHEN here AND action = 'answer' THEN list_transform(range(15), lambda i: CASE WHEN i = step THEN value ELSE answers[i + 1] END) ELSE answers END,
+                     NOT again AND (unlocked OR (view = 'email' AND action = 'submit')), NOT again AND (seen OR new_view = 'results'), completed + finished::BIGINT, viewed + (new_view = 'results' AND NOT seen)::BIGINT
+              FROM (SELECT *, CASE WHEN action = 'home' OR again THEN 'landing' WHEN view = 'landing' AND action = 'start' THEN CASE WHEN NOT done THEN 'questions' WHEN unlocked THEN 'results' ELSE 'email' END
+                              WHEN finished THEN CASE WHEN unlocked THEN 'results' ELSE 'email' END WHEN view = 'email' AND action = 'submit' THEN 'results' ELSE view END AS new_view
+                    FROM (SELECT *, onward AND step = 14 AND done AS finished FROM (
+                      SELECT f.who, a.n, view, step, answers, unlocked, seen, completed, viewed, action, value, view = 'questions' AS here, view = 'results' AND action = 'restart' AS again,
+                             view = 'questions' AND action = 'next' AND answers[step + 1] IS NOT NULL AS onward, len(list_filter(answers, lambda x: x IS NULL)) = 0 AS done
+                      FROM fold f JOIN actions a ON a.who = f.who AND a.n = f.n + 1)))
+            ) SELECT who AS respondent_id, view, step, CAST(len(list_filter(answers, lambda x: x IS NOT NULL)) AS INT) AS answered, unlocked, completed, viewed AS results_viewed
+              FROM fold QUALIFY n = max(n) OVER (PARTITION BY who)""",
         "active_category": "SELECT respondent_id, category_id AS category, ordinal = least(answered, 14) // 3 + 1 AS is_active FROM tot CROSS JOIN cats",
         "current_question": """SELECT respondent_id, least(answered, 14) AS step, least(answered, 14) + 1 AS question_id, category_id, (least(answered, 14) + 1) || ' of 15' AS label
             FROM tot JOIN cats ON ordinal = least(answered, 14) // 3 + 1""",

@@ -25,11 +25,19 @@ def answers_from_events(events: DataFrame) -> DataFrame:
 
 def answers_from_json(df: DataFrame, key: str = "respondent_id", column: str = "answers") -> DataFrame:
     """(key, question_id, value) from a JSON object of answers by question id. Only numbers count as answered; text that isn't a
-    JSON object gives no row, and one bad value spoils only itself."""
+    JSON object gives no row, and one bad value spoils only itself. A key is a question's if it is the number's own text: neither "01" nor
+    " 1" is question 1. Of a key that repeats the last value counts."""
+    last_key_wins(df.sparkSession)
     parsed = df.select(F.col(key), F.try_parse_json(column).alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
     each = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "k", "x"))
     value = F.when(F.schema_of_variant("x").rlike(NUMBERS), F.try_variant_get("x", "$", "double"))
-    return each.select(key, F.col("k").try_cast("int").alias("question_id"), value.alias("value")).where("question_id is not null")
+    question = F.col("k").try_cast("int")
+    return each.where(question.cast("string") == F.col("k")).select(key, question.alias("question_id"), value.alias("value"))
+
+
+def last_key_wins(spark: SparkSession) -> None:
+    """From now on JSON objects that repeat a key are read in this session as browsers and servers do: the last value counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def _claimed_category(k: Column, ordinal: Column) -> Column:
@@ -84,8 +92,10 @@ def parse_requests(df: DataFrame, column: str = "value") -> DataFrame:
     is_json, is_object, email, discord, odd_discord (neither a string nor null), has_event_name and event_name (VARIANT), payload, answers and
     context (VARIANT, null where missing or null), summary (VARIANT), percentage, has_parts (the summary's band and both lists are there).
 
-    The body is parsed once per row, below a generator, so that neither filters nor joins on what it says parse it again.
+    The body is parsed once per row, below a generator, so that neither filters nor joins on what it says parse it again. Columns of df
+    with these names are replaced. Of a key that repeats the last value counts.
     """
+    last_key_wins(df.sparkSession)
     v = F.col("_v")
     at = lambda path: F.try_variant_get(v, path, "variant")
     kind = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit("VOID"))
@@ -100,4 +110,5 @@ def parse_requests(df: DataFrame, column: str = "value") -> DataFrame:
         "has_parts": (kind("$.summary.band") != "VOID") & whole("$.summary.weakestCategories") & whole("$.summary.categoryScores"),
     }
     parsed = df.withColumn("_v", F.try_parse_json(column))
-    return parsed.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.struct(*[x.alias(n) for n, x in fields.items()]))))
+    others = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in fields]
+    return parsed.select(*others, F.inline(F.array(F.struct(*[x.alias(n) for n, x in fields.items()]))))
