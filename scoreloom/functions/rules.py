@@ -11,12 +11,18 @@ from scoreloom import rubric
 
 #: Fixed value: white space as browsers trim it, which neither \s nor trim() matches.
 BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: What schema_of_variant says of a number.
+NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 EMAIL = rf"^[^{BLANKS}@]+@[^{BLANKS}@]+\.[^{BLANKS}@]+\z"
 
 
 def percent(raw: Column, most: int) -> Column:
     """Half up, as a whole number."""
-    return F.floor(raw / F.lit(most) * 100 + F.lit(0.5)).cast("int")
+    return percent_of(raw, F.lit(most))
+
+
+def percent_of(raw: Column, most: Column) -> Column:
+    return F.floor(raw / most * 100 + F.lit(0.5)).cast("int")
 
 
 def status(percentage: Column) -> Column:

@@ -151,6 +151,24 @@ def contexts(visits: DataFrame) -> DataFrame:
     )
 
 
+def contexts_with_stored(visits: DataFrame, stored: DataFrame) -> DataFrame:
+    """`contexts` of visitors of whom some have a context from before (stored: user_id, stored as JSON text, at most one row each).
+
+    A stored context wins: all that it says stays, and only currentPage becomes that of the last visit, if there is one. What it leaves
+    out stays null. Text that is no JSON object counts as nothing stored. Visitors who only have a stored one are there too; those with
+    neither aren't. One aggregation and one full join by visitor. visits: as `contexts` takes them.
+    """
+    known = stored_context(stored.select("user_id", "stored")).where(F.startswith(F.schema_of_variant("stored"), F.lit("OBJECT")))
+    both = contexts(visits).join(known, "user_id", "full")
+    is_old = F.col("stored").isNotNull()
+    old = lambda n, kind="string": F.try_variant_get("stored", f"$.{n}", kind)
+    fixed = [F.when(is_old, old(n)).otherwise(F.col(n)).alias(n) for n in ("sessionId", "firstSeenAt", "landingPage")]
+    return both.select(
+        "user_id", *fixed, F.coalesce("currentPage", old("currentPage")).alias("currentPage"), F.when(is_old, old("referrer")).otherwise(F.col("referrer")).alias("referrer"),
+        F.when(is_old, old("utm", "map<string,string>")).otherwise(F.col("utm")).alias("utm"), is_old.alias("was_stored"),
+    )
+
+
 def stored_context(df: DataFrame, column: str = "stored") -> DataFrame:
     """df with the column read as VARIANT: null where it isn't JSON, as if nothing was stored."""
     return df.withColumn(column, F.try_parse_json(column))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.functions.rules import band, percent, percent_label, status, total_label
+from scoreloom.functions.rules import NUMBERS, band, percent, percent_label, status, total_label
 
 
 def latest_answers(answers: DataFrame) -> DataFrame:
@@ -45,8 +45,17 @@ def answers_since_restart(log: DataFrame) -> DataFrame:
     return wide.select("respondent_id", *[F.when(later(f"x{q}"), F.col(f"x{q}.value")).alias(f"q{q}") for q in rubric.QUESTIONS])
 
 
-def _sum(of: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)) for x in of]).cast("int")
+def answers_side_by_side(answers: Column) -> dict[str, Column]:
+    """q1 ... q15 from one request's answers (a VARIANT object by question id): its numbers as doubles; anything else is no answer.
+
+    Only expressions over the row, so a request is scored where it is, without an exchange.
+    """
+    at = lambda q: F.try_variant_get(answers, f"$['{q}']", "variant")
+    return {f"q{q}": F.when(F.schema_of_variant(at(q)).rlike(NUMBERS), F.try_variant_get(answers, f"$['{q}']", "double")) for q in rubric.QUESTIONS}
+
+
+def _sum(of: list[Column], kind: str = "int") -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)) for x in of]).cast(kind)
 
 
 def _answered(questions: tuple[int, ...]) -> Column:
@@ -62,20 +71,23 @@ def summaries(answers: DataFrame) -> DataFrame:
     return summaries_of(wide_answers(answers))
 
 
-def summaries_of(wide: DataFrame) -> DataFrame:
-    """Summaries of answers that stand side by side (respondent_id, q1 ... q15)."""
-    each = []
+def summaries_of(wide: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Summaries of answers that stand side by side (respondent_id, q1 ... q15), with wide's other columns after them if keep names them.
+
+    Raw scores are whole numbers, or doubles where the answers are.
+    """
+    each, kind = [], "double" if dict(wide.dtypes)["q1"] == "double" else "int"
     for k, (name, short) in enumerate(rubric.CATEGORIES, 1):
-        raw = _sum([F.col(f"q{q}") for q in rubric.questions_of(k)])
+        raw = _sum([F.col(f"q{q}") for q in rubric.questions_of(k)], kind)
         pct = percent(raw, rubric.MAX_CATEGORY)
         fields = {"ordinal": F.lit(k), "category_id": F.lit(name), "short_name": F.lit(short), "raw_score": raw, "percentage": pct, "status": status(pct), "answered": _answered(rubric.questions_of(k))}
         each.append(F.struct(*[v.alias(n) for n, v in fields.items()]))
-    wide = wide.withColumn("categories", F.array(*each)).withColumn("raw_score", _sum([F.col(f"q{q}") for q in rubric.QUESTIONS]))
+    wide = wide.withColumn("categories", F.array(*each)).withColumn("raw_score", _sum([F.col(f"q{q}") for q in rubric.QUESTIONS], kind))
     by_score = F.array_sort(F.transform("categories", lambda c: F.struct(c["percentage"].alias("p"), c["raw_score"].alias("r"), c["ordinal"].alias("o"), c.alias("c"))))
     pct = percent(F.col("raw_score"), rubric.MAX_TOTAL)
     return wide.select(
         "respondent_id", "raw_score", pct.alias("percentage"), band(pct).alias("band"), _answered(rubric.QUESTIONS).alias("answered"),
-        (_answered(rubric.QUESTIONS) == len(rubric.QUESTIONS)).alias("is_complete"), "categories", F.transform(F.slice(by_score, 1, 2), lambda x: x["c"]).alias("weakest"),
+        (_answered(rubric.QUESTIONS) == len(rubric.QUESTIONS)).alias("is_complete"), "categories", F.transform(F.slice(by_score, 1, 2), lambda x: x["c"]).alias("weakest"), *keep,
     )
 
 
@@ -107,6 +119,14 @@ def audit(claimed: DataFrame, summary: DataFrame) -> DataFrame:
     return claimed.join(own, "respondent_id", "left").withColumn("agrees", F.col("percentage") == F.col("computed"))
 
 
+def recomputed(accepted: DataFrame) -> DataFrame:
+    """Each parsed submission (k, answers, percentage) scored by its own answers, beside what it claims: (k, raw_score, percentage, band, answered,
+    is_complete, claimed, agrees). No answers at all score 0. Nothing is joined or dealt."""
+    wide = accepted.select(F.col("k").alias("respondent_id"), F.col("percentage").alias("claimed"), F.inline(F.array(F.struct(*[x.alias(n) for n, x in answers_side_by_side(F.col("answers")).items()]))))
+    found = summaries_of(wide, ("claimed",))
+    return found.select(F.col("respondent_id").alias("k"), "raw_score", "percentage", "band", "answered", "is_complete", "claimed", (F.col("claimed") == F.col("percentage")).alias("agrees"))
+
+
 def weakest_ids(summary: DataFrame) -> DataFrame:
     """The ids of each respondent's weakest categories, weakest first."""
     return summary.select("respondent_id", F.transform("weakest", lambda w: w["category_id"]).alias("weakest_ids"))

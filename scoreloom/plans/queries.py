@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.operators import capture, flow, replay, scoring
+from scoreloom.operators import capture, flow, replay, rubrics, scoring
 from scoreloom.sources import inputs
 
 
@@ -112,6 +112,22 @@ def submission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.audit(claimed, _summaries(spark, sf_dir))
 
 
+def _answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each customer with answers of its own: question q has (k * q + q) % 5 unless (k + q) % 7 = 0; question 3 half a point more for
+    k % 6 = 0, question 5 as text for k % 10 = 1; no answers at all for k % 9 = 4. The claim is k % 101, a quarter more for k % 4 = 0."""
+    k = F.col("c_custkey")
+    value = lambda q: F.when((q == 5) & (k % 10 == 1), F.lit('"4"')).otherwise(F.concat(((k * q + q) % 5).cast("string"), F.when((q == 3) & (k % 6 == 0), F.lit(".5")).otherwise(F.lit(""))))
+    fields = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda q: F.when((k + q) % 7 != 0, F.concat(F.lit('"'), q.cast("string"), F.lit('":'), value(q))))
+    answers = F.when(k % 9 == 4, F.lit("")).otherwise(F.concat(F.lit(',"answers":{'), F.concat_ws(",", fields), F.lit("}")))
+    claim = F.concat((k % 101).cast("string"), F.when(k % 4 == 0, F.lit(".25")).otherwise(F.lit("")))
+    body = F.concat(F.lit('{"email":"a@b.c","discordUsername":"d","summary":{"percentage":'), claim, F.lit(',"band":{"title":"t"},"weakestCategories":[],"categoryScores":[]}'), answers, F.lit("}"))
+    return capture.validate_submissions(inputs.parse_requests(inputs.table(spark, sf_dir, "customer").select(k.alias("k"), body.alias("value"))))
+
+
+def submission_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.recomputed(_answered_requests(spark, sf_dir).where("reject_reason is null"))
+
+
 def _event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a request: errors have an empty name, event_id % 7 = 0 a number, views no payload, % 3 = 0 a context."""
     e = F.col("event_id")
@@ -138,6 +154,29 @@ def visitor_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.contexts(visits).withColumn("utm_source", F.coalesce(F.try_element_at("utm", F.lit("utm_source")), F.lit(""))).drop("utm")
 
 
+def visitor_context_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As visitor_context, but users with an even id have a context from before, those divisible by 10 an unreadable one; so do users 100000 and 100002, who have no visit."""
+    pages = inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), "url")
+    events = inputs.table(spark, sf_dir, "events")
+    visits = events.select("event_id", "user_id", "ts").join(pages, "event_id").withColumn("referrer", F.concat(F.lit("http://from/"), F.col("event_id").cast("string")))
+    u = F.col("user_id").cast("string")
+    body = F.concat(F.lit('{"sessionId":"old'), u, F.lit('","firstSeenAt":"2020-01-01T00:00:00.000Z","landingPage":"/old","currentPage":"/was","referrer":"","utm":{"utm_source":"s'), u, F.lit('"}}'))
+    users = events.select("user_id").distinct().union(spark.range(100000, 100004, 2).toDF("user_id")).where("user_id % 2 = 0")
+    stored = users.select("user_id", F.when(F.col("user_id") % 10 == 0, F.when(F.col("user_id") == 100000, body).otherwise(F.lit("{"))).otherwise(body).alias("stored"))
+    return capture.contexts_with_stored(visits, stored).withColumn("utm_source", F.coalesce(F.try_element_at("utm", F.lit("utm_source")), F.lit(""))).drop("utm")
+
+
+def scores_by_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Respondents with an odd id are scored by version 2: categories of the first ten questions only, two in each, and three bands."""
+    questions, bands = rubrics.standard(spark)
+    second = spark.createDataFrame([(2, q, f"c{(q + 1) // 2}", (q + 1) // 2, rubric.MAX_ANSWER) for q in range(1, 11)], rubrics.QUESTIONS)
+    low = spark.createDataFrame([(2, 0, 33, "low"), (2, 34, 66, "middle"), (2, 67, 100, "high")], rubrics.BANDS)
+    latest = latest_answers(spark, sf_dir).withColumn("rubric_version", (F.col("respondent_id") % 2 + 1).cast("int"))
+    found = rubrics.scores(latest, questions.union(second), bands.union(low))
+    listed = F.concat_ws(",", F.transform("category_percentages", lambda c: F.concat(c["category_id"], F.lit(":"), c["percentage"].cast("string"))))
+    return found.withColumn("category_percentages", listed)
+
+
 def _restart_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors stand for restarts, purchases for submissions; other events are answers."""
     k = F.get_json_object("props", "$.k").try_cast("bigint")
@@ -242,7 +281,7 @@ QUERIES = {
         latest_answers, total_scores, completeness, category_scores, category_progress, weakest_two, weakest_flags, score_event_payload, recommendation_text,
         next_view, results_viewed_once, events_since_restart, utm_params, first_last_touch, submission_outcome, submission_flat, submission_audit, event_accept,
         band_distribution, status_distribution, weakest_ranking, attribution_report, score_summary, event_envelopes, submission_record, event_record, visitor_context, total_scores_since_restart, respondent_state,
-        final_view, active_category, current_question, question_options, score_labels, weakest_ids, answer_events, cta_events,
+        final_view, submission_recomputed, visitor_context_stored, scores_by_rubric, active_category, current_question, question_options, score_labels, weakest_ids, answer_events, cta_events,
     )
 }
 
@@ -381,6 +420,36 @@ SQL = {
                       FROM fold f JOIN actions a ON a.who = f.who AND a.n = f.n + 1)))
             ) SELECT who AS respondent_id, view, step, CAST(len(list_filter(answers, lambda x: x IS NOT NULL)) AS INT) AS answered, unlocked, completed, viewed AS results_viewed
               FROM fold QUALIFY n = max(n) OVER (PARTITION BY who)""",
+        "submission_recomputed": f""", own AS (
+              SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 4 OR (c_custkey + q) % 7 = 0 OR (q = 5 AND c_custkey % 10 = 1) THEN NULL
+                     ELSE (c_custkey * q + q) % 5 + CASE WHEN q = 3 AND c_custkey % 6 = 0 THEN 0.5 ELSE 0 END END AS v FROM customer CROSS JOIN range(1, 16) t(q)
+            ), raw AS (SELECT k, CAST(coalesce(sum(v), 0) AS DOUBLE) AS raw_score, CAST(count(v) AS INT) AS answered, (k % 101 + CASE WHEN k % 4 = 0 THEN 0.25 ELSE 0 END)::DOUBLE AS claimed FROM own GROUP BY k),
+            p AS (SELECT *, CAST(floor(raw_score / 60 * 100 + 0.5) AS INT) AS percentage FROM raw)
+            SELECT k, raw_score, percentage, {_case("percentage")[0]} AS band, answered, answered = 15 AS is_complete, claimed, claimed = percentage AS agrees FROM p""",
+        "visitor_context_stored": """, old AS (
+              SELECT user_id FROM (SELECT DISTINCT user_id FROM events UNION SELECT unnest([100000, 100002])) WHERE user_id % 2 = 0 AND (user_id % 10 <> 0 OR user_id = 100000)
+            ), now AS (
+              SELECT user_id, 'session_' || user_id AS s, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS f, arg_min(url, (ts, event_id)) AS l, arg_max(url, (ts, event_id)) AS c,
+                     'http://from/' || arg_min(event_id, (ts, event_id)) AS r, coalesce(arg_min(coalesce(utm_value, ''), (ts, event_id)), '') AS u
+              FROM events e JOIN pages p ON p.page_id = e.event_id LEFT JOIN utm x ON x.page_id = p.page_id AND utm_key = 'utm_source' GROUP BY user_id
+            ) SELECT coalesce(n.user_id, o.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN s ELSE 'old' || o.user_id END AS "sessionId", CASE WHEN o.user_id IS NULL THEN f ELSE '2020-01-01T00:00:00.000Z' END AS "firstSeenAt",
+                     CASE WHEN o.user_id IS NULL THEN l ELSE '/old' END AS "landingPage", coalesce(c, '/was') AS "currentPage", CASE WHEN o.user_id IS NULL THEN r ELSE '' END AS referrer,
+                     CASE WHEN o.user_id IS NULL THEN u ELSE 's' || o.user_id END AS utm_source, o.user_id IS NOT NULL AS was_stored
+              FROM now n FULL JOIN old o ON o.user_id = n.user_id""",
+        "scores_by_rubric": f""", second AS (
+              SELECT respondent_id, (question_id + 1) // 2 AS c, value FROM latest WHERE respondent_id % 2 = 1 AND question_id <= 10
+            ), parts AS (
+              SELECT t.respondent_id, c.c, CAST(coalesce(sum(value), 0) AS INT) AS raw, count(value) AS n FROM totals t CROSS JOIN range(1, 6) c(c) LEFT JOIN second s ON s.respondent_id = t.respondent_id AND s.c = c.c
+              WHERE t.respondent_id % 2 = 1 GROUP BY ALL
+            ), whole AS (
+              SELECT respondent_id, CAST(sum(raw) AS INT) AS raw_score, CAST(floor(sum(raw) / 40.0 * 100 + 0.5) AS INT) AS percentage, CAST(sum(n) AS INT) AS answered,
+                     string_agg('c' || c || ':' || CAST(floor(raw / 8.0 * 100 + 0.5) AS INT), ',' ORDER BY c) AS category_percentages FROM parts GROUP BY respondent_id
+            )
+            SELECT respondent_id, CAST(2 AS INT) AS rubric_version, raw_score, CAST(40 AS INT) AS max_score, percentage, CASE WHEN percentage <= 33 THEN 'low' WHEN percentage <= 66 THEN 'middle' ELSE 'high' END AS band,
+                   answered, answered = 10 AS is_complete, category_percentages FROM whole
+            UNION ALL
+            SELECT respondent_id, CAST(1 AS INT), t.raw_score, CAST(60 AS INT), t.percentage, band, t.answered, t.answered = 15, string_agg(category_id || ':' || c.percentage, ',' ORDER BY ordinal)
+            FROM tot t JOIN cat c USING (respondent_id) WHERE respondent_id % 2 = 0 GROUP BY respondent_id, t.raw_score, t.percentage, band, t.answered""",
         "active_category": "SELECT respondent_id, category_id AS category, ordinal = least(answered, 14) // 3 + 1 AS is_active FROM tot CROSS JOIN cats",
         "current_question": """SELECT respondent_id, least(answered, 14) AS step, least(answered, 14) + 1 AS question_id, category_id, (least(answered, 14) + 1) || ' of 15' AS label
             FROM tot JOIN cats ON ordinal = least(answered, 14) // 3 + 1""",

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.functions.rules import band, status
-
-NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+from scoreloom.functions.rules import NUMBERS, band, status
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,3 +110,11 @@ def parse_requests(df: DataFrame, column: str = "value") -> DataFrame:
     parsed = df.withColumn("_v", F.try_parse_json(column))
     others = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in fields]
     return parsed.select(*others, F.inline(F.array(F.struct(*[x.alias(n) for n, x in fields.items()]))))
+
+
+def stored_states(df: DataFrame) -> DataFrame:
+    """(respondent_id, answers, email, discord, unlocked) from what was stored as text under four keys: answers as VARIANT, null where they can't
+    be read, as if they weren't there; names empty where there are none; unlocked only where the text is `true`."""
+    last_key_wins(df.sparkSession)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return df.select("respondent_id", F.try_parse_json("answers").alias("answers"), text("email"), text("discord"), (F.coalesce("unlocked", F.lit("")) == "true").alias("unlocked"))

@@ -88,7 +88,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_sinks_and_outcomes(spark, tmp_path):
     df = spark.createDataFrame([(1, "A@b.c")], "k int, email string")
-    sinks.fan_out({"files": lambda x: sinks.to_files(x, str(tmp_path / "out")), "none": None, "unset": sinks.to_webhook(None)})(df, 0)
+    sinks.to_files(df, str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).head()[0]) == {"k": 1, "email": "A@b.c"}
     assert sinks.route({"common_url": "u"}, "results") == "u" and sinks.route({"results_url": "", "common_url": "u"}, "results") == ""
     assert capture.outcome(df, False).head().status_code == 202 and capture.outcome(df, True, F.lit(False)).head().status_code == 502
