@@ -84,11 +84,45 @@ def iso_time(at: Column) -> Column:
     return F.concat(part(1, 10), F.lit("T"), part(12, 8), F.lit("."), F.rpad(part(21, 3), 3, "0"), F.lit("Z"))
 
 
+def micros(at: Column) -> Column:
+    """A timestamp as microseconds since 1970, to order by; one without a zone is taken to be in UTC."""
+    day = F.unix_date(at.cast("date")).cast("long") * 86_400_000_000
+    of_day = ((F.hour(at) * 60 + F.minute(at)) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+    return F.when(F.typeof(at) == "timestamp_ntz", day + of_day).otherwise(F.unix_micros(at.cast("timestamp")))
+
+
+#: Before all times: microseconds that no timestamp has.
+NEVER = -(1 << 62)
+
+
+def moment(at: Column, event_id: Column) -> Column:
+    """(at, event_id) as one number that orders as the pair does, null first in each. Of fixed width, so that hash aggregation can hold it
+    and combine rows before they are dealt."""
+    second = F.coalesce(event_id, F.lit(-(1 << 63))).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return (F.coalesce(micros(at), F.lit(NEVER)).cast("decimal(19,0)") * F.lit(str(1 << 62)).cast("decimal(19,0)") * 4 + second).cast("decimal(38,0)")
+
+
+def variant_fields(value: Column, names: tuple[str, ...]) -> Column:
+    """The fields of a VARIANT object as a struct of VARIANT: null where they are missing, and null as a whole for what is no object."""
+    return F.try_variant_get(value, "$", f"struct<{', '.join(f'{n}: variant' for n in names)}>")
+
+
 def given(value: Column) -> Column:
     """A value as VARIANT, of which a null stays null in JSON; fields that are SQL NULL are left out of JSON, as undefined ones are."""
     return F.coalesce(value.cast("variant"), F.parse_json(F.lit("null")))
 
 
+def session_id(seed: int | None = None) -> Column:
+    """A new random id for each row, as a browser makes one for a new visitor."""
+    return F.uuid() if seed is None else F.uuid(seed)
+
+
+def fallback_session_id(at: Column, seed: int | None = None) -> Column:
+    """session_, the time in milliseconds, and random hexadecimal digits: the id where there is no UUID."""
+    digits = F.lower(F.hex(F.floor((F.rand() if seed is None else F.rand(seed)) * float(1 << 52))))
+    return F.concat(F.lit("session_"), F.floor(micros(at) / 1000).cast("string"), F.lit("_"), digits)
+
+
 def total_label(raw: Column) -> Column:
     return F.concat(raw.cast("string"), F.lit(f"/{rubric.MAX_TOTAL}"))
 

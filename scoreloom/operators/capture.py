@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.functions.rules import given, is_email, is_filled, iso_time, tracked_parameters, trimmed
+from scoreloom.functions.rules import given, is_email, is_filled, iso_time, tracked_parameters, trimmed, variant_fields
 
 # Names on the wire, in their order.
 UTM = ("source", "medium", "campaign", "content", "term")
@@ -14,6 +14,7 @@ CONTEXT = ("referrer", "landingPage", "currentPage", "sessionId")
 SCORE_FIELDS = ("rawScore", "percentage", "resultBand", "weakestCategoryOne", "weakestCategoryOneScore", "weakestCategoryTwo", "weakestCategoryTwoScore")
 WEAKEST = ("id", "name", "shortName", "percentage", "status")
 SCORES = ("id", "name", "shortName", "rawScore", "percentage", "status")
+SUMMARY = ("percentage", "band", "weakestCategories", "categoryScores")
 NUMERIC = ("rawScore", "scorePercentage", "weakestCategoryOneScore", "weakestCategoryTwoScore")
 HEADERS = {"referrer": "referer", "userAgent": "user-agent", "country": "x-vercel-ip-country", "region": "x-vercel-ip-country-region", "city": "x-vercel-ip-city"}
 
@@ -60,26 +61,33 @@ def request_context(headers: Column) -> Column:
     return F.struct(*[F.coalesce(F.try_element_at(headers, F.lit(h)), F.lit("")).alias(n) for n, h in HEADERS.items()])
 
 
-def tracking_fields(context: Column) -> dict[str, Column]:
-    """The nine flat fields of a context (VARIANT): strings, empty where there is none; click ids stay in the context."""
-    at = lambda path: F.when(F.schema_of_variant(F.try_variant_get(context, path, "variant")) == "STRING", F.try_variant_get(context, path, "string"))
-    paths = {f"utm{n.capitalize()}": f"$.utm.utm_{n}" for n in UTM} | {n: f"$.{n}" for n in CONTEXT}
-    return {name: F.coalesce(at(path), F.lit("")) for name, path in paths.items()}
+def tracking_fields(context: Column, utm: Column) -> dict[str, Column]:
+    """The nine flat fields of a context and its utm (structs of VARIANT): strings, empty where there is none; click ids stay in the context."""
+    text = lambda x: F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), F.lit(""))
+    return {f"utm{n.capitalize()}": text(utm[f"utm_{n}"]) for n in UTM} | {n: text(context[n]) for n in CONTEXT}
 
 
 def _of(item: Column, names: tuple[str, ...]) -> Column:
     return F.struct(*[F.try_variant_get(item, f"$.{n}", "variant").alias(n) for n in names])
 
 
+def _taken_apart(accepted: DataFrame) -> DataFrame:
+    """accepted with its summary and context as structs: _s, its two weakest categories as _w, _c and its _u; each is taken apart once."""
+    weak = F.try_variant_get("_s.weakestCategories", "$", "array<variant>")
+    one = accepted.withColumn("_s", variant_fields(F.col("summary"), ("rawScore", *SUMMARY))).withColumn("_c", variant_fields(F.col("context"), ("utm", *CONTEXT)))
+    two = one.withColumn("_w", F.transform(F.slice(weak, 1, 2), lambda w: variant_fields(w, ("shortName", "percentage"))))
+    return two.withColumn("_u", variant_fields(F.col("_c.utm"), tuple(f"utm_{n}" for n in UTM))).withColumn("_band", variant_fields(F.col("_s.band"), ("title",)))
+
+
 def submission_fields(submitted_at: Column) -> dict[str, Column]:
-    """The flat fields of an accepted submission in their order, as its summary claims them; weakest ones that are missing are empty."""
-    at = lambda path: F.try_variant_get("summary", path, "variant")
+    """The flat fields of an accepted submission in their order, as its summary claims them; weakest ones that are missing are empty. From
+    the columns of _taken_apart."""
     there = lambda x: F.when(F.schema_of_variant(x) != "VOID", x)
-    weak = lambda k, name: F.coalesce(there(at(f"$.weakestCategories[{k}].{name}")), F.lit("").cast("variant"))
+    weak = lambda k, name: F.coalesce(there(F.get("_w", F.lit(k))[name]), F.lit("").cast("variant"))
     return {
-        "email": F.col("email"), "discordUsername": F.col("discord"), "submittedAt": iso_time(submitted_at), "rawScore": at("$.rawScore"), "scorePercentage": at("$.percentage"),
-        "resultBand": at("$.band.title"), "weakestCategoryOne": weak(0, "shortName"), "weakestCategoryOneScore": weak(0, "percentage"),
-        "weakestCategoryTwo": weak(1, "shortName"), "weakestCategoryTwoScore": weak(1, "percentage"), **tracking_fields(F.col("context")),
+        "email": F.col("email"), "discordUsername": F.col("discord"), "submittedAt": iso_time(submitted_at), "rawScore": F.col("_s.rawScore"), "scorePercentage": F.col("_s.percentage"),
+        "resultBand": F.col("_band.title"), "weakestCategoryOne": weak(0, "shortName"), "weakestCategoryOneScore": weak(0, "percentage"),
+        "weakestCategoryTwo": weak(1, "shortName"), "weakestCategoryTwoScore": weak(1, "percentage"), **tracking_fields(F.col("_c"), F.col("_u")),
     }
 
 
@@ -88,7 +96,7 @@ def flat_submissions(accepted: DataFrame, submitted_at: Column | None = None) ->
     fields = submission_fields(F.current_timestamp() if submitted_at is None else submitted_at)
     number = lambda x: F.when(F.schema_of_variant(x) != "STRING", F.try_variant_get(x, "$", "double"))
     typed = {n: number(x) if n in NUMERIC else x.cast("string") for n, x in fields.items()}
-    return accepted.select("k", F.lit("scorecard_submission").alias("type"), *[x.alias(n) for n, x in typed.items()])
+    return _taken_apart(accepted).select("k", F.lit("scorecard_submission").alias("type"), *[x.alias(n) for n, x in typed.items()])
 
 
 def submission_records(accepted: DataFrame, submitted_at: Column | None = None) -> DataFrame:
@@ -99,17 +107,13 @@ def submission_records(accepted: DataFrame, submitted_at: Column | None = None)
     """
     at = F.current_timestamp() if submitted_at is None else submitted_at
     flat = [x.alias(n) for n, x in submission_fields(at).items()]
-    listed = lambda path, names: F.transform(F.try_variant_get("summary", path, "array<variant>"), lambda x: _of(x, names))
-    field = lambda path: F.try_variant_get("summary", path, "variant")
-    result = F.struct(
-        field("$.rawScore").alias("rawScore"), field("$.percentage").alias("percentage"), field("$.band.title").alias("resultBand"),
-        listed("$.weakestCategories", WEAKEST).alias("weakestCategories"), listed("$.categoryScores", SCORES).alias("categoryScores"),
-    )
+    listed = lambda n, names: F.transform(F.try_variant_get(f"_s.{n}", "$", "array<variant>"), lambda x: _of(x, names)).alias(n)
+    result = F.struct("_s.rawScore", "_s.percentage", F.col("_band.title").alias("resultBand"), listed("weakestCategories", WEAKEST), listed("categoryScores", SCORES))
     record = F.struct(
         F.lit("scorecard_submission").alias("type"), *flat, F.struct(*flat).alias("fields"), result.alias("result"), F.coalesce("answers", F.parse_json(F.lit("{}"))).alias("answers"),
         F.coalesce("context", F.parse_json(F.lit("null"))).alias("trackingContext"), request_context(F.col("headers")).alias("requestContext"), iso_time(at).alias("timestamp"),
     )
-    return accepted.select("k", F.to_json(record).alias("value"))
+    return _taken_apart(accepted).select("k", F.to_json(record).alias("value"))
 
 
 def event_records(accepted: DataFrame, key: str, at: Column | None = None) -> DataFrame:

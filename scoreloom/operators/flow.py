@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.functions.rules import icon, is_filled, percent, severity
+from scoreloom.functions.rules import icon, is_filled, moment, percent, severity
 
 
 def progress(summary: DataFrame) -> DataFrame:
@@ -70,6 +70,18 @@ def since_restart(log: DataFrame) -> DataFrame:
     return log.withColumn("_newest", newest).where(F.col("run") == F.col("_newest")).drop("_newest")
 
 
+def rows_since_restart(log: DataFrame, is_restart) -> DataFrame:
+    """(respondent_id, run, n): each respondent's restarts, and rows from the last of these on, with it; all rows if there was none.
+
+    The last restart is found by an aggregation that tasks begin before rows are dealt, and so are the counts of later rows: no history is
+    ordered, and a respondent with very many rows is no task's.
+    """
+    rows = log.select("respondent_id", moment(F.col("ts"), F.col("event_id")).alias("at"), is_restart.alias("is_restart"))
+    last = rows.groupBy("respondent_id").agg(F.max(F.when(F.col("is_restart"), F.col("at"))).alias("restart"), F.count_if("is_restart").alias("run"))
+    both = rows.groupBy("respondent_id", "at").agg(F.count("*").alias("n")).join(last, "respondent_id")
+    return both.where("restart is null or at >= restart").groupBy("respondent_id", "run").agg(F.sum("n").alias("n"))
+
+
 def _category_of(question: Column) -> Column:
     """The id of a question's category; null for questions that there aren't."""
     return F.get(F.array(*[F.lit(c[0]) for c in rubric.CATEGORIES]), F.when(question.isin(*rubric.QUESTIONS), F.floor((question - 1) / rubric.PER_CATEGORY).cast("int")).otherwise(-1))

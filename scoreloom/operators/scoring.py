@@ -8,41 +8,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.functions.rules import NUMBERS, band, percent, percent_label, status, total_label
+from scoreloom.functions.rules import NUMBERS, band, moment, percent, percent_label, status, total_label
 
 
 def latest_answers(answers: DataFrame) -> DataFrame:
-    """(respondent_id, question_id, value): the last click of each question, by (ts, event_id)."""
-    return answers.groupBy("respondent_id", "question_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    """(respondent_id, question_id, value): the last click of each question, by (ts, event_id). Tasks combine their rows before these are dealt."""
+    at = moment(F.col("ts"), F.col("event_id"))
+    return answers.select("respondent_id", "question_id", "value", at.alias("at")).groupBy("respondent_id", "question_id").agg(F.max_by("value", "at").alias("value"))
 
 
 def wide_answers(answers: DataFrame) -> DataFrame:
     """(respondent_id, q1 ... q15): latest answers side by side. Other question ids are left out.
 
-    Batch: rows are dealt by respondent once, then the latest of each question is found and those are put side by side, in the same
-    tasks. Stream: one aggregation, as a stream has one state.
+    Batch: the latest of each question is found first, so what is dealt by respondent is 15 rows of each at most, and a respondent with
+    very many clicks is no task's. Stream: one aggregation, as a stream has one state.
     """
     own = lambda q: F.col("question_id") == q
     if answers.isStreaming:
-        return answers.groupBy("respondent_id").agg(
-            *[F.max_by(F.when(own(q), F.col("value")), F.when(own(q), F.struct("ts", "event_id"))).alias(f"q{q}") for q in rubric.QUESTIONS]
-        )
-    latest = latest_answers(answers.repartition("respondent_id"))
-    return latest.groupBy("respondent_id").agg(*[F.max(F.when(own(q), F.col("value"))).alias(f"q{q}") for q in rubric.QUESTIONS])
+        at = answers.withColumn("at", moment(F.col("ts"), F.col("event_id")))
+        return at.groupBy("respondent_id").agg(*[F.max_by(F.when(own(q), F.col("value")), F.when(own(q), F.col("at"))).alias(f"q{q}") for q in rubric.QUESTIONS])
+    return latest_answers(answers).groupBy("respondent_id").agg(*[F.max(F.when(own(q), F.col("value"))).alias(f"q{q}") for q in rubric.QUESTIONS])
 
 
 def answers_since_restart(log: DataFrame) -> DataFrame:
     """(respondent_id, q1 ... q15) from the answers after each respondent's last restart; log has is_restart beside the answers' columns.
 
     The latest answer of a question counts if it is later than the latest restart, so no history is ordered: restarts are kept as one
-    more question. Respondents who only restarted have no answer. One exchange.
+    more question. Respondents who only restarted have no answer. Tasks combine their rows before these are dealt.
     """
-    rows = log.withColumn("question_id", F.when(F.col("is_restart"), -1).otherwise(F.col("question_id"))).repartition("respondent_id")
-    latest = rows.groupBy("respondent_id", "question_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("x"))
-    at = lambda q: F.max(F.when(F.col("question_id") == q, F.col("x")))
-    wide = latest.groupBy("respondent_id").agg(at(-1).alias("restart"), *[at(q).alias(f"x{q}") for q in rubric.QUESTIONS])
-    later = lambda x: F.col("restart").isNull() | (F.struct(f"{x}.ts", f"{x}.event_id") > F.struct("restart.ts", "restart.event_id"))
-    return wide.select("respondent_id", *[F.when(later(f"x{q}"), F.col(f"x{q}.value")).alias(f"q{q}") for q in rubric.QUESTIONS])
+    question = F.when(F.col("is_restart"), -1).otherwise(F.col("question_id"))
+    rows = log.select("respondent_id", question.alias("question_id"), "value", moment(F.col("ts"), F.col("event_id")).alias("at"))
+    latest = rows.groupBy("respondent_id", "question_id").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    of = lambda q, c: F.max(F.when(F.col("question_id") == q, F.col(c)))
+    wide = latest.groupBy("respondent_id").agg(of(-1, "at").alias("restart"), *[of(q, c).alias(f"{c}{q}") for q in rubric.QUESTIONS for c in ("value", "at")])
+    later = lambda q: F.col("restart").isNull() | (F.col(f"at{q}") > F.col("restart"))
+    return wide.select("respondent_id", *[F.when(later(q), F.col(f"value{q}")).alias(f"q{q}") for q in rubric.QUESTIONS])
 
 
 def answers_side_by_side(answers: Column) -> dict[str, Column]:

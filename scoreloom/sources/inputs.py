@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom import rubric
-from scoreloom.functions.rules import NUMBERS, band, status
+from scoreloom.functions.rules import NUMBERS, band, status, variant_fields
+from scoreloom.operators.capture import SUMMARY
+
+
+# The fields of a request's body that are read.
+BODY = ("email", "discordUsername", "eventName", "payload", "answers", "trackingContext", "summary")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +76,9 @@ def submissions_from_customers(customer: DataFrame) -> DataFrame:
     return customer.select(k.alias("k"), F.to_json(body).alias("value"), headers.alias("headers"))
 
 
-def _text(v: Column, path: str) -> Column:
-    """A string at the path; null for anything else, as nothing is turned into a string."""
-    found = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(v, path, "string"))
+def _text(v: Column) -> Column:
+    """A VARIANT's string; null for anything else, as nothing is turned into a string."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def truthy(v: Column) -> Column:
@@ -94,21 +98,21 @@ def parse_requests(df: DataFrame, column: str = "value") -> DataFrame:
     with these names are replaced. Of a key that repeats the last value counts.
     """
     last_key_wins(df.sparkSession)
-    v = F.col("_v")
-    at = lambda path: F.try_variant_get(v, path, "variant")
-    kind = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit("VOID"))
-    value = lambda path: F.when(kind(path) != "VOID", at(path))
-    whole = lambda path: F.coalesce(~F.exists(F.try_variant_get(v, path, "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) == "VOID"), F.lit(False))
+    v, kind = F.col("_v"), lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    there = lambda x: F.when(kind(x) != "VOID", x)
+    whole = lambda x: F.coalesce(~F.exists(F.try_variant_get(x, "$", "array<variant>"), lambda y: kind(y) == "VOID"), F.lit(False))
+    at, of = (lambda n: F.col(f"_b.{n}")), (lambda n: F.col(f"_s.{n}"))
     fields = {
         "is_json": v.isNotNull(), "is_object": F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)),
-        "email": _text(v, "$.email"), "discord": _text(v, "$.discordUsername"), "odd_discord": ~kind("$.discordUsername").isin("STRING", "VOID"),
-        "has_event_name": truthy(at("$.eventName")), "event_name": value("$.eventName"), "payload": value("$.payload"), "answers": value("$.answers"),
-        "context": value("$.trackingContext"), "summary": value("$.summary"),
-        "percentage": F.when(kind("$.summary.percentage").rlike(NUMBERS), F.try_variant_get(v, "$.summary.percentage", "double")),
-        "has_parts": (kind("$.summary.band") != "VOID") & whole("$.summary.weakestCategories") & whole("$.summary.categoryScores"),
+        "email": _text(at("email")), "discord": _text(at("discordUsername")), "odd_discord": ~kind(at("discordUsername")).isin("STRING", "VOID"),
+        "has_event_name": truthy(at("eventName")), "event_name": there(at("eventName")), "payload": there(at("payload")), "answers": there(at("answers")),
+        "context": there(at("trackingContext")), "summary": there(at("summary")),
+        "percentage": F.when(kind(of("percentage")).rlike(NUMBERS), F.try_variant_get(of("percentage"), "$", "double")),
+        "has_parts": (kind(of("band")) != "VOID") & whole(of("weakestCategories")) & whole(of("categoryScores")),
     }
-    parsed = df.withColumn("_v", F.try_parse_json(column))
     others = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in fields]
+    # each object is taken apart once, into fields that are VARIANT again, so that none fails for its type
+    parsed = df.withColumn("_v", F.try_parse_json(column)).withColumn("_b", variant_fields(v, BODY)).withColumn("_s", variant_fields(F.col("_b.summary"), SUMMARY))
     return parsed.select(*others, F.inline(F.array(F.struct(*[x.alias(n) for n, x in fields.items()]))))
 
 
@@ -118,3 +122,10 @@ def stored_states(df: DataFrame) -> DataFrame:
     last_key_wins(df.sparkSession)
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return df.select("respondent_id", F.try_parse_json("answers").alias("answers"), text("email"), text("discord"), (F.coalesce("unlocked", F.lit("")) == "true").alias("unlocked"))
+
+
+def states_to_store(states: DataFrame) -> DataFrame:
+    """What `stored_states` reads, from (respondent_id, answers: VARIANT, email, discord, unlocked): answers as JSON text, the flag as text; a blank
+    name isn't stored."""
+    filled = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return states.select("respondent_id", F.to_json("answers").alias("answers"), filled("email"), filled("discord"), F.col("unlocked").cast("string").alias("unlocked"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scoreloom import rubric
+from scoreloom.functions.rules import NEVER, micros
 from scoreloom.operators.flow import with_email_flag
 from scoreloom.operators.replay import FINAL, NAMES, Flow
 
@@ -21,8 +22,8 @@ WIDE = ", ".join(f"q{q} int" for q in rubric.QUESTIONS)
 
 
 def _at():
-    """When a row was, as a number: null is before all others; a timestamp without a zone is one of the session's."""
-    return F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62))).alias("at")
+    """When a row was, as a number: null is before all others."""
+    return F.coalesce(micros(F.col("ts")), F.lit(NEVER)).alias("at")
 
 
 def _keyed(log: DataFrame):

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from scoreloom import rubric
 from scoreloom.functions import rules
-from scoreloom.operators import capture, flow, scoring
+from scoreloom.operators import capture, flow, rubrics, scoring
 from scoreloom.plans import queries
 from scoreloom.sources import inputs, sinks
 from scoreloom.streaming.scores import score_stream
 
+SF = "/root/testdata/sf0.001"
 LOG = "respondent_id long, question_id int, value int, ts timestamp, event_id long"
 
 
@@ -164,11 +165,109 @@ def test_forms_labels_and_outcomes(spark):
     assert [(r.ordinal, r.category_id) for r in rubric.categories(spark).collect()][0] == (1, "acquisition") and rubric.bands(spark).count() == len(rubric.BANDS)
 
 
-def test_score_plan_sorts_no_raw_rows_twice(spark):
-    plan = queries.total_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
-    flat = queries.submission_flat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert flat.count("try_parse_json") + flat.count("parse_json(") <= 2 and "Join" not in flat and "Exchange" not in flat
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["latest_answers", "total_scores", "total_scores_since_restart", "weakest_two"])
+def test_scores_are_combined_before_they_are_dealt(spark, name):
+    plan = plan_of(queries.QUERIES[name](spark, SF))
+    assert "SortAggregate" not in plan and "Sort [" not in plan and plan.count("Exchange") <= 2
+    first = plan.rindex("Exchange")
+    assert "HashAggregate" in plan[first:] and "partial_max_by" in plan[first:]
+
+
+def test_submissions_need_no_exchange(spark):
+    for name in ("submission_flat", "submission_recomputed"):
+        plan = plan_of(queries.QUERIES[name](spark, SF))
+        assert plan.count("try_parse_json") + plan.count("parse_json(") <= 2 and "Join" not in plan and "Exchange" not in plan
+    assert "NestedLoop" not in plan_of(queries.scores_by_rubric(spark, SF)) and "Cartesian" not in plan_of(queries.scores_by_rubric(spark, SF))
+
+
+def test_moments_order_as_pairs(spark):
+    df = spark.sql("""SELECT ts, event_id FROM VALUES (NULL, 5L), (TIMESTAMP_NTZ '1969-12-31 23:59:59.999999', 9223372036854775807L), (TIMESTAMP_NTZ '2024-03-10 02:30:00', -9223372036854775808L),
+        (TIMESTAMP_NTZ '2024-03-10 02:30:00', NULL), (TIMESTAMP_NTZ '2024-03-10 03:15:00', 0L), (TIMESTAMP_NTZ '9999-12-31 23:59:59', 9223372036854775807L), (NULL, NULL) t(ts, event_id)""")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            for column in (F.col("ts"), F.col("ts").cast("timestamp")):
+                rows = df.select(rules.moment(column, F.col("event_id")).alias("m"), rules.micros(column).alias("u"), "event_id").collect()
+                by_pair = sorted(rows, key=lambda r: (r.u is not None, r.u or 0, -(1 << 63) if r.event_id is None else r.event_id))
+                assert [r.m for r in by_pair] == sorted(r.m for r in rows)
+            own = df.where("event_id = 0").select(rules.micros(F.col("ts"))).head()[0]
+            assert own == 1710040500000000
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_times_are_utc_in_any_session(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp'2024-01-01T10:00:00.123456Z' a, timestamp_ntz'2024-03-10 02:30:00.5' b, timestamp'2024-11-03T06:30:00Z' c, timestamp'1969-12-31T23:59:59.999999Z' d, cast(null AS timestamp) e")
+        got = list(df.select(*[rules.iso_time(F.col(c)) for c in "abcde"]).head())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2024-01-01T10:00:00.123Z", "2024-03-10T02:30:00.500Z", "2024-11-03T06:30:00.000Z", "1969-12-31T23:59:59.999Z", None]
+
+
+def test_claims_keep_their_fractions(spark):
+    body = {"email": "a@b.c", "discordUsername": "x", "summary": {"percentage": 41.9, "rawScore": 24.5, "band": {"title": "t"}, "weakestCategories": [{"shortName": "s", "percentage": 1e30}], "categoryScores": []}}
+    df = spark.createDataFrame([(1, json.dumps(body), "own", None)], "k long, value string, email string, headers map<string,string>")
+    accepted = capture.validate_submissions(inputs.parse_requests(df)).where("reject_reason is null")
+    r = capture.flat_submissions(accepted).head()
+    assert (r.email, r.rawScore, r.scorePercentage, r.weakestCategoryOneScore) == ("a@b.c", 24.5, 41.9, 1e30)
+    log = spark.createDataFrame([(1, q, 4, __import__("datetime").datetime(2024, 1, 1), q) for q in range(1, 7)], LOG)
+    audit = scoring.audit(accepted.select(F.col("k").alias("respondent_id"), "percentage"), scoring.summaries(log)).head()
+    assert (audit.percentage, audit.computed, audit.agrees) == (41.9, 40, False)
+
+
+def test_keys_of_answers_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1, '{"1": 4, "01": 3, " 2": 2, "3": 1, "3": 2, "+4": 1, "5.0": 1, "16": 3}')], "respondent_id long, answers string")
+    assert sorted((r.question_id, r.value) for r in inputs.answers_from_json(df).collect()) == [(1, 4.0), (3, 2.0), (16, 3.0)]
+    twice = spark.createDataFrame([(1, '{"email": "no", "email": "a@b.c", "summary": {"percentage": 1, "percentage": 2}}')], "k int, value string")
+    assert tuple(inputs.parse_requests(twice).select("is_json", "email", "percentage").head()) == (True, "a@b.c", 2.0)
+
+
+def test_requests_are_scored_by_their_own_answers(spark):
+    bodies = ['{"answers": {"1": 4, "2": 2.5, "3": "4", "4": true, "5": null, "99": 4, "x": 1}}', '{"answers": []}', "{}", "{", json.dumps({"answers": {str(q): 4 for q in range(1, 16)}, "summary": {"percentage": 100}})]
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, value string")
+    got = {r.k: (r.raw_score, r.percentage, r.answered, r.is_complete, r.agrees) for r in scoring.recomputed(inputs.parse_requests(df)).collect()}
+    assert got == {0: (6.5, 11, 2, False, None), 1: (0.0, 0, 0, False, None), 2: (0.0, 0, 0, False, None), 3: (0.0, 0, 0, False, None), 4: (60.0, 100, 15, True, True)}
+
+
+def test_event_names_outside_the_catalogue(spark):
+    with pytest.raises(ValueError):
+        capture.event_payload_of("scorecard_finished")
+    assert set(capture.event_payload_of("landing_cta_clicked")) == {"location", "destination"}
+    df = spark.createDataFrame([(1, '{"eventName": "x"}'), (2, '{"eventName": 0}'), (3, "{"), (4, "3")], "k int, value string")
+    got = capture.validate_events(inputs.parse_requests(df)).select("k", "reject_reason", "status_code").collect()
+    assert sorted(map(tuple, got)) == [(1, None, 202), (2, "bad_event_name", 400), (3, "bad_json", 400), (4, "malformed", 400)]
+
+
+def test_stored_contexts_win(spark):
+    day = __import__("datetime").datetime(2024, 1, 1, 10)
+    visits = spark.createDataFrame([(1, day, 1, "/a?utm_source=n", "r"), (1, day, 2, "/b", "q"), (2, day, 3, "/c?gclid=1", None), (3, day, 4, "/d", "r")], "user_id long, ts timestamp, event_id long, url string, referrer string")
+    old = '{"sessionId": "s", "firstSeenAt": "t", "landingPage": "/l", "currentPage": "/p", "referrer": "", "utm": {"utm_source": "o"}}'
+    stored = spark.createDataFrame([(1, old), (2, "{"), (3, "null"), (4, old), (5, "[]"), (6, None)], "user_id long, stored string")
+    got = {r.user_id: r for r in capture.contexts_with_stored(visits, stored).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert tuple(got[1])[1:] == ("s", "t", "/l", "/b", "", {"utm_source": "o"}, True) and got[4].currentPage == "/p"
+    assert tuple(got[2])[1:] == ("session_2", "2024-01-01T10:00:00.000Z", "/c?gclid=1", "/c?gclid=1", "", {"gclid": "1"}, False) and not got[3].was_stored
+
+
+def test_rubric_tables(spark):
+    questions, bands = rubrics.standard(spark)
+    assert rubrics.faults(bands).collect() == []
+    odd = spark.createDataFrame([(1, 0, 39, "a"), (1, 39, 60, "b"), (1, 62, 90, "c"), (2, 1, 100, "d"), (3, 0, 50, "e"), (3, 51, 40, "f"), (4, 0, 100, "g")], rubrics.BANDS)
+    found = {(r.rubric_version, r.fault) for r in rubrics.faults(odd).collect()}
+    assert {(1, "overlap"), (1, "gap"), (2, "gap"), (3, "empty")} <= found and not any(v == 4 for v, _ in found)
+    latest = spark.createDataFrame([(1, 1, 1, 4), (1, 1, 2, None), (1, 1, 99, 4), (2, 9, 1, 4)], "respondent_id long, rubric_version int, question_id int, value int")
+    with pytest.raises(ValueError, match="version 1"):
+        rubrics.scores(latest, questions, odd)
+    r = rubrics.scores(latest, questions, bands).collect()
+    assert [(x.respondent_id, x.raw_score, x.percentage, x.answered, x.is_complete) for x in r] == [(1, 4, 7, 1, False)] and r[0].category_percentages[0].percentage == 33 and len(r[0].category_percentages) == 5
+    grid = {p.percentage: p.band for p in rubrics.by_percent(bands).collect()}
+    assert grid == {p: next(t for a, b, t in rubric.BANDS if a <= p <= b) for p in range(101)}
 
 
 def test_step_guards(spark):
