@@ -56,8 +56,8 @@ def quoted(name: str) -> str:
 
 
 def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
-    """df.mapInArrow(run, schema) for columns of any name: those with a dot, which it would take for a path, have another name inside."""
-    plain = {c: f"\u2024{k}" for k, c in enumerate(df.columns) if "." in c}
+    """df.mapInArrow(run, schema) for columns of any name: those that it would take for a path or a quotation have another name inside."""
+    plain = {c: f"\u2024{k}" for k, c in enumerate(df.columns) if "." in c or "`" in c}
     inner = StructType([StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
     return df.toDF(*[plain.get(c, c) for c in df.columns]).mapInArrow(run, inner).toDF(*schema.names)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from scoreloom.llm._common import slices, with_fields
+from scoreloom.llm._common import map_arrow, slices, with_fields
 
 #: The pattern that cuts text into words before merging, and Unicode's white space spelled out.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids, bounds = words.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=[*batch.schema.names, "ids"])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, "ids array<int>"))
+    return map_arrow(docs, run, with_fields(docs.schema, "ids array<int>"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -197,7 +197,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = words.decode(np.asarray(lists.flatten(), dtype=np.int64), bounds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, with_fields(encoded.schema, "decoded string"))
+    return map_arrow(encoded, run, with_fields(encoded.schema, "decoded string"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -8,10 +8,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import slices, text_bytes, with_fields
+from scoreloom.llm._common import map_arrow, slices, text_bytes, with_fields
 
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -143,24 +143,23 @@ def training_rows(docs: DataFrame, per_lang: int = 400, chars: int = 1200, langs
     """A bounded sample of labelled rows of docs (doc_id, text, lang): up to per_lang documents of each of the `langs` most common
     languages, the first by a hash of doc_id and text, and of each `chars` characters from a place that the hash picks as well.
 
-    The languages are counted first; then rows under a bound of the hash, by which each language gives about one and a half times
-    per_lang, come to the driver, however many files and rows there are. Rows without doc_id, text or lang aren't sampled.
+    Each language's different documents are counted first, approximately; then rows under a bound of the hash, by which each language
+    gives about one and a half times per_lang of these, are told apart and numbered, and the first per_lang come to the driver, however
+    many files and rows there are. Repeated rows count once, so they take no other document's or language's place. Rows without
+    doc_id, text or lang aren't sampled. An empty table gives no row.
     """
     digest = F.xxhash64(F.col("doc_id"), F.col("text"))
     start = F.pmod(digest, F.greatest(F.char_length("text") - chars, F.lit(1)).cast("long")).cast("int") + 1
     labelled = docs.where("lang is not null and text is not null and doc_id is not null and length(text) > 0")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(digest, 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
     if not counts:
         return []
     bounds = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * per_lang / r["n"])) for r in counts], "lang string, share double")
     cut = labelled.select("lang", "doc_id", digest.alias("digest"), F.substring(F.col("text"), start, F.lit(chars)).alias("text")).join(F.broadcast(bounds), "lang")
-    found = cut.where(F.pmod(F.shiftright("digest", 8), F.lit(1 << 40)) < F.col("share") * F.lit(float(1 << 40))).orderBy("digest", "doc_id", "lang", "text").limit(4 * per_lang * len(counts)).collect()
-    taken, rows = dict.fromkeys((r["lang"] for r in counts), 0), []
-    for r in found:
-        if taken[r["lang"]] < per_lang:
-            taken[r["lang"]] += 1
-            rows.append(r)
-    return rows
+    under = F.pmod(F.shiftright("digest", 8), F.lit(1 << 40)) < F.col("share") * F.lit(float(1 << 40))
+    different = cut.where(under).dropDuplicates(["lang", "digest"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
+    return different.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("digest", "lang").collect()
 
 
 def fit(docs: DataFrame, **how) -> Network:
@@ -191,4 +190,4 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             found = [(net.labels[b], float(share[k, b])) if ok and net.labels else ("und", 0.0) for k, (ok, b) in enumerate(zip(lettered, best))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([min(1.0, y) for _, y in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, with_fields(docs.schema, "lang_pred string, score double"))
+    return map_arrow(docs, run, with_fields(docs.schema, "lang_pred string, score double"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import kept, shuffle_partitions
+from scoreloom.llm._common import kept, quoted, shuffle_partitions
 
 LINES = "h1 long, h2 long, doc_id long, version long, pos int"
 #: kind 0: a line that goes; 1: a line of the first document of a partition's first key, to be held against earlier partitions;
@@ -127,7 +127,7 @@ def with_bitmaps(docs: DataFrame, **how) -> DataFrame:
     """(row, doc_id, text, n_dropped, bitmap): each row of docs, its columns other than text as the struct row; n_dropped and bitmap are null
     where nothing goes. So no name of docs clashes with these."""
     maps = keep_bitmaps(docs, **how).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "n_dropped", "bitmap")
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("version"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("version"))
     return rows.join(maps, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left").select("row", "doc_id", "text", "n_dropped", "bitmap")
 
 
@@ -163,4 +163,4 @@ def drop_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with repeated lines cut from their texts; other columns as they are, whatever their names. A text that loses every line
     becomes empty; a null text stays null. An empty table gives no row."""
     found = with_bitmaps(docs, **how)
-    return found.mapInArrow(_texts, found.schema).select(*[F.col("text" if c == "text" else f"row.{c}") for c in docs.columns])
+    return found.mapInArrow(_texts, found.schema).select(*[F.col("text" if c == "text" else f"row.{quoted(c)}").alias(c) for c in docs.columns])

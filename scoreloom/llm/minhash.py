@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import WORD, hot_keys, joined, kept, slices, written
+from scoreloom.llm._common import WORD, hot_keys, joined, kept, quoted, slices, written
 
 WORDS = re.compile(WORD.encode())
 ROWS = 5
@@ -355,4 +355,4 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     Rows that repeat the doc_id of a group's first all stay; rows whose doc_id is null stay.
     """
     found = near_duplicates(docs, **how)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*map(quoted, docs.columns))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import NULL_ID, kept, n_words, shuffle_partitions
+from scoreloom.llm._common import NULL_ID, kept, n_words, quoted, shuffle_partitions
 
 #: Expected copies are whole multiples of this share of a copy, so that prefix sums are exact in any order of adding.
 UNIT = 1 << 32
+#: So many of equal rows are numbered at a time.
+BLOCK = 1 << 20
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_copies: float = 2.0) -> DataFrame:
@@ -100,7 +104,9 @@ def mix(
     empty text has size 0. Sources without a word have target 0 and are never taken. An empty table gives no row.
     """
     units = _units(docs, n_words(F.col("text")) if size is None else size, weights, share, max_copies, seed)
-    each = units.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    # in two steps, so that no array is longer than BLOCK, however many equal rows there are
+    blocks = units.withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"), F.lit(BLOCK).cast("long"))))
+    each = blocks.withColumn("nth", F.explode(F.sequence("block", F.least("n_rows", F.col("block") + BLOCK - 1))))
     return each.select(F.nullif("key", F.lit(NULL_ID)).alias("doc_id"), "source", "size", "source_size", "target", _copies(F.col("nth")).alias("copies"))
 
 
@@ -110,7 +116,8 @@ def taken_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     Rows with one doc_id, source and text are numbered by a hash of all their columns. An empty table gives no row.
     """
     found = _units(docs, n_words(F.col("text")), weights, share, max_copies, seed).select("key", "named", "version", "before", "whole", "part")
-    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", *_keys("row."))
-    order = Window.partitionBy("key", "named", "version").orderBy(F.xxhash64("row"))
+    hashed = F.xxhash64(*[F.to_json(F.struct(quoted(f.name))) if re.search("map<|variant", f.dataType.simpleString()) else F.col(quoted(f.name)) for f in docs.schema])
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), hashed.alias("of_row")).select("row", "of_row", *_keys("row."))
+    order = Window.partitionBy("key", "named", "version").orderBy("of_row")
     copies = rows.join(found, ["key", "named", "version"]).withColumn("copies", _copies(F.row_number().over(order).cast("long")))
     return copies.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
