@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.llm import bpe, language_id, line_dedup, minhash, mixing
-from scoreloom.llm._common import WORD, written
+from scoreloom.llm._common import WORD, quoted, written
 
 #: A text with so many letters is told to be in another language than its lang says if its score is higher than those of this share
 #: of the held-out documents that are told rightly, and no less than SURE.
@@ -23,10 +23,11 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned while the network tells another, surer than it is of CONTRADICTED of those told rightly. A document that has a lang keeps it; one that has none gets
     the predicted one. Where no row has a lang nothing can be told and no row stays; an empty table gives none.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", "text", "lang")
     net = language_id.fit(docs.where(~language_id.held_out_of(F.col("doc_id"))))
     found = language_id.predict(rows, net)
-    right = found.where(language_id.held_out_of(F.col("doc_id")) & (F.col("lang") == F.col("lang_pred")))
+    held_out = rows.where(language_id.held_out_of(F.col("doc_id")) & F.col("lang").isNotNull())
+    right = language_id.predict(held_out, net).where(F.col("lang") == F.col("lang_pred"))
     guess = 1 / max(len(net.labels), 1)
     by_lang = right.groupBy("lang_pred").agg(F.percentile_approx("score", [TAIL, CONTRADICTED], 10000).alias("q")).collect()  # one row per learned language
     of = lambda k, default: F.coalesce(*[F.when(F.col("lang_pred") == r["lang_pred"], F.lit(r["q"][k])) for r in by_lang], F.lit(default))
@@ -34,13 +35,13 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = (F.col("lang") != F.col("lang_pred")) & F.col("lang").isin(net.labels)
     other = learned & (F.col("score") >= F.greatest(of(1, 1.0), F.lit(SURE))) & (F.regexp_count("text", F.lit(r"\p{L}")) >= LETTERS)
     stay = found.where(told & ~F.coalesce(other, F.lit(False)))
-    return stay.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.{c}") for c in docs.columns])
+    return stay.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that another document has first; what has no word left goes. n_chars is that of the new text."""
     cut = line_dedup.drop_lines(docs).where(F.col("text").rlike(WORD))
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*map(quoted, docs.columns))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
