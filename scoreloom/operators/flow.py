@@ -54,7 +54,11 @@ def with_email_flag(state: DataFrame) -> DataFrame:
 
 
 def runs(log: DataFrame, is_restart) -> DataFrame:
-    """log (respondent_id, ts, event_id) with run: how many restarts its respondent made up to and with the row."""
+    """log (respondent_id, ts, event_id) with run: how many restarts its respondent made up to and with the row.
+
+    Each row needs its respondent's restarts before it, so a respondent's rows are sorted in one task: its largest one is as long as the most
+    active respondent is. streaming.respondents.live_views keeps the count as state instead.
+    """
     order = Window.partitionBy("respondent_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return log.withColumn("run", F.coalesce(F.sum(is_restart.cast("long")).over(order), F.lit(0)))
 
@@ -64,12 +68,6 @@ def once_per_run(log: DataFrame, is_view) -> DataFrame:
     return log.where(is_view).groupBy("respondent_id", "run").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-def since_restart(log: DataFrame) -> DataFrame:
-    """The rows of each respondent's latest run."""
-    newest = F.max("run").over(Window.partitionBy("respondent_id"))
-    return log.withColumn("_newest", newest).where(F.col("run") == F.col("_newest")).drop("_newest")
-
-
 def rows_since_restart(log: DataFrame, is_restart) -> DataFrame:
     """(respondent_id, run, n): each respondent's restarts, and rows from the last of these on, with it; all rows if there was none.
 

@@ -75,7 +75,8 @@ def results_viewed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_since_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.since_restart(_log(spark, sf_dir)).groupBy("respondent_id").agg(F.max("run").alias("run"), F.count("*").alias("n"))
+    events = inputs.table(spark, sf_dir, "events").select(F.col("user_id").alias("respondent_id"), "ts", "event_id", "event_type")
+    return flow.rows_since_restart(events, F.col("event_type") == "error")
 
 
 def utm_params(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,6 +270,21 @@ def test_rubric_tables(spark):
     assert grid == {p: next(t for a, b, t in rubric.BANDS if a <= p <= b) for p in range(101)}
 
 
+def test_ids_and_states_to_store(spark):
+    df = spark.range(500).withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).select(rules.session_id().alias("a"), rules.fallback_session_id(F.col("at")).alias("b"), rules.session_id(3).alias("c"))
+    rows = df.collect()
+    assert len({r.a for r in rows}) == len({r.b for r in rows}) == 500 and all(__import__("uuid").UUID(r.a) for r in rows)
+    assert all(__import__("re").fullmatch(r"session_1704067200000_[0-9a-f]+", r.b) for r in rows)
+    stored = spark.createDataFrame([(1, '{"1":4}', "a@b.c", "d", "true"), (2, None, None, None, "false")], "respondent_id long, answers string, email string, discord string, unlocked string")
+    assert sorted(map(tuple, inputs.states_to_store(inputs.stored_states(stored)).collect())) == sorted(map(tuple, stored.collect()))
+
+
+def test_rows_since_restart(spark):
+    log = log_of(spark, [(1, 1, 4, "answer"), (1, 1, 4, "restart"), (1, 1, 4, "answer"), (1, 1, 4, "answer"), (2, 1, 1, "answer"), (3, 1, 1, "restart"), (3, 1, 1, "restart")])
+    got = {r.respondent_id: (r.run, r.n) for r in flow.rows_since_restart(log, F.col("is_restart")).collect()}
+    assert got == {1: (1, 3), 2: (0, 1), 3: (2, 1)} and "Window" not in plan_of(flow.rows_since_restart(log, F.col("is_restart")))
+
+
 def test_step_guards(spark):
     df = spark.createDataFrame([(0, False, False, False), (14, True, True, True), (3, True, False, False)], "step int, answered_current boolean, is_complete boolean, unlocked boolean")
     got = flow.step(df).collect()
