@@ -50,6 +50,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: With this set, Spark removes the shuffle files of an action when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The intermediate tables of one run, in a folder of the shared one that is deleted, with all of them, at the end of `with`.
+
+    What outlives the run is written elsewhere before. Within `with` the session removes shuffle files after each action (CLEANUP), so what
+    isn't in a table of the run is computed again by a second action. An error deletes the folder too.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None):
+        self.spark, self.path, self._tables = spark, path or shared_dir(spark, name), []
+
+    def __enter__(self) -> Scratch:
+        self._before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(CLEANUP, self._before)
+        deleted(self.spark, self.path)
+
+    def part(self) -> Scratch:
+        """For tables that are needed in a part of the run only."""
+        return Scratch(self.spark, "", f"{self.path}/part-of-{uuid.uuid4().hex}")
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes what `written` returned here; other frames are left alone. Nothing that is computed later may read them."""
+        for table, path in self._tables:
+            if any(table is x for x in tables):
+                deleted(self.spark, path)
+        self._tables = [x for x in self._tables if not any(x[0] is y for y in tables)]
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression that means just this column, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

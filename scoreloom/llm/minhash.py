@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm._common import WORD, hot_keys, joined, kept, quoted, slices, written
+from scoreloom.llm._common import WORD, Scratch, hot_keys, joined, quoted, slices, written
 
 WORDS = re.compile(WORD.encode())
 ROWS = 5
@@ -135,37 +135,43 @@ def _sets(width: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, run: Scratch | None = None) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node that links lead to.
 
     Rounds of the least label among neighbours, then of that label's own label, until nothing changes: chains halve every round.
-    Each round is checkpointed, so neither its plan nor a lost executor's work grows. Nodes with very many links, and components
-    with very many nodes, are spread over tasks.
+    Each round is written as a table of run (by default, one that stays in the shared folder), so neither its plan nor a lost executor's
+    work grows, and deleted after the next. Nodes with very many links, and components with very many nodes, are spread over tasks.
     """
-    both = kept(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    run = run or Scratch(edges.sparkSession, "components")
+    both = run.written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"])
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")).select("node", "component"))
+    labels = run.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")).select("node", "component"), "labels")
     while True:
         other = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
         least = joined(both, other, ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        near = kept(labels.join(least, "node", "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("theirs", "component")).alias("component")))
+        nearest = F.least("component", F.coalesce("theirs", "component")).alias("component")
+        near = run.written(labels.join(least, "node", "left").select("node", F.col("component").alias("before"), nearest), "near")
         root = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = kept(joined(near, root, ["component"], "left").select("node", "before", F.least("component", F.coalesce("root", "component")).alias("component")))
-        labels = new.select("node", "component")
+        new = run.written(joined(near, root, ["component"], "left").select("node", "before", F.least("component", F.coalesce("root", "component")).alias("component")), "labels")
+        run.drop(near, labels)
+        labels = new
         if not new.where("before <> component").take(1):
-            return labels
+            run.drop(both)
+            return new.select("node", "component")
 
 
-def _labels_with(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _labels_with(labels: DataFrame, links: DataFrame, run: Scratch) -> DataFrame:
     """labels (cid, component) after more links (a, b); what has no link has no row."""
     if not links.take(1):
         return labels
-    ends = links.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    known = kept(labels.unionByName(ends.join(labels, "cid", "left_anti").withColumn("component", F.col("cid"))))
-    at = lambda end: known.select(F.col("cid").alias(end), F.col("component").alias(f"of_{end}"))
-    across = kept(joined(kept(joined(links, at("a"), ["a"])), at("b"), ["b"]).where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
-    roots = components(across).select(F.col("node").alias("component"), F.col("component").alias("root"))
-    return written(joined(known, roots, ["component"], "left").select("cid", F.coalesce("root", "component").alias("component")), "labels")
+    with run.part() as own:
+        ends = links.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        known = own.written(labels.unionByName(ends.join(labels, "cid", "left_anti").withColumn("component", F.col("cid"))), "known")
+        at = lambda end: known.select(F.col("cid").alias(end), F.col("component").alias(f"of_{end}"))
+        half = own.written(joined(links, at("a"), ["a"]), "half")
+        across = joined(half, at("b"), ["b"]).where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        roots = components(own.written(across, "across"), own).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        return run.written(joined(known, roots, ["component"], "left").select("cid", F.coalesce("root", "component").alias("component")), "labels")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,16 +196,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _with_sets(pairs, sets, "a", "b").where(F.lit(100) * shared >= F.lit(percent) * union).select("a", "b")
 
 
-def _open(rows: DataFrame) -> tuple[DataFrame, list]:
+def _open(rows: DataFrame, run: Scratch, own: Scratch) -> tuple[DataFrame, list]:
     """The rows (b1, b2, side, cid, component, n_shingles, s1, s2) of buckets that may still hold a link across components, with the
     number n of the bucket's rows; and the hot buckets. Of buckets with the same members (by 128 bits), as those of copies with one
-    small difference are in most bands, one stays."""
+    small difference are in most bands, one stays. The result is a table of run; what it takes to make it, of own."""
     members = [F.bit_xor(F.xxhash64("cid", "side", F.lit(k))).alias(f"members_{k}") for k in range(2)]
     sizes = rows.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.bit_or("side").alias("sides"), *members)
     sizes = sizes.where("least < most and sides = 3").groupBy("n", "members_0", "members_1").agg(F.min(F.struct("b1", "b2")).alias("b")).select("b.b1", "b.b2", "n")
-    sizes = written(sizes, "buckets")
+    sizes = own.written(sizes, "buckets")
     hot = hot_keys(sizes, ["b1", "b2"])
-    return written(joined(rows, sizes, ["b1", "b2"], hot=hot), "members"), hot
+    return run.written(joined(rows, sizes, ["b1", "b2"], hot=hot), "members"), hot
 
 
 def _met(small: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, Column]:
@@ -223,7 +229,7 @@ def _links_of_small(small: DataFrame, differs: DataFrame, percent: int) -> DataF
     return x.join(y, met & (F.lit(100 + percent) * shared >= F.col("x_weight") + F.col("y_weight") - F.col("x_room"))).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
 
-def _spokes(large: DataFrame, classes: DataFrame, hot: list, shared: bool) -> DataFrame:
+def _spokes(large: DataFrame, classes: DataFrame, hot: list, shared: bool, own: Scratch) -> DataFrame:
     """The rows of large buckets, each with its bucket's centre (centre, c_component, c_shingles); the centre's own row is left out. classes:
     (cid, component, n_shingles). shared: whether buckets may take another's centre (see _shared_centres).
 
@@ -242,9 +248,9 @@ def _spokes(large: DataFrame, classes: DataFrame, hot: list, shared: bool) -> Da
     far = F.bit_count(F.col("s1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("m2")))
     centres = joined(large, said, ["b1", "b2"], hot=hot).groupBy("b1", "b2").agg(F.min(F.struct(far.alias("far"), "cid")).alias("x")).select("b1", "b2", F.col("x.cid").alias("centre"))
     if shared:
-        centres = _shared_centres(large, written(centres, "centres"), hot)
-    own = classes.select(F.col("cid").alias("centre"), F.col("component").alias("c_component"), F.col("n_shingles").alias("c_shingles"))
-    return joined(large, centres.join(own, "centre"), ["b1", "b2"], hot=hot).where("cid <> centre")
+        centres = _shared_centres(large, own.written(centres, "centres"), hot)
+    of_centre = classes.select(F.col("cid").alias("centre"), F.col("component").alias("c_component"), F.col("n_shingles").alias("c_shingles"))
+    return joined(large, centres.join(of_centre, "centre"), ["b1", "b2"], hot=hot).where("cid <> centre")
 
 
 def _shared_centres(large: DataFrame, centres: DataFrame, hot: list) -> DataFrame:
@@ -259,7 +265,7 @@ def _shared_centres(large: DataFrame, centres: DataFrame, hot: list) -> DataFram
     return rows.join(best, "cid").groupBy("b1", "b2").agg(F.max("known").alias("known")).select("b1", "b2", F.col("known.centre").alias("centre"))
 
 
-def _by_difference(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _by_difference(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, run: Scratch, own: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members of large buckets, dealt to buckets of the next step: by what they have differently from their centre. And the differences.
 
     Let a member lack M of the centre's shingles and have E of its own. Two members that share s of these differences are linked if
@@ -271,21 +277,22 @@ def _by_difference(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percen
     side 3: both not linked with the centre; 1 and 2: one that isn't, and one that is; only buckets with both matter then.
     """
     attributes = ["component", "n_shingles", "s1", "s2"]
-    found = written(_labelled(spokes.select("centre", "cid", "n_shingles", "s1", "s2").distinct(), labels), "spokes")
+    found = own.written(_labelled(spokes.select("centre", "cid", "n_shingles", "s1", "s2").distinct(), labels), "spokes")
     by_centre = found.groupBy("centre").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-    by_centre = kept(by_centre.where("least < most"))
+    by_centre = own.written(by_centre.where("least < most"), "by-centre")
     hot = hot_keys(by_centre, ["centre"])
-    both = _with_sets(kept(joined(found, by_centre.select("centre"), ["centre"], hot=hot)), sets, "cid", "centre")
-    own, lacks = F.array_except("a_set", "b_set"), F.array_except("b_set", "a_set")
-    differs = both.select("centre", "cid", *attributes, F.size("b_set").alias("size"), own.alias("own"), lacks.alias("lacks"))
+    both = _with_sets(own.written(joined(found, by_centre.select("centre"), ["centre"], hot=hot), "compared"), sets, "cid", "centre")
+    more, lacks = F.array_except("a_set", "b_set"), F.array_except("b_set", "a_set")
+    differs = both.select("centre", "cid", *attributes, F.size("b_set").alias("size"), more.alias("own"), lacks.alias("lacks"))
     weight, room = (F.lit(percent) * F.size("own") + F.lit(100) * F.size("lacks")).cast("long"), F.lit(100 - percent) * F.col("size")
     near, away = (F.floor(x / F.lit(100 + percent)).cast("int") for x in (weight, weight - room - 1))
     kinds = F.when(weight <= room, F.array(F.struct(F.lit(2).alias("side"), near.alias("spare")))).otherwise(
         F.array(F.struct(F.lit(3).alias("side"), near.alias("spare")), F.struct(F.lit(1).alias("side"), away.alias("spare")))
     )
-    differs = written(differs.select("centre", "cid", *attributes, F.concat("own", "lacks").alias("tokens"), weight.alias("weight"), room.cast("long").alias("room"), kinds.alias("kinds")), "differences")
+    told = [F.concat("own", "lacks").alias("tokens"), weight.alias("weight"), room.cast("long").alias("room"), kinds.alias("kinds")]
+    differs = run.written(differs.select("centre", "cid", *attributes, *told), "differences")
     tokens = differs.select("centre", "cid", F.explode("tokens").alias("token"))
-    often = kept(tokens.groupBy("centre", "token").agg(F.count("*").alias("n")).where("n > 1"))
+    often = own.written(tokens.groupBy("centre", "token").agg(F.count("*").alias("n")).where("n > 1"), "often")
     shared = joined(tokens, often, ["centre", "token"], hot=hot_keys(often, ["centre", "token"])).groupBy("centre", "cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
     both = differs.select("centre", "cid", *attributes, F.inline("kinds")).join(shared, ["centre", "cid"])
     first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") - F.col("spare")))
@@ -308,45 +315,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Null and empty texts have no shingle and link to nothing; neither do rows whose doc_id is null, whose component_id is null.
     All rows of one doc_id share their component, which links of each of their texts lead to. An empty table gives none.
     """
+    with Scratch(docs.sparkSession, "minhash") as run:
+        return written(_classed(docs, width, percent, run), "near-duplicates")
+
+
+def _classed(docs: DataFrame, width: int, percent: int, run: Scratch) -> DataFrame:
+    """What near_duplicates returns, still to be computed from tables of run."""
     columns = "doc_id long, version long, n_shingles long, digest binary, bands array<long>, s1 long, s2 long"
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
-    sketched = written(texts.mapInArrow(_sketched(width, bands_for(percent / 100)), columns), "sketches")
+    sketched = run.written(texts.mapInArrow(_sketched(width, bands_for(percent / 100)), columns), "sketches")
     rows = sketched.where("doc_id is not null and n_shingles > 0").select("doc_id", "version", "digest", "n_shingles", "bands", "s1", "s2")
     firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("first")).select("digest", "first.*")
     key = ["digest", "doc_id", "version"]
-    classes = kept(rows.join(firsts, key, "left_semi").dropDuplicates(key).withColumn("cid", F.monotonically_increasing_id()))
-    placed = kept(joined(rows.select("doc_id", "digest"), classes.select("digest", "cid"), ["digest"]).select("doc_id", "cid").distinct())
-    several = placed.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("last"), F.count("*").alias("n")).where("a < last")
-    repeats = kept(joined(placed, several.select("doc_id", "a"), ["doc_id"], hot=hot_keys(several, ["doc_id"])).where("cid <> a").select("a", F.col("cid").alias("b")))
-    spark = docs.sparkSession
-    labels = _labels_with(spark.createDataFrame([], "cid long, component long"), repeats)
-
-    banded = _labelled(classes, labels).select("cid", "component", "n_shingles", "s1", "s2", F.posexplode("bands").alias("b1", "b2"), F.lit(3).alias("side"))
-    opened, hot = _open(banded.withColumn("b1", F.col("b1").cast("long")))
+    classes = run.written(rows.join(firsts, key, "left_semi").dropDuplicates(key).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    placed = run.written(joined(rows.select("doc_id", "digest"), classes.select("digest", "cid"), ["digest"]).select("doc_id", "cid").distinct(), "placed")
+
+    labels = _linked_classes(texts, classes, placed, width, percent, run)
+    found = run.written(_labelled(classes.select("cid", "doc_id"), labels), "found")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = joined(found, least, ["component"]).select("cid", "component_id")
+    of_doc = joined(placed, of_class, ["cid"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return sketched.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _linked_classes(texts: DataFrame, classes: DataFrame, placed: DataFrame, width: int, percent: int, run: Scratch) -> DataFrame:
+    """(cid, component) of the classes that have a link, also by a doc_id with several texts. Each round's tables go when it is over, but for what the next reads."""
+    spark = run.spark
+    labels = spark.createDataFrame([], "cid long, component long")
+    with run.part() as own:
+        several = placed.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("last"), F.count("*").alias("n")).where("a < last")
+        repeats = joined(placed, several.select("doc_id", "a"), ["doc_id"], hot=hot_keys(several, ["doc_id"])).where("cid <> a").select("a", F.col("cid").alias("b"))
+        labels = _labels_with(labels, own.written(repeats, "repeats"), run)
+        banded = _labelled(classes, labels).select("cid", "component", "n_shingles", "s1", "s2", F.posexplode("bands").alias("b1", "b2"), F.lit(3).alias("side"))
+        opened, hot = _open(banded.withColumn("b1", F.col("b1").cast("long")), run, own)
     wanted = classes.join(opened.select("cid").distinct(), "cid", "left_semi").select("doc_id", "version", "cid")
-    sets = written(texts.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("cid", "text").mapInArrow(_sets(width), "cid long, shingles array<long>"), "sets")
+    wanted = texts.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("cid", "text")
+    sets = run.written(wanted.mapInArrow(_sets(width), "cid long, shingles array<long>"), "sets")
     sizes = classes.select("cid", "n_shingles")
     tried, differs = spark.createDataFrame([], "a long, b long"), None
     while opened.take(1):
+        before = [opened, labels, differs]
         most = SMALL if differs is None else COMPARED
-        small, spokes = opened.where(F.col("n") <= most), written(_spokes(opened.where(F.col("n") > most), _labelled(sizes, labels), hot, differs is None), "spokes")
-        with_centre = spokes.where("component <> c_component").where(_alike_in_size("n_shingles", "c_shingles", percent))
-        pairs = with_centre.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))
-        pairs = pairs.union(_pairs_of_small(small, percent)) if differs is None else pairs
-        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = _linked(pairs, sets, percent)
-        links = written(links if differs is None else links.union(_links_of_small(small, differs, percent)), "links")
-        tried, labels = tried.union(pairs), _labels_with(labels, links)
-        if not spokes.take(1):
-            break
-        dealt, differs = _by_difference(spokes, labels, sets, percent)
-        opened, hot = _open(dealt)
-
-    found = kept(_labelled(classes.select("cid", "doc_id"), labels))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = joined(found, least, ["component"]).select("cid", "component_id")
-    of_doc = joined(placed, of_class, ["cid"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return sketched.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        with run.part() as own:
+            small = opened.where(F.col("n") <= most)
+            spokes = own.written(_spokes(opened.where(F.col("n") > most), _labelled(sizes, labels), hot, differs is None, own), "spokes")
+            with_centre = spokes.where("component <> c_component").where(_alike_in_size("n_shingles", "c_shingles", percent))
+            pairs = with_centre.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))
+            pairs = pairs.union(_pairs_of_small(small, percent)) if differs is None else pairs
+            pairs = run.written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            links = _linked(pairs, sets, percent)
+            links = own.written(links if differs is None else links.union(_links_of_small(small, differs, percent)), "links")
+            tried, labels = tried.union(pairs), _labels_with(labels, links, run)
+            if not spokes.take(1):
+                break
+            dealt, differs = _by_difference(spokes, labels, sets, percent, run, own)
+            opened, hot = _open(dealt, run, own)
+        run.drop(*[x for x in before if x is not labels])
+    run.drop(sets)
+    return labels
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
