@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm._common import WORD, slices, written
@@ -33,7 +34,8 @@ SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 
 
 class Band(NamedTuple):
-    """What a text of a script or language must keep to. Entropy counts only from min_tokens tokens on."""
+    """What a text of a script or language must keep to. Below min_tokens tokens min_entropy falls as the logarithm of their number does,
+    which is the most that so few tokens can have."""
 
     min_chars_per_token: float
     max_chars_per_token: float
@@ -42,8 +44,9 @@ class Band(NamedTuple):
     min_tokens: int = 50
 
 
-#: For texts with fewer than LEAST others to compare with. Prose in the vocabulary's own scripts takes 2 to 6 characters a token; in
-#: scripts whose letters it has, near one and few bytes; of those under `*` it lacks some wholly: bytes only, 3 a character.
+#: For texts of languages and scripts with fewer than LEAST sound ones, by vocabularies of pieces. Prose in the vocabulary's own scripts takes
+#: 2 to 6 characters a token; in scripts whose letters it has, near one and few bytes; of those under `*` it lacks some wholly: bytes only, 3 a
+#: character.
 BANDS = {
     "latin": Band(1.0, 12.0, 0.25, 3.0),
     "cyrillic": Band(0.9, 12.0, 0.35, 3.0),
@@ -52,8 +55,23 @@ BANDS = {
     "*": Band(0.3, 6.0, 1.0, 2.5),
 }
 
-#: Bands from the documents need so many different ones of a language (or script) and size.
+#: The same by byte-level vocabularies made for many languages. A paragraph of prose measured 4.2 characters a token in latin, 2.9 in cyrillic,
+#: 1.5 to 1.8 in greek, arabic and hebrew, near one in thai, kana, hangul, han and indic, 0.8 and 0.4 in two scripts that it hardly has; parts of
+#: characters were under 0.04 of all tokens in the first four, 0.19 in hebrew, 0.14 to 0.53 in the next five, and up to all in the last.
+BYTE_BANDS = {
+    "latin": Band(1.0, 12.0, 0.25, 3.0),
+    "cyrillic": Band(0.9, 12.0, 0.35, 3.0),
+    "greek": Band(0.6, 12.0, 0.4, 3.0),
+    **dict.fromkeys(("arabic", "hebrew", "thai", "kana"), Band(0.5, 6.0, 0.5, 3.0)),
+    **dict.fromkeys(("han", "indic"), Band(0.4, 6.0, 0.7, 3.0)),
+    "hangul": Band(0.4, 6.0, 0.9, 3.0),
+    "*": Band(0.3, 6.0, 1.0, 2.5),
+}
+
+#: Bands from the documents need so many different ones of a language (or script) and size; where there are fewer, those of sizes so many
+#: classes smaller or larger count too, the first of these that has enough, and the last has all.
 LEAST = 50
+REACH = (0, 1, 2, 4, 8, 64)
 #: How many quartile distances from the median a text may be, and (by 1 / sqrt(tokens), times the median) the least such distance.
 FAR_CHARS, FAR_ENTROPY, FAR_BYTES, LEAST_SPREAD = 4, 3, 4, 0.3
 
@@ -241,20 +259,39 @@ def verdict(script: str, lang: str | None, n_tokens: int, chars_per_token: float
         n_tokens > 0
         and band.min_chars_per_token <= chars_per_token <= band.max_chars_per_token
         and byte_share <= band.max_byte_share
-        and (n_tokens < band.min_tokens or entropy >= band.min_entropy)
+        and entropy >= band.min_entropy * min(1.0, math.log2(n_tokens) / math.log2(band.min_tokens))
     )
 
 
+def fixed_bands(path: str) -> dict[str, Band]:
+    """BANDS or BYTE_BANDS, by what kind of vocabulary is at path."""
+    return BYTE_BANDS if path.endswith(".tiktoken") else BANDS
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, to be sent to all tasks if it is small."""
+    return F.broadcast(table) if table.count() <= SENT_BANDS else table
+
+
 def derived_bands(found: DataFrame, ends: list[str], *names: str) -> DataFrame:
     """(names, size, and BOUNDS of each vocabulary): bands from the quartiles of measured rows, by names and size.
 
-    size: the power of two under a text's tokens, as measures of short texts differ more. Rows that agree in their measures count once,
-    so copies of a text have no weight. Rows that failed don't count. ends: what the measures' names end in, by vocabulary.
+    size: the power of two under a text's tokens, as measures of short texts differ more. A size with fewer than LEAST different rows takes its
+    neighbours in, as REACH says; as a text cut in half has at most about one bit of entropy less, a larger row counts there with a bit less for
+    each class between. Only names with fewer than LEAST rows in all have no band. Rows that agree in their measures count once, so copies of a
+    text have no weight. Rows that failed don't count. ends: what the measures' names end in, by vocabulary.
     """
     columns = [c + end for end in ends for c in BANDED]
     sound = found.where(~F.col("base_failed") & (F.col("n_tokens") > 0)).where(" and ".join(f"{n} is not null" for n in names))
-    each = sound.select(*names, "size", "n_tokens", "word_chars", *(F.round(c, 3).alias(c) for c in columns)).distinct()
-    by = each.groupBy(*names, "size").agg(F.count("*").alias("n"), *(F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns)).where(F.col("n") >= LEAST)
+    each = written(sound.select(*names, "size", "n_tokens", "word_chars", *(F.round(c, 3).alias(c) for c in columns)).distinct(), "measures")
+    order = Window.partitionBy(*names).orderBy("size")
+    reach = F.coalesce(*(F.when(F.sum("n").over(order.rangeBetween(-r, r)) >= LEAST, r) for r in REACH))
+    sizes = each.groupBy(*names, "size").agg(F.count("*").alias("n")).withColumn("reach", reach).where("reach is not null")
+    taken = sizes.select(*names, F.col("size").alias("of"), F.explode(F.sequence(F.col("size") - F.col("reach"), F.col("size") + F.col("reach"))).alias("size"))
+    rows = each.join(_sent(written(taken, "sizes")), [*names, "size"])
+    less = F.greatest(F.col("size") - F.col("of"), F.lit(0))
+    rows = rows.select(*names, F.col("of").alias("size"), *((F.col(c) - less if c.startswith("token_entropy") else F.col(c)).alias(c) for c in columns))
+    by = rows.groupBy(*names, "size").agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns))
     bounds = []
     for end in ends:
         c, e, b = (F.col(x + end) for x in BANDED)
@@ -267,7 +304,7 @@ def derived_bands(found: DataFrame, ends: list[str], *names: str) -> DataFrame:
 def _with_bands(rows: DataFrame, ends: list[str], names: list[str], column: str) -> DataFrame:
     bounds = F.struct(*(b + end for end in ends for b in BOUNDS)).alias(column)
     bands = written(derived_bands(rows, ends, *names).select(*names, "size", bounds), "bands")
-    return rows.join(F.broadcast(bands) if bands.count() <= SENT_BANDS else bands, [*names, "size"], "left")
+    return rows.join(_sent(bands), [*names, "size"], "left")
 
 
 def judged(found: DataFrame, n_vocabularies: int) -> DataFrame:
@@ -286,23 +323,31 @@ def judged(found: DataFrame, n_vocabularies: int) -> DataFrame:
     return rows.withColumn("kept", F.when(band.isNull() | F.col("base_failed"), F.col("kept")).otherwise(fits)).select(*(c for c in found.columns if c != "lang"))
 
 
-def measure(docs: DataFrame, vocabularies: list[str] | None = None, bands: dict[str, Band] | None = None, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def measure(
+    docs: DataFrame,
+    vocabularies: list[str] | None = None,
+    bands: dict[str, Band] | list[dict[str, Band]] | None = None,
+    min_words: int = 20,
+    max_repeat_percent: int = 30,
+) -> DataFrame:
     """The measures of each row of docs (doc_id, text, lang): doc_id, base_failed, kept, then TEXT_MEASURES and each vocabulary's TOKEN_MEASURES.
 
     Each word (between white space of ASCII) is cut into pieces of each of the vocabularies (paths) on its own, so equal words are cut
     once. chars_per_token: characters of words per piece; byte_share: pieces that stand for a single byte or part of a character, as the
     vocabulary lacks the character; token_entropy: bits of the text's own distribution of pieces.
 
-    Bands that are given go by script ("latin") or language ("lang:de") and are for the first vocabulary. Without them they come, for
-    every vocabulary, from the documents themselves: see derived_bands; BANDS are for languages and scripts with too few. The measures
-    are written to the shared folder for that.
+    Bands that are given go by script ("latin") or language ("lang:de"); a list has those of each vocabulary, others are for the first.
+    Without them they come, for every vocabulary, from the documents themselves: see derived_bands; fixed_bands are for languages and scripts
+    with too few. The measures are written to the shared folder for that.
 
     base_failed: fewer than min_words words, or over max_repeat_percent percent of them in 8-word windows that occur again. kept:
-    not base_failed, and within the bands. Null and empty texts have no words and fail. Every row is measured alone, in its own task.
+    not base_failed, and within the bands. Null and empty texts have no words and fail. Every row is measured alone, whatever its length, and
+    repeated rows alike. An empty table gives no row.
     """
-    paths, derive, bands = vocabularies or default_vocabularies(), bands is None, bands or BANDS
+    paths, derive = vocabularies or default_vocabularies(), bands is None
+    given = [fixed_bands(path) for path in paths] if bands is None else [bands] if isinstance(bands, dict) else bands
     names = [x.split()[0] for x in measures(len(paths)).split(", ")]
-    of_verdict = [names.index(x) for x in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")]
+    of_verdict = [[names.index(x + end) for x in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")] for end in suffixes(len(paths))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [_pieces(path) for path in paths]
@@ -310,8 +355,9 @@ def measure(docs: DataFrame, vocabularies: list[str] | None = None, bands: dict[
             columns = _measured([t or "" for t in batch.column("text").to_pylist()], *known)
             n_words, repeats = np.asarray(columns[0]), np.asarray(columns[names.index("n_repeat_words")])
             failed = (n_words < min_words) | (100 * repeats > max_repeat_percent * n_words)
-            of_text = zip(columns[names.index("script")].to_pylist(), batch.column("lang").to_pylist(), *(columns[k].to_pylist() for k in of_verdict))
-            fits = np.array([verdict(*x, bands) for x in of_text], bool)
+            of_text, fits = (columns[names.index("script")].to_pylist(), batch.column("lang").to_pylist()), np.ones(batch.num_rows, bool)
+            for own, at in zip(given, of_verdict):
+                fits &= np.array([verdict(*x, own) for x in zip(*of_text, *(columns[k].to_pylist() for k in at))], bool)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(failed), pa.array(~failed & fits), *columns, batch.column("lang")], names=["doc_id", "base_failed", "kept", *names, "lang"])
 
     found = docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, base_failed boolean, kept boolean, {measures(len(paths))}, lang string")

@@ -257,12 +257,26 @@ PROSE = {
 }
 
 
+def test_fertility_sizes_with_few_texts_take_neighbours_in(spark):
+    """80 texts of prose in one size class judge random words in others; prose of other sizes stays, and its place among few or many is no matter."""
+    prose = PROSE["latin"].split() * 400
+    rng = random.Random(12)
+    said = lambda n: " ".join(rng.choices(prose, k=n))
+    rows = [(k, said(rng.randint(140, 200)), "en") for k in range(80)] + [(100 + k, said(n), "en") for k, n in enumerate((30, 45, 90, 320, 700, 3000, 20_000))]
+    rows += [(1000 + k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)), "en") for k, n in enumerate((25, 60, 400, 5000))]
+    rows += [(2000, "", "en"), (2001, None, None)]
+    got = {r.doc_id for r in fertility.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert got == {d for d, _, _ in rows if d < 1000}
+
+
+@pytest.mark.parametrize("vocabulary", [0, 1])
 @pytest.mark.parametrize("script", sorted(PROSE))
-def test_fertility_fixed_bands_keep_prose_and_reject_junk(script):
+def test_fertility_fixed_bands_keep_prose_and_reject_junk(script, vocabulary):
     def fits(text):
-        m = [c[0].as_py() for c in fertility._measured([text], fertility._pieces(fertility.default_vocabularies()[0]))]
+        path = fertility.default_vocabularies()[vocabulary]
+        m = [c[0].as_py() for c in fertility._measured([text], fertility._pieces(path))]
         assert m[5] == script
-        return fertility.verdict(script, None, m[6], m[7], m[9], m[10], fertility.BANDS)
+        return fertility.verdict(script, None, m[6], m[7], m[9], m[10], fertility.fixed_bands(path))
 
     assert fits(PROSE[script])
     letter = next(c for c in PROSE[script] if ord(c) > 0x40 and c.isalpha())
