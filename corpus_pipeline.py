@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from scoreloom.llm import bpe, language_id, line_dedup, minhash, mixing
 from scoreloom.llm._common import WORD, Scratch, quoted
 
-#: A text with so many letters is told to be in another language than its lang says if its score is higher than those of this share
-#: of the held-out documents that are told rightly, and no less than SURE.
-CONTRADICTED, SURE, LETTERS = 0.25, 0.8, 200
+#: A text is told to be in another language than its lang says if its score is higher than those of this share of the held-out documents
+#: that are told rightly to be in that language, and no less than SURE. Short texts need no bound of their own, as their scores are lower.
+CONTRADICTED, SURE = 0.25, 0.8
 #: Of held-out documents whose language is told rightly, this share has lower scores than the one that the bound is set by.
 TAIL = 0.01
 
@@ -19,9 +19,10 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a letter whose language is told; the network learns from their own labels, but for the third that is held out.
 
     Rejected: texts that are null or have no letter; those with a score under the middle between a guess (1 of all languages) and what
-    all but TAIL of the held-out documents that are rightly told to be in that language have; and those of LETTERS letters or more whose lang is one that was
-    learned while the network tells another, surer than it is of CONTRADICTED of those told rightly. A document that has a lang keeps it; one that has none gets
-    the predicted one. Where no row has a lang nothing can be told and no row stays; an empty table gives none.
+    all but TAIL of the held-out documents that are rightly told to be in that language have; and those whose lang is one that was learned while
+    the network tells another, surer than it is of CONTRADICTED of those told rightly. A document that has a lang keeps it; one that has none gets
+    the predicted one. Where no row has a lang nothing can be told and no row stays; an empty table gives none. A null doc_id is neither learned
+    from nor held out; repeated rows stay or go alike, and count as often as they are there in the bounds.
     """
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", "text", "lang")
     net = language_id.fit(docs.where(~language_id.held_out_of(F.col("doc_id"))))
@@ -33,7 +34,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of = lambda k, default: F.coalesce(*[F.when(F.col("lang_pred") == r["lang_pred"], F.lit(r["q"][k])) for r in by_lang], F.lit(default))
     told = (F.col("lang_pred") != "und") & (F.col("score") >= (of(0, guess) + guess) / 2)
     learned = (F.col("lang") != F.col("lang_pred")) & F.col("lang").isin(net.labels)
-    other = learned & (F.col("score") >= F.greatest(of(1, 1.0), F.lit(SURE))) & (F.regexp_count("text", F.lit(r"\p{L}")) >= LETTERS)
+    other = learned & (F.col("score") >= F.greatest(of(1, 1.0), F.lit(SURE)))
     stay = found.where(told & ~F.coalesce(other, F.lit(False)))
     return stay.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
@@ -45,17 +46,24 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Null and wordless texts and rows without a doc_id stay; rows that repeat a kept doc_id stay with it. An empty table gives no row.
+    """
     return minhash.keep_first(docs, width=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight takes it."""
+    """Each document as often as its source's target weight takes it.
+
+    A null source is one like others; texts that are null or have no word have no size and are taken with their source's share. An empty table
+    gives no row.
+    """
     return mixing.taken_rows(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of ids and decoded text of each row that the mix took."""
+    """Token count and digests of ids and decoded text of each row that the mix took; null texts are empty, an empty table gives no row."""
     return bpe.round_trip(docs)
 
 
@@ -67,8 +75,8 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: The network and the merges can't be told in SQL; tests compare line dedup, near-duplicates and encoding with brute force, language ID and
-#: mixing on planted rows.
+#: The network and the merges can't be told in SQL; tests compare each stage with plain Python: language ID from the network's scores on (these
+#: have a test of their own), the mix by what systematic sampling promises of any stretch of a source.
 ORACLE_SQL = None
 
 
