@@ -122,8 +122,8 @@ def with_fields(schema: StructType, fields: str) -> StructType:
 NULL_ID = -(1 << 63)
 
 
-#: Rows without a doc_id, of which there may be very many, are dealt over so many parts by their texts.
-NULL_PARTS = 1024
+#: Rows of one doc_id, or of none, may be very many: they are dealt over so many parts by their texts.
+PARTS = 1024
 
 
 def keyed() -> Column:
@@ -131,18 +131,19 @@ def keyed() -> Column:
 
 
 def part_of() -> Column:
-    by_text = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(NULL_PARTS))
-    return F.when(F.col("doc_id").isNull(), by_text).otherwise(0).cast("int").alias("part")
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(PARTS)).cast("int").alias("part")
 
 
-def numbered(docs: DataFrame, by: list[str]) -> DataFrame:
-    """(by, text, nth, before): doc_id as key (null: NULL_ID), text (null: empty) and a row's number among those of its `by`, by text.
+def numbered(docs: DataFrame) -> DataFrame:
+    """(key, part, text, nth, before): doc_id as key (null: NULL_ID), a hash of the text as part, text (null: empty), and a row's number among
+    those of its key and part, by text.
 
-    by: key alone, or key and part: 0, or for rows without a doc_id one of NULL_PARTS. before is null for the first of them. The texts
-    are dealt by these alone and with these columns only, so all that use these rows in one query share one exchange of the texts.
+    before is null for the first of them. The texts are dealt by key and part alone and with these columns only, so all that use these rows in
+    one query share one exchange of the texts, and the rows of one doc_id are as many tasks' as their texts differ. Rows that repeat both
+    doc_id and text meet in one task.
     """
-    texts = docs.select(keyed(), part_of(), F.coalesce("text", F.lit("")).alias("text")).select(*by, "text")
-    own = Window.partitionBy(*by).orderBy("text")
+    texts = docs.select(keyed(), part_of(), F.coalesce("text", F.lit("")).alias("text"))
+    own = Window.partitionBy("key", "part").orderBy("text")
     return texts.withColumn("nth", F.row_number().over(own)).withColumn("before", F.lag(F.lit(1)).over(own))
 
 

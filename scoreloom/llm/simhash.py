@@ -104,7 +104,7 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     A null doc_id counts as the smallest. Rows of one doc_id have the same next document: the next smaller doc_id's first row, by part
     (see `numbered`) and text. One exchange of the texts serves both sides; of the next document only the part in need is dealt.
     """
-    rows = numbered(docs, ["key", "part"])
+    rows = numbered(docs)
     ids = docs.select(keyed(), part_of(), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
     after = next_ids(ids).select(F.col("key").alias("of"), "parts", "next_key", "next_part", F.floor(F.col("n") / 3).cast("int").alias("m"))
     firsts = rows.where("before is null").join(after, (F.col("key") == F.col("next_key")) & (F.col("part") == F.col("next_part")))
@@ -118,7 +118,7 @@ def edit_test(docs: DataFrame, radius: int = 3, blocks: int = 6, every: int = 50
 
     n_near: for doc_ids divisible by `every`, how many rows of docs have a fingerprint within radius of the row's, itself included;
     null for others. Null and empty texts have 0 characters and fingerprint 0. A single row is its own next document. Repeated rows are
-    rows of their own. An empty table gives no row.
+    rows of their own. An empty table gives no row. Texts are taken whole, however long: their votes are summed while their terms are read.
     """
     rows = edited_texts(docs)
     keys = ["key", "part", "nth", "n_chars", "edited_sha256", "is_edited"]

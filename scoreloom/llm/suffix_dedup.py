@@ -20,10 +20,10 @@ PLACE = np.uint64((1 << PLACE_BITS) - 1)
 #: Groups that agree on this many bytes more than they are known to go from multikey sorting to blind tries.
 SHALLOW = 24
 BLOCK = 20_000
-ANCHOR = "h long, key long, nth int, a int"
+ANCHOR = "h long, key long, nth long, a int"
 #: kind 0: may stand alone; 1: the first of several in its task; 2: another of those, dealt by key in place of h.
 DEALT = f"{ANCHOR}, kind byte"
-SPANS = "key long, nth int, start int, stop int"
+SPANS = "key long, nth long, start int, stop int"
 #: Of an anchor with too many contexts to hold, these go on with them in place of spans.
 SPREAD = f"{SPANS}, a int, back int, near int, context binary"
 #: A window's digest in two halves; spans have their key in place of the first, and no second.
@@ -487,34 +487,37 @@ def with_spans(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFr
        slice deals a window once, by digest; where it meets others, all but the earliest go. So neither an anchor nor a window is one
        task's.
 
-    Rows that repeat a doc_id are texts of that document one after another, in the order of their texts; each has its own number, and
-    what is found for it is dealt by doc_id and number. Rows whose doc_id is null take no part. Null and empty texts, and those under
+    Rows that repeat a doc_id are texts of that document one after another, in the order of a hash of their texts, then of the texts; each has
+    its own number, and what is found for it is dealt by doc_id and that hash. Rows whose doc_id is null take no part. Null and empty texts, and those under
     `length` bytes, have no string. An empty table gives no row.
     """
-    rows = numbered(docs.where("doc_id is not null"), ["key"]).drop("before")
+    # the number has the part in its upper half, so that it is the row's own among those of its doc_id
+    rows = numbered(docs.where("doc_id is not null")).select("key", "part", "text", (F.shiftleft(F.col("part").cast("long"), 32) + F.col("nth")).alias("nth"))
     parts = shuffle_partitions(docs.sparkSession)
-    # kept by key alone, as the texts are; the number is compared beside the key, so that no text is dealt again
-    own = lambda x: (F.col("key") == x["_key"]) & (F.col("nth") - x["_nth"] == 0)
+    # kept by key and part alone, as the texts are; the number is compared beside them, so that no text is dealt again
+    own = lambda x: (F.col("key") == x["_key"]) & (F.col("part") == x["_part"]) & (F.col("nth") - x["_nth"] == 0)
+    of_part = F.shiftright("nth", 32).cast("int").alias("_part")
+    beside = lambda x, *more: x.select(F.col("key").alias("_key"), of_part, F.col("nth").alias("_nth"), *more).repartition(parts, "_key", "_part")
     digests = kept(rows.where(F.octet_length("text") >= length).select("key", "nth", F.sha2("text", 256).alias("digest")))
     firsts = kept(digests.groupBy("digest").agg(F.min(F.struct("key", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = joined(digests, firsts.drop("n"), ["digest"], hot=hot_keys(firsts, ["digest"]))
     copies = kept(copies.where(F.struct("key", "nth") != F.col("first")).select("key", "nth"))
-    of_key = copies.select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), F.lit(True).alias("is_copy")).repartition(parts, "_key")
+    of_key = beside(copies, F.lit(True).alias("is_copy"))
     told = rows.join(of_key, own(of_key), "left").select("key", "nth", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
     found = told.mapInArrow(_anchor_rows(length), DEALT)
-    again = found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, "key long, nth int, a int")
-    by_row = again.repartition(parts, "key").groupBy(F.col("key").alias("_key"), F.col("nth").alias("_nth")).agg(F.collect_list("a").alias("anchors"))
+    again = found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, "key long, nth long, a int")
+    by_row = beside(again, "a").groupBy("_key", "_part", "_nth").agg(F.collect_list("a").alias("anchors"))
     around = rows.join(by_row, own(by_row)).select("key", "nth", "text", "anchors").mapInArrow(_contexts(length), CONTEXT)
     order = ("h", "back", "near", "context", "key", "nth", "a")
     fewer = around.sortWithinPartitions(*order).mapInArrow(_combined, CONTEXT)
     dealt = fewer.repartition(parts, "h").sortWithinPartitions(*order)
-    solved = dealt.mapInArrow(_spans(length, block), SPREAD).repartition(parts, "key").sortWithinPartitions("key", "nth", "start")
+    solved = dealt.mapInArrow(_spans(length, block), SPREAD).repartition(parts, "key", "nth").sortWithinPartitions("key", "nth", "start")
     windows = solved.mapInArrow(_windows(length), WINDOWS).repartition(parts, "deal").sortWithinPartitions("deal", "more", "key", "nth", "start")
     spans = windows.mapInArrow(_later(length), SPANS)
     whole = copies.select("key", "nth", F.lit(0).alias("start"), F.lit(-1).alias("stop"))
-    spans = spans.union(whole).repartition(parts, "key").groupBy(F.col("key").alias("_key"), F.col("nth").alias("_nth")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = beside(spans.union(whole), "start", "stop").groupBy("_key", "_part", "_nth").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = rows.join(spans, own(spans), "left").select("key", "nth", "text", "spans")
-    nameless = docs.where("doc_id is null").select(F.lit(NULL_ID).alias("key"), F.lit(1).alias("nth"), F.coalesce("text", F.lit("")).alias("text"))
+    nameless = docs.where("doc_id is null").select(F.lit(NULL_ID).alias("key"), F.lit(1).cast("long").alias("nth"), F.coalesce("text", F.lit("")).alias("text"))
     return cut.unionByName(nameless, allowMissingColumns=True)
 
 

@@ -11,13 +11,14 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 pytest.importorskip("scoreloom.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
 from scoreloom.llm import bpe, compaction, fertility, language_id, line_dedup, minhash, mixing, queries, simhash, suffix_dedup, warc  # noqa: E402
-from scoreloom.llm._common import shared_dir  # noqa: E402
+from scoreloom.llm._common import numbered, shared_dir  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 #: Columns of documents, and others that are named as helpers are.
@@ -126,10 +127,14 @@ def test_mixing_of_odd_rows(spark, docs):
         assert taken.select("doc_id", "text").exceptAll(mixing.taken_rows(table.repartition(2)).select("doc_id", "text")).count() == 0
 
 
+def place(text):
+    """Where a text stands among those of its doc_id: by the hash that deals them, then by itself."""
+    text = (text or "").encode()
+    return xxhash.xxh64_intdigest(text, 42) % 1024, text
+
+
 def voted(text):
     """The fingerprint of a text by its definition: signed votes of each adjacent pair of words."""
-    import xxhash
-
     w = re.split(r"[\x20\x09-\x0D]+", f" {(text or '').lower()} ")
     votes = [0] * 64
     for a, b in zip(w, w[1:]):
@@ -148,7 +153,7 @@ def test_simhash_of_odd_rows(docs):
     value, edited = {}, {}
     for k, d in enumerate(order):
         after = order[(k + 1) % len(order)]
-        starts = set(of[after]) if after is None else {min(of[after])}
+        starts = {min(of[after], key=place)}
         wanted = []
         for t in of[d]:
             value[t] = value.get(t) or voted(t)
@@ -301,6 +306,16 @@ def test_simhash_edits_and_radius(spark):
         assert got[d].n_near == (sum((value[d] ^ x).bit_count() <= 3 for x in value.values()) if d % 50 == 0 else None)
 
 
+def test_rows_of_one_id_are_many_tasks(spark):
+    """Half of all rows have one doc_id: neither operator sorts or joins them in one task, and the results are whole."""
+    rows = [(7, words(30, k)) for k in range(300)] + [(100 + k, words(30, k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = [r["n"] for r in numbered(df).withColumn("task", F.spark_partition_id()).where("key = 7").groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 300 and max(held) < 150
+    assert Counter(map(tuple, suffix_dedup.span_digests(df).collect())) == repeats(rows)
+    assert simhash.edit_test(df).count() == 600
+
+
 def test_radius_finds_all(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) - (1 << 63) for _ in range(30)]
@@ -312,9 +327,9 @@ def test_radius_finds_all(spark):
 
 
 def repeats(rows, length=100):
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row by brute force; rows of one doc_id in the order of their texts."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row by brute force; rows of one doc_id by place."""
     seen, out = set(), Counter()
-    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0], (r[1] or "").encode())):
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0], place(r[1]))):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for s in range(len(b) - length + 1 if d is not None else 0):
