@@ -122,7 +122,7 @@ def with_fields(schema: StructType, fields: str) -> StructType:
 NULL_ID = -(1 << 63)
 
 
-#: Rows of one doc_id, or of none, may be very many: they are dealt over so many parts by their texts.
+#: Rows of one doc_id, or of none, may be very many: they are dealt over so many parts (a power of two) by their texts.
 PARTS = 1024
 
 
@@ -131,7 +131,8 @@ def keyed() -> Column:
 
 
 def part_of() -> Column:
-    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(PARTS)).cast("int").alias("part")
+    # never null, so that no join filters it and all share the exchange of the texts
+    return F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
