@@ -290,3 +290,30 @@ def test_step_guards(spark):
     got = flow.step(df).collect()
     assert [(r.back_step, r.next_step, r.view_after_next) for r in got] == [(0, 0, "questions"), (13, 14, "results"), (2, 4, "questions")]
     assert [(r.back_off, r.next_off, r.label) for r in got] == [(True, True, "1 of 15"), (False, False, "15 of 15"), (False, False, "4 of 15")]
+
+
+def test_requests_are_made_in_many_tasks_from_one_small_file(spark):
+    """A file of one row group is read by one task; what is made of each row isn't."""
+    for name in ("submission_record", "submission_outcome"):
+        found = queries.QUERIES[name](spark, SF)
+        assert found.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = plan_of(queries.submission_audit(spark, SF))
+    assert "RoundRobinPartitioning" in plan[plan.index("Generate inline") :]
+
+
+@pytest.mark.parametrize("name", ["submission_record", "submission_outcome", "submission_flat", "submission_audit"])
+def test_whole_bodies_have_no_schema_written(spark, name):
+    plan = plan_of(queries.QUERIES[name](spark, SF))
+    assert "schemaOfVariant(_v" not in plan and plan.count("inline(array(_f") == 1
+
+
+def test_requests_of_odd_types(spark):
+    whole = '{"percentage":5,"band":%s,"weakestCategories":%s,"categoryScores":[]}'
+    bodies = {
+        None: (False, False, False), "x": (False, False, False), "null": (True, False, False), "[]": (True, False, False), "{}": (True, True, False), '{"summary":null}': (True, True, False),
+        '{"summary":%s}' % (whole % ("null", "[]")): (True, True, False), '{"summary":%s}' % (whole % ("0", "[null]")): (True, True, False), '{"summary":%s}' % (whole % ("0", "{}")): (True, True, False),
+        '{"summary":%s}' % (whole % ("[]", "[1,[null]]")): (True, True, True),
+    }
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, value string")
+    got = {r.k: (r.is_json, r.is_object, r.has_parts) for r in inputs.parse_requests(df).select("k", "is_json", "is_object", "has_parts").collect()}
+    assert got == dict(enumerate(bodies.values()))
