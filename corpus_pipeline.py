@@ -24,10 +24,11 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the predicted one. Where no row has a lang nothing can be told and no row stays; an empty table gives none. A null doc_id is neither learned
     from nor held out; repeated rows stay or go alike, and count as often as they are there in the bounds.
     """
-    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", "text", "lang")
+    others = [c for c in docs.columns if c != "text"]  # a text goes to Python and back once, and where only bounds are made, nothing else does
+    rows = docs.select(F.struct(*map(quoted, others)).alias("row"), "doc_id", "text", "lang")
     net = language_id.fit(docs.where(~language_id.held_out_of(F.col("doc_id"))))
     found = language_id.predict(rows, net)
-    held_out = rows.where(language_id.held_out_of(F.col("doc_id")) & F.col("lang").isNotNull())
+    held_out = rows.where(language_id.held_out_of(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang")
     right = language_id.predict(held_out, net).where(F.col("lang") == F.col("lang_pred"))
     guess = 1 / max(len(net.labels), 1)
     by_lang = right.groupBy("lang_pred").agg(F.percentile_approx("score", [TAIL, CONTRADICTED], 10000).alias("q")).collect()  # one row per learned language
@@ -36,7 +37,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = (F.col("lang") != F.col("lang_pred")) & F.col("lang").isin(net.labels)
     other = learned & (F.col("score") >= F.greatest(of(1, 1.0), F.lit(SURE)))
     stay = found.where(told & ~F.coalesce(other, F.lit(False)))
-    return stay.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
+    own = {"lang": F.coalesce("row.lang", "lang_pred").alias("lang"), "text": F.col("text")}
+    return stay.select(*[own[c] if c in own else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
