@@ -21,8 +21,12 @@ ROWS = 5
 MISS = 1e-5
 #: Coordinates beyond the bands' whose lowest bits make a 128-bit sketch, by which centres of buckets are chosen.
 SKETCH = 128
-#: Buckets of bands with up to SMALL members are compared pair by pair, those of differences with up to COMPARED.
-SMALL, COMPARED = 6, 500
+#: Buckets of bands with up to SMALL members are compared pair by pair, those of differences with up to COMPARED; with up to LONG_COMPARED
+#: if one member has more than TOLD shingles, as parities tell such sets less well apart.
+SMALL, COMPARED, LONG_COMPARED, TOLD = 6, 5000, 500, 2000
+#: A set's parities: 64 bits in each of these, of which each says whether an odd number of the set's hashes fall to it. Two sets differ in
+#: as many hashes as their parities do in bits, or more.
+PARITIES = [f"parity_{k}" for k in range(16)]
 
 
 def bands_for(threshold: float) -> int:
@@ -126,11 +130,20 @@ def _sketched(width: int, n_bands: int):
     return run
 
 
+def parities(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The parities of each set hashes[bounds[k]:bounds[k + 1]], a row of longs."""
+    size, n = 64 * len(PARITIES), len(bounds) - 1
+    at = np.repeat(np.arange(n), np.diff(bounds)) * size + (hashes % np.uint64(size)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * size) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, len(PARITIES))
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             key, bounds = shingle_sets(batch.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key.view(np.int64)))], names=["cid", "shingles"])
+            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), sets, *map(pa.array, parities(key, bounds).T.copy())], names=["cid", "shingles", *PARITIES])
 
     return run
 
@@ -183,10 +196,10 @@ def _alike_in_size(a: str, b: str, percent: int) -> Column:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs, checkpointed, with the sets of both as a_set and b_set. One cid may be in very many of them."""
-    of = lambda side, name: sets.select(F.col("cid").alias(side), F.col("shingles").alias(name))
+    """pairs, checkpointed, with the sets of both as a_set and b_set, and the parities of a's. One cid may be in very many of them."""
+    of = lambda side, name, *more: sets.select(F.col("cid").alias(side), F.col("shingles").alias(name), *more)
     hot_a, hot_b = (hot_keys(pairs.groupBy(x).agg(F.count("*").alias("n")), [x]) for x in (a, b))
-    return joined(joined(pairs, of(a, "a_set"), [a], hot=hot_a), of(b, "b_set"), [b], hot=hot_b)
+    return joined(joined(pairs, of(a, "a_set", *PARITIES), [a], hot=hot_a), of(b, "b_set"), [b], hot=hot_b)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,11 +211,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _open(rows: DataFrame, run: Scratch, own: Scratch) -> tuple[DataFrame, list]:
     """The rows (b1, b2, side, cid, component, n_shingles, s1, s2) of buckets that may still hold a link across components, with the
-    number n of the bucket's rows; and the hot buckets. Of buckets with the same members (by 128 bits), as those of copies with one
+    number n of the bucket's rows and the size of its longest set; and the hot buckets. Of buckets with the same members (by 128 bits), as those of copies with one
     small difference are in most bands, one stays. The result is a table of run; what it takes to make it, of own."""
     members = [F.bit_xor(F.xxhash64("cid", "side", F.lit(k))).alias(f"members_{k}") for k in range(2)]
-    sizes = rows.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.bit_or("side").alias("sides"), *members)
-    sizes = sizes.where("least < most and sides = 3").groupBy("n", "members_0", "members_1").agg(F.min(F.struct("b1", "b2")).alias("b")).select("b.b1", "b.b2", "n")
+    sizes = rows.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.bit_or("side").alias("sides"), F.max("n_shingles").alias("longest"), *members)
+    sizes = sizes.where("least < most and sides = 3").groupBy("n", "longest", "members_0", "members_1").agg(F.min(F.struct("b1", "b2")).alias("b"))
+    sizes = sizes.select("b.b1", "b.b2", "n", "longest")
     sizes = own.written(sizes, "buckets")
     hot = hot_keys(sizes, ["b1", "b2"])
     return run.written(joined(rows, sizes, ["b1", "b2"], hot=hot), "members"), hot
@@ -222,11 +236,17 @@ def _pairs_of_small(small: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_of_small(small: DataFrame, differs: DataFrame, percent: int) -> DataFrame:
-    """Links within small buckets of differences, told by the differences alone (see _by_difference); only links leave the join."""
-    own = differs.select(F.col("centre").alias("b1"), "cid", "tokens", "weight", "room")
-    x, y, met = _met(small.join(own, ["b1", "cid"]), ["tokens", "weight", "room"])
+    """Links within small buckets of differences, told by the differences alone (see _by_difference); only links leave the join.
+
+    Most pairs are told by their parities before: sets that are linked differ in (100 - p) / (100 + p) of their sizes' sum at most.
+    """
+    own = differs.select(F.col("centre").alias("b1"), "cid", "tokens", "weight", "room", *PARITIES)
+    x, y, met = _met(small.join(own, ["b1", "cid"]), ["n_shingles", "tokens", "weight", "room", *PARITIES])
+    apart = reduce(lambda m, n: m + n, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in PARITIES])
+    may = _alike_in_size("x_n_shingles", "y_n_shingles", percent) & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("x_n_shingles") + F.col("y_n_shingles")))
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return x.join(y, met & (F.lit(100 + percent) * shared >= F.col("x_weight") + F.col("y_weight") - F.col("x_room"))).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
+    linked = F.lit(100 + percent) * shared >= F.col("x_weight") + F.col("y_weight") - F.col("x_room")
+    return x.join(y, met & may & linked).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
 
 def _spokes(large: DataFrame, classes: DataFrame, hot: list, shared: bool, own: Scratch) -> DataFrame:
@@ -270,9 +290,11 @@ def _by_difference(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percen
 
     Let a member lack M of the centre's shingles and have E of its own. Two members that share s of these differences are linked if
     (100 + p) s >= W + W' - (100 - p) |centre|, where W = p E + 100 M; and a member is linked with the centre if W is at most the last
-    term. So a pair of which one isn't linked with the centre shares differences, more than W / (100 + p) of each if neither is. Among
-    so many of D differences in one order for all, two members have one in common within the first D + 1 - least(s). The rarest around
-    the centre come first. Nothing is left out: the bound is exact, and the next step compares what shares a bucket.
+    term. So a pair of which one isn't linked with the centre shares differences, more than W / (100 + p) of each if neither is. And as
+    W' is at least p or 100 for each difference that is shared, what is shared weighs W - (100 - p) |centre| at least, where a shingle of
+    its own counts 100 and one that it lacks p. In one order of differences for all, the first that two members share is thus where as many
+    and as heavy ones are still to come: only these are dealt. Differences that one member alone has don't count. The rarest around the
+    centre come first. Nothing is left out: the bounds are exact, and the next step compares what shares a bucket.
 
     side 3: both not linked with the centre; 1 and 2: one that isn't, and one that is; only buckets with both matter then.
     """
@@ -283,19 +305,23 @@ def _by_difference(spokes: DataFrame, labels: DataFrame, sets: DataFrame, percen
     hot = hot_keys(by_centre, ["centre"])
     both = _with_sets(own.written(joined(found, by_centre.select("centre"), ["centre"], hot=hot), "compared"), sets, "cid", "centre")
     more, lacks = F.array_except("a_set", "b_set"), F.array_except("b_set", "a_set")
-    differs = both.select("centre", "cid", *attributes, F.size("b_set").alias("size"), more.alias("own"), lacks.alias("lacks"))
+    differs = both.select("centre", "cid", *attributes, *PARITIES, F.size("b_set").alias("size"), more.alias("own"), lacks.alias("lacks"))
     weight, room = (F.lit(percent) * F.size("own") + F.lit(100) * F.size("lacks")).cast("long"), F.lit(100 - percent) * F.col("size")
-    near, away = (F.floor(x / F.lit(100 + percent)).cast("int") for x in (weight, weight - room - 1))
-    kinds = F.when(weight <= room, F.array(F.struct(F.lit(2).alias("side"), near.alias("spare")))).otherwise(
-        F.array(F.struct(F.lit(3).alias("side"), near.alias("spare")), F.struct(F.lit(1).alias("side"), away.alias("spare")))
-    )
-    told = [F.concat("own", "lacks").alias("tokens"), weight.alias("weight"), room.cast("long").alias("room"), kinds.alias("kinds")]
-    differs = run.written(differs.select("centre", "cid", *attributes, *told), "differences")
-    tokens = differs.select("centre", "cid", F.explode("tokens").alias("token"))
+    near, heavy = F.floor(weight / F.lit(100 + percent)).cast("int"), weight - room
+    kind = lambda side, spare, need: F.struct(F.lit(side).alias("side"), spare.alias("spare"), need.cast("long").alias("need"))
+    kinds = F.when(weight <= room, F.array(kind(2, near, F.lit(0)))).otherwise(F.array(kind(3, near, heavy), kind(1, F.lit(0), heavy)))
+    told = [F.concat("own", "lacks").alias("tokens"), F.size("own").alias("n_own"), weight.alias("weight"), room.cast("long").alias("room"), kinds.alias("kinds")]
+    differs = run.written(differs.select("centre", "cid", *attributes, *PARITIES, *told), "differences")
+    tokens = differs.select("centre", "cid", "n_own", F.posexplode("tokens").alias("at", "token"))
+    tokens = tokens.select("centre", "cid", "token", F.when(F.col("at") < F.col("n_own"), 100).otherwise(percent).cast("long").alias("w"))
     often = own.written(tokens.groupBy("centre", "token").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    shared = joined(tokens, often, ["centre", "token"], hot=hot_keys(often, ["centre", "token"])).groupBy("centre", "cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    shared = joined(tokens, often, ["centre", "token"], hot=hot_keys(often, ["centre", "token"])).groupBy("centre", "cid")
+    shared = shared.agg(F.sort_array(F.collect_list(F.struct("n", "token", "w"))).alias("shared"), F.sum("w").alias("heavy"))
     both = differs.select("centre", "cid", *attributes, F.inline("kinds")).join(shared, ["centre", "cid"])
-    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") - F.col("spare")))
+    # each is dealt while what comes from it on weighs need or more: while those before weigh heavy - need at most
+    step = lambda x, y: F.when(x["before"] <= F.col("heavy") - F.col("need"), F.struct((x["n"] + 1).alias("n"), (x["before"] + y["w"]).alias("before"))).otherwise(x)
+    enough = F.aggregate("shared", F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("before")), step, lambda x: x["n"])
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared") - F.col("spare"), enough)))
     dealt = both.select(F.col("centre").alias("b1"), "side", "cid", *attributes, F.explode(first).alias("x"))
     return dealt.withColumn("b2", F.xxhash64(F.col("side") == 3, "x.token")).drop("x"), differs
 
@@ -350,12 +376,12 @@ def _linked_classes(texts: DataFrame, classes: DataFrame, placed: DataFrame, wid
         opened, hot = _open(banded.withColumn("b1", F.col("b1").cast("long")), run, own)
     wanted = classes.join(opened.select("cid").distinct(), "cid", "left_semi").select("doc_id", "version", "cid")
     wanted = texts.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("cid", "text")
-    sets = run.written(wanted.mapInArrow(_sets(width), "cid long, shingles array<long>"), "sets")
+    sets = run.written(wanted.mapInArrow(_sets(width), "cid long, shingles array<long>, " + ", ".join(f"{c} long" for c in PARITIES)), "sets")
     sizes = classes.select("cid", "n_shingles")
     tried, differs = spark.createDataFrame([], "a long, b long"), None
     while opened.take(1):
         before = [opened, labels, differs]
-        most = SMALL if differs is None else COMPARED
+        most = F.lit(SMALL) if differs is None else F.when(F.col("longest") <= TOLD, COMPARED).otherwise(LONG_COMPARED)
         with run.part() as own:
             small = opened.where(F.col("n") <= most)
             spokes = own.written(_spokes(opened.where(F.col("n") > most), _labelled(sizes, labels), hot, differs is None, own), "spokes")
